@@ -7,6 +7,7 @@ import uuid
 from functools import reduce
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,30 +69,48 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased (A-Z) words of UTF-8 ``texts``, in order, and the number of words of each text.
 
-    All words of the batch are hashed by a few vectorised passes: four bytes at a time are not
-    needed, as a word's bytes are weighted by an odd power of their position and summed modulo 2**64.
+    All words are hashed by a few vectorised passes over blocks of about ``block`` bytes, cut at
+    white space, so that one very long text needs no more memory than many short ones.
     """
     counts = np.zeros(len(texts), dtype=np.int64)
     if not texts:
         return np.empty(0, np.uint64), counts
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    space = _SPACES[data]
-    inside = ~space
-    starts = np.flatnonzero(inside & np.concatenate(([True], space[:-1])))
-    if not len(starts):
-        return np.empty(0, np.uint64), counts
-    ends = np.flatnonzero(space & np.concatenate(([False], inside[:-1])))
     limits = np.cumsum([len(t) + 1 for t in texts])
+    found, places, at = [], [], 0
+    while at < len(data):
+        to = at + block
+        if to >= len(data):
+            to = len(data)
+        else:
+            while not len(gap := np.flatnonzero(_SPACES[data[to : to + block]])):
+                to += block
+            to += int(gap[0]) + 1
+        hashes, starts = _hash_block(data[at:to])
+        found.append(hashes)
+        places.append(starts + at)
+        at = to
+    starts = np.concatenate(places)
     counts = np.diff(np.concatenate(([0], np.searchsorted(starts, limits))))
-    offset = np.arange(len(data), dtype=np.int64)
-    offset -= np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(data)]))))
+    return np.concatenate(found), counts
+
+
+def _hash_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words in a block that ends with white space."""
+    space = _SPACES[data]
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    offset = np.arange(len(data), dtype=np.int32)
+    offset -= np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(data)])))).astype(np.int32)
     value = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers(int(offset.max()) + 1)[offset]
     value[space] = 0
-    total = np.concatenate(([np.uint64(0)], np.cumsum(value, dtype=np.uint64)))
-    return mix64(total[ends] - total[starts] + (ends - starts).astype(np.uint64)), counts
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
+    return mix64(total[ends] - total[starts] + (ends - starts).astype(np.uint64)), starts
 
 
 _POWERS = np.ones(1, dtype=np.uint64)
@@ -108,8 +127,7 @@ def _powers(n: int) -> np.ndarray:
 def chunks(batch, size: int = 4_000_000):
     """Row ranges of an Arrow string column that hold about ``size`` bytes each; a longer text is a range by itself."""
     start = used = 0
-    for i, value in enumerate(batch):
-        n = len(value or b"")
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch), 0).to_pylist()):
         if used and used + n > size:
             yield start, i
             start, used = i, 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup
+from . import chat_format, exact_dedup, simhash_dedup
 from .common import table
 
 #: A conversation whose texts look like control strings.
@@ -21,8 +21,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.format_chat(turns.unionByName(extra)))
 
 
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"), width=3, seed=42, budget=3)
+
+
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op9_chat_format": op9_chat_format}
+    return {f.__name__: f for f in (op1_exact_dedup, op9_chat_format, op10_simhash_dedup)}
 
 
 _SPACES = r"[\x20\x09-\x0D]"
