@@ -1,3 +1,10 @@
 """tamarisk: grounded retrieval, answer auditing and evaluation as Spark plans."""
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# executors need no copy of the package: functions sent to Python workers carry their code
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
