@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, simhash_dedup, token_counts, toxicity
+from . import chat_format, exact_dedup, language_id, lm_score, simhash_dedup, token_counts, toxicity
 from .common import crc_mod, table
 
 #: A conversation whose texts look like control strings.
@@ -38,6 +38,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.col("hits"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 5) == 1
+    found = lm_score.lm_scores(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
@@ -49,7 +55,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op4_language_id, op5_toxicity, op9_chat_format, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op4_language_id, op5_toxicity, op7_lm_score, op9_chat_format, op10_simhash_dedup)}
 
 
 _SPACES = r"[\x20\x09-\x0D]"
