@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, lm_score, simhash_dedup, token_counts, toxicity
+from . import chat_format, exact_dedup, language_id, lm_score, mixing, simhash_dedup, token_counts, toxicity
 from .common import crc_mod, table
 
 #: A conversation whose texts look like control strings.
@@ -38,6 +38,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.col("hits"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 5) == 1
     found = lm_score.lm_scores(table(spark, sf_dir, "documents"), ~held_out)
@@ -55,12 +59,47 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op4_language_id, op5_toxicity, op7_lm_score, op9_chat_format, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op4_language_id, op5_toxicity, op6_mixing, op7_lm_score, op9_chat_format, op10_simhash_dedup)}
 
 
 _SPACES = r"[\x20\x09-\x0D]"
 
 
+MIXING_SQL = r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, source, lang, lower(coalesce(text, '')) AS low,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
+      FROM documents),
+    m AS (
+      SELECT doc_id, source, lang, n_tokens,
+             CASE WHEN contains(low, '@') OR contains(low, '://') THEN 'contact'
+                  WHEN contains(low, 'licen') OR contains(low, 'copyright') THEN 'legal'
+                  WHEN regexp_matches(low, '[0-9]') THEN 'numeric' ELSE 'prose' END AS topic
+      FROM d),
+    c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS t FROM m GROUP BY ALL),
+    s AS (SELECT source, sqrt(sum(t)) / sum(sqrt(sum(t))) OVER () AS goal FROM c GROUP BY source),
+    l AS (SELECT lang, sqrt(sum(t)) / sum(sqrt(sum(t))) OVER () AS goal FROM c GROUP BY lang),
+    k AS (SELECT topic, sqrt(sum(t)) / sum(sqrt(sum(t))) OVER () AS goal FROM c GROUP BY topic),
+    g AS (SELECT c.*, s.goal AS gs, l.goal AS gl, k.goal AS gk
+          FROM c JOIN s ON c.source IS NOT DISTINCT FROM s.source JOIN l ON c.lang IS NOT DISTINCT FROM l.lang JOIN k USING (topic)),
+    f AS (
+      SELECT 0 AS i, source, lang, topic, t, gs, gl, gk, t / sum(t) OVER () AS w FROM g
+      UNION ALL
+      SELECT i + 1, source, lang, topic, t, gs, gl, gk, w * gk / sum(w) OVER (PARTITION BY topic) FROM (
+        SELECT * REPLACE (w * gl / sum(w) OVER (PARTITION BY lang) AS w) FROM (
+          SELECT * REPLACE (w * gs / sum(w) OVER (PARTITION BY source) AS w) FROM f WHERE i < 50))),
+    o AS (
+      SELECT *, w / t AS r, 0.5 * sum(t) OVER () AS budget,
+             sum(t) OVER b - t AS before, sum(w) OVER () - (sum(w) OVER b - w) AS rest
+      FROM f WHERE i = 50
+      WINDOW b AS (ORDER BY w / t DESC, source, lang, topic ROWS UNBOUNDED PRECEDING)),
+    x AS (SELECT max(r) AS r, arg_max((budget - before) / rest, r) AS scale FROM o WHERE (budget - before) / rest * r <= 1),
+    p AS (SELECT source, lang, topic, round(least(1.0, r * (SELECT scale FROM x)), 9) AS probability FROM o)
+    SELECT m.doc_id, m.source, m.lang, m.topic, m.n_tokens, p.probability,
+           CAST(('0x' || substr(md5('17:' || m.doc_id), 1, 13)) AS BIGINT) / 4503599627370496.0 < p.probability AS sampled
+    FROM m JOIN p ON m.source IS NOT DISTINCT FROM p.source AND m.lang IS NOT DISTINCT FROM p.lang AND m.topic = p.topic"""
+
+
 def oracle_sql() -> dict:
     return {
         "op1_exact_dedup": f"""
@@ -74,6 +113,7 @@ def oracle_sql() -> dict:
                    row_number() OVER w = 1 AS kept,
                    text_sha256
             FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
+        "op6_mixing": MIXING_SQL,
         "op9_chat_format": """
             WITH turns AS (
               SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
