@@ -63,65 +63,69 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_SPACES = np.zeros(256, dtype=bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+def _weights() -> np.ndarray:
+    """Of each byte: its lower-case (A-Z) value plus one, or zero for white space."""
+    w = np.arange(1, 257, dtype=np.uint64)
+    w[65:91] += np.uint64(32)
+    w[[9, 10, 11, 12, 13, 32]] = 0
+    return w
 
 
-def word_hashes(texts: list[bytes], block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased (A-Z) words of UTF-8 ``texts``, in order, and the number of words of each text.
+_BYTE = _weights()
+_BASE = 0x9E3779B97F4A7C15
+_BLOCK = 1 << 18
 
-    All words are hashed by a few vectorised passes over blocks of about ``block`` bytes, cut at
-    white space, so that one very long text needs no more memory than many short ones.
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP = _powers(_BASE, 2 * _BLOCK)
+_DOWN = _powers(pow(_BASE, -1, 1 << 64), 2 * _BLOCK)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and byte lengths of the lower-cased (A-Z) words of UTF-8 ``texts``, in order, and the number of words of each text.
+
+    Words are hashed as polynomials modulo 2**64 by a few vectorised passes over blocks that are cut
+    at white space, so that one very long text needs no more memory than many short ones.
     """
-    counts = np.zeros(len(texts), dtype=np.int64)
     if not texts:
-        return np.empty(0, np.uint64), counts
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(0, np.int64)
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     limits = np.cumsum([len(t) + 1 for t in texts])
-    found, places, at = [], [], 0
+    found, begun, sizes, at = [], [], [], 0
     while at < len(data):
-        to = at + block
+        to = at + _BLOCK
         if to >= len(data):
             to = len(data)
         else:
-            while not len(gap := np.flatnonzero(_SPACES[data[to : to + block]])):
-                to += block
+            while not len(gap := np.flatnonzero(_BYTE[data[to : to + 1024]] == 0)):
+                to += 1024
             to += int(gap[0]) + 1
-        hashes, starts = _hash_block(data[at:to])
+        hashes, starts, lengths = _hash_block(data[at:to])
         found.append(hashes)
-        places.append(starts + at)
+        begun.append(starts + at)
+        sizes.append(lengths)
         at = to
-    starts = np.concatenate(places)
-    counts = np.diff(np.concatenate(([0], np.searchsorted(starts, limits))))
-    return np.concatenate(found), counts
+    counts = np.diff(np.concatenate(([0], np.searchsorted(np.concatenate(begun), limits))))
+    return np.concatenate(found), np.concatenate(sizes), counts
 
 
-def _hash_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first bytes of the words in a block that ends with white space."""
-    space = _SPACES[data]
-    edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
+def _hash_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first bytes and lengths of the words in a block that ends with white space."""
+    value = _BYTE[data]
+    word = np.zeros(len(data) + 1, dtype=bool)
+    word[1:] = value != 0
+    edges = np.flatnonzero(word[1:] != word[:-1])
     starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    offset = np.arange(len(data), dtype=np.int32)
-    offset -= np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(data)])))).astype(np.int32)
-    value = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers(int(offset.max()) + 1)[offset]
-    value[space] = 0
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
-    return mix64(total[ends] - total[starts] + (ends - starts).astype(np.uint64)), starts
-
-
-_POWERS = np.ones(1, dtype=np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        with np.errstate(over="ignore"):
-            _POWERS = mix64(np.arange(1, max(n, 4096) + 1, dtype=np.uint64)) | np.uint64(1)
-    return _POWERS
+    up, down = (_UP, _DOWN) if len(data) <= len(_UP) else (_powers(_BASE, len(data)), _powers(pow(_BASE, -1, 1 << 64), len(data)))
+    value *= up[: len(data)]
+    total = np.cumsum(value, out=value)
+    before = np.where(starts > 0, total[starts - 1], np.uint64(0))
+    return mix64((total[ends - 1] - before) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends - starts
 
 
 def chunks(batch, size: int = 4_000_000):

@@ -45,7 +45,7 @@ def tokenise(docs: DataFrame, block_bytes: int, id_col: str, text_col: str, trai
         for batch in batches:
             for a, b in chunks(batch.column(1), block_bytes):
                 texts = [t.as_py() or b"" for t in batch.column(1)[a:b]]
-                hashes, words = word_hashes(texts)
+                hashes, _, words = word_hashes(texts)
                 ends = np.cumsum(words)
                 tokens = np.insert(hashes, ends, END)
                 distinct, place, n = np.unique(tokens, return_inverse=True, return_counts=True)

@@ -119,7 +119,7 @@ def _first_prints(texts) -> list[int]:
     """The least 5-word shingle hash of each text: equal for most near copies."""
     out = []
     for t in texts:
-        h, _ = word_hashes([t.as_py() or b""])
+        h, _, _ = word_hashes([t.as_py() or b""])
         if len(h) > 4:
             h = h[:-4] * np.uint64(3) + h[1:-3] * np.uint64(5) + h[2:-2] * np.uint64(7) + h[3:-1] * np.uint64(11) + h[4:] * np.uint64(13)
         out.append(int(h.min() >> np.uint64(1)) if len(h) else 0)
