@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, lm_score, mixing, simhash_dedup, token_counts, toxicity
+from . import chat_format, exact_dedup, language_id, line_dedup, lm_score, mixing, simhash_dedup, token_counts, toxicity
 from .common import crc_mod, table
 
 #: A conversation whose texts look like control strings.
@@ -21,6 +21,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/t
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.Vocabulary.load(vocabulary))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "dropped_lines")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.learn(docs.where(crc_mod("doc_id", 4) != 2))
@@ -59,7 +64,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op4_language_id, op5_toxicity, op6_mixing, op7_lm_score, op9_chat_format, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_line_dedup, op4_language_id, op5_toxicity, op6_mixing, op7_lm_score, op9_chat_format, op10_simhash_dedup)}
 
 
 _SPACES = r"[\x20\x09-\x0D]"
