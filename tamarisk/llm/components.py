@@ -24,7 +24,8 @@ def _stars(edges: DataFrame, both: DataFrame, larger: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``edges``: columns a, b (long, not null). Result: node, root, where root is the component's least node.
+    """``edges``: columns a, b (long, not null). Result: node, root, where root is the component's
+    least node; a root is in the result too.
 
     Nodes without an edge to another node are not in the result. Repeated edges and loops are
     allowed. The number of rounds grows with the logarithm of the longest path; running out of
@@ -45,7 +46,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now, before = small, state
         state = _state(now)
         if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
