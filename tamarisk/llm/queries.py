@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, line_dedup, lm_score, mixing, simhash_dedup, token_counts, toxicity
+from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, lm_score, mixing, simhash_dedup, token_counts, toxicity
 from .common import crc_mod, table
 
 #: A conversation whose texts look like control strings.
@@ -53,6 +53,10 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
@@ -64,7 +68,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_line_dedup, op4_language_id, op5_toxicity, op6_mixing, op7_lm_score, op9_chat_format, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_line_dedup, op4_language_id, op5_toxicity, op6_mixing, op7_lm_score, op8_decontamination, op9_chat_format, op10_simhash_dedup)}
 
 
 _SPACES = r"[\x20\x09-\x0D]"
