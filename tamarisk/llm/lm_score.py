@@ -12,13 +12,15 @@ bucket from deleted counts: each training token is predicted from the counts of
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import chunks, discard, materialise, mix64, word_hashes
+from .common import chunks, materialise, mix64, word_hashes
 
 END, START = np.uint64(0x9D5C1A7B3E2F4861), np.uint64(0x3C6EF372FE94F82B)
 BUCKETS, GRID = 20, 4
@@ -94,7 +96,7 @@ def _requests(blocks: DataFrame, bits: int, order: int) -> DataFrame:
                     counts = np.bincount(place[train], minlength=len(keys))
                     cut = np.concatenate((np.searchsorted(keys, ranges), [len(keys)]))
                     if level > 1:
-                        keys = keys >> np.uint64(24 - bits)
+                        keys = (keys >> np.uint64(24 - bits)) & np.uint64((1 << 8 * LONG_KEY_BYTES) - 1)
                     width = KEY_BYTES.get(level, LONG_KEY_BYTES)
                     parts = [p for p in range(1 << bits) if cut[p + 1] > cut[p]]
                     yield pa.RecordBatch.from_arrays(
@@ -102,7 +104,7 @@ def _requests(blocks: DataFrame, bits: int, order: int) -> DataFrame:
                             pa.array(parts, pa.int32()),
                             pa.array([row["block"]] * len(parts), pa.int64()),
                             pa.array([level] * len(parts), pa.int32()),
-                            pa.array([_planes(keys[cut[p] : cut[p + 1]], width) for p in parts], pa.binary()),
+                            pa.array([_planes(np.diff(keys[cut[p] : cut[p + 1]], prepend=np.uint64(0)), width) for p in parts], pa.binary()),
                             pa.array([_planes(counts[cut[p] : cut[p + 1]], 4) for p in parts], pa.binary()),
                         ],
                         names=["part", "block", "level", "keys", "counts"],
@@ -123,48 +125,49 @@ def _answers(requests: DataFrame, bits: int) -> DataFrame:
         keys, counts = t.column("keys"), t.column("counts")
         for p, n in sorted(set(zip(part.tolist(), level.tolist(), strict=True))):
             rows = np.flatnonzero((part == p) & (level == n))
-            asked = [_from_planes(keys[int(r)].as_py(), KEY_BYTES.get(n, LONG_KEY_BYTES)) for r in rows]
+            asked = [np.cumsum(_from_planes(keys[int(r)].as_py(), KEY_BYTES.get(n, LONG_KEY_BYTES)), dtype=np.uint64) for r in rows]
             distinct, place = np.unique(np.concatenate(asked), return_inverse=True)
             n_each = np.concatenate([_from_planes(counts[int(r)].as_py(), 4) for r in rows]).astype(np.float64)
             total = np.bincount(place, weights=n_each, minlength=len(distinct)).astype(np.int64)
-            at = 0
-            for r, a in zip(rows, asked, strict=True):
-                packed = _planes(total[place[at : at + len(a)]], 5)
-                at += len(a)
-                yield _answer(int(block[r]), n, p, packed, 0, 0)
+            sizes = np.cumsum([len(a) for a in asked])
+            packed = [_planes(total[x], 5) for x in np.split(place, sizes[:-1])]
+            yield _answer([int(block[r]) for r in rows], n, p, packed, 0, 0)
             if n == 1:
-                yield _answer(-1, n, p, b"", int(total.sum()), int((total > 0).sum()))
+                yield _answer([-1], n, p, [b""], int(total.sum()), int((total > 0).sum()))
 
-    def _answer(*values):
-        return pa.RecordBatch.from_pylist([dict(zip(("block", "level", "part", "totals", "tokens", "distinct"), values, strict=True))], schema=schema)
+    def _answer(blocks, level, part, packed, tokens, distinct):
+        k = len(blocks)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, f.type) for x, f in zip((blocks, [level] * k, [part] * k, packed, [tokens] * k, [distinct] * k), schema, strict=True)], schema=schema
+        )
 
     schema = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("part", pa.int32()), ("totals", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64())])
     return requests.repartition(1 << bits, "part").mapInArrow(run, "block long, level int, part int, totals binary, tokens long, distinct long")
 
 
-def _joined(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Blocks with their n-grams' training totals, by level, in the order of the sorted hashes."""
-    schema = "block long, ids array<long>, train array<boolean>, sizes binary, words binary, places binary, totals array<binary>"
+def _by_block(blocks: DataFrame, answers: DataFrame, make, schema: str) -> DataFrame:
+    """``make`` applied to each block with its n-grams' training totals, by level, in the order of the sorted hashes.
+
+    The blocks are bucketed by block, so only the answers are shuffled.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = sorted(zip(right["level"].to_pylist(), right["part"].to_pylist(), range(right.num_rows), strict=True))
         found: dict[int, list] = {}
-        for level, _, k in rows:
+        for level, _, k in sorted(zip(right["level"].to_pylist(), right["part"].to_pylist(), range(right.num_rows), strict=True)):
             found.setdefault(level, []).append(_from_planes(right["totals"][k].as_py(), 5))
-        packed = [_planes(np.concatenate(found[n]), 5) for n in sorted(found)]
-        left = left.select(["block", "ids", "train", "sizes", "words", "places"])
-        return left.append_column("totals", pa.array([packed] * left.num_rows, pa.list_(pa.binary())))
+        totals = [np.concatenate(found[n]) for n in sorted(found)]
+        return pa.Table.from_batches([make(row, totals) for row in left.to_pylist()])
 
     return blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(run, schema)
 
 
-def _counts(row: dict, order: int):
+def _counts(row: dict, found: list, order: int):
     """For each token and n: the total of its n-gram; and of each context (for n = 2, of the word before)."""
     n = np.frombuffer(row["sizes"], dtype=np.int32)
     first = np.cumsum(n) - n
     totals = []
-    for packed, (_, place) in zip(row["totals"], _levels(row["words"], row["places"], row["sizes"], order), strict=True):
-        totals.append(_from_planes(packed, 5).astype(np.float64)[place])
+    for total, (_, place) in zip(found, _levels(row["words"], row["places"], row["sizes"], order), strict=True):
+        totals.append(total.astype(np.float64)[place])
     return n, first, totals
 
 
@@ -182,27 +185,27 @@ def _bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count < 1, 0, np.minimum(BUCKETS - 1, 1 + np.floor(np.log2(np.maximum(count, 1))).astype(np.int64)))
 
 
-def _histogram(joined: DataFrame, order: int, tokens: int, documents: int) -> DataFrame:
+def _histogram(blocks: DataFrame, answers: DataFrame, order: int, tokens: int, documents: int) -> DataFrame:
     """Training tokens by context bucket and by deleted estimate of each order (logarithms on a grid)."""
 
     def grid(p):
         return np.where(p > 0, np.round(GRID * np.log(np.maximum(p, 1e-300))), 1).astype(np.int64)  # 1: no estimate
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                n, first, totals = _counts(row, order)
-                train = np.repeat(np.array(row["train"], dtype=bool), n)
-                if not train.any():
-                    continue
-                contexts = [(c - 1)[train] for c in _contexts(totals, first, documents)]
-                totals = [(t - 1)[train] for t in totals]
-                cells = [_bucket(contexts[0]) if contexts else np.zeros(len(totals[0]), np.int64), grid(totals[0] / max(1, tokens - 1))]
-                cells += [grid(np.where(c > 0, t / np.maximum(c, 1), 0)) for t, c in zip(totals[1:], contexts, strict=True)]
-                found, size = np.unique(np.stack(cells), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.T.tolist(), pa.list_(pa.int64())), pa.array(size)], names=["cell", "n"])
+    def make(row: dict, found: list) -> pa.RecordBatch:
+        n, first, totals = _counts(row, found, order)
+        train = np.repeat(np.array(row["train"], dtype=bool), n)
+        contexts = [(c - 1)[train] for c in _contexts(totals, first, documents)]
+        totals = [(t - 1)[train] for t in totals]
+        cells = [_bucket(contexts[0]) if contexts else np.zeros(len(totals[0]), np.int64), grid(totals[0] / max(1, tokens - 1))]
+        cells += [grid(np.where(c > 0, t / np.maximum(c, 1), 0)) for t, c in zip(totals[1:], contexts, strict=True)]
+        code = np.zeros(len(totals[0]), dtype=np.int64)  # a cell as one number: estimates are -4096 to 1
+        for c in cells:
+            code = code * 8192 + (c + 4096)
+        _, at, size = np.unique(code, return_index=True, return_counts=True)
+        found_cells = np.stack([c[at] for c in cells], axis=1).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(found_cells, pa.list_(pa.int64())), pa.array(size, pa.int64())], names=["cell", "n"])
 
-    return joined.mapInArrow(run, "cell array<long>, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return _by_block(blocks, answers, make, "cell array<long>, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def fit_weights(cells: np.ndarray, n: np.ndarray, order: int, vocabulary: int, rounds: int = 100) -> np.ndarray:
@@ -228,34 +231,33 @@ def fit_weights(cells: np.ndarray, n: np.ndarray, order: int, vocabulary: int, r
     return np.maximum(weights, 1e-9) / np.maximum(weights, 1e-9).sum(axis=1, keepdims=True)
 
 
-def _scores(joined: DataFrame, order: int, tokens: int, distinct: int, documents: int, weights: np.ndarray) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                n, first, totals = _counts(row, order)
-                contexts = _contexts(totals, first, documents)
-                w = weights[_bucket(contexts[0]) if contexts else np.zeros(len(totals[0]), np.int64)]
-                p = w[:, 0] / (distinct + 1) + w[:, 1] * totals[0] / max(1, tokens)
-                for k, (t, c) in enumerate(zip(totals[1:], contexts, strict=True), 2):
-                    p += w[:, k] * np.where(c > 0, t / np.maximum(c, 1), 0)
-                base = np.log10((totals[0] + 0.5) / (tokens + 0.5 * (distinct + 1)))
-                known = (totals[0] > 0).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["ids"], pa.int64()),
-                        pa.array(n.astype(np.int64)),
-                        pa.array(np.add.reduceat(known, first)),
-                        pa.array(np.full(len(n), tokens, dtype=np.int64)),
-                        pa.array(np.add.reduceat(base, first)),
-                        pa.array(np.add.reduceat(np.log10(p), first)),
-                    ],
-                    names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return joined.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def lm_scores(docs: DataFrame, train, order: int = 2, block_bytes: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _scores(blocks: DataFrame, answers: DataFrame, order: int, tokens: int, distinct: int, documents: int, weights: np.ndarray) -> DataFrame:
+    def make(row: dict, found: list) -> pa.RecordBatch:
+        n, first, totals = _counts(row, found, order)
+        contexts = _contexts(totals, first, documents)
+        w = weights[_bucket(contexts[0]) if contexts else np.zeros(len(totals[0]), np.int64)]
+        p = w[:, 0] / (distinct + 1) + w[:, 1] * totals[0] / max(1, tokens)
+        for k, (t, c) in enumerate(zip(totals[1:], contexts, strict=True), 2):
+            p += w[:, k] * np.where(c > 0, t / np.maximum(c, 1), 0)
+        base = np.log10((totals[0] + 0.5) / (tokens + 0.5 * (distinct + 1)))
+        known = (totals[0] > 0).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(row["ids"], pa.int64()),
+                pa.array(n.astype(np.int64)),
+                pa.array(np.add.reduceat(known, first)),
+                pa.array(np.full(len(n), tokens, dtype=np.int64)),
+                pa.array(np.add.reduceat(base, first)),
+                pa.array(np.add.reduceat(np.log10(p), first)),
+            ],
+            names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return _by_block(blocks, answers, make, schema)
+
+
+def lm_scores(docs: DataFrame, train, order: int = 2, block_bytes: int = 2_500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every row's whole text by an n-gram model of the rows for which ``train`` holds.
 
     Result: doc_id, n_tokens (words and one end), n_known (tokens that the training rows have),
@@ -266,17 +268,16 @@ def lm_scores(docs: DataFrame, train, order: int = 2, block_bytes: int = 12_000_
     """
     spark = docs.sparkSession
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = materialise(tokenise(marked, block_bytes, "id", "text", "train"), "blocks")
+    name = f"lm_blocks_{uuid.uuid4().hex}"
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tokenise(marked, block_bytes, "id", "text", "train").write.format("parquet").bucketBy(buckets, "block").saveAsTable(name)
+    blocks = spark.table(name)
     size = blocks.agg(F.count("*").alias("n"), F.sum(F.size(F.filter("train", lambda x: x))).alias("docs")).first()
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size["n"])
-    bits = min(20, max(1, (wanted - 1).bit_length()))
+    bits = min(20, max(1, (max(buckets, size["n"]) - 1).bit_length()))
     answers = materialise(_answers(_requests(blocks, bits, order), bits), "answers")
     found = answers.where("block = -1").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
     tokens, distinct, documents = found["n"] or 0, found["v"] or 0, size["docs"] or 0
-    joined = materialise(_joined(blocks, answers), "joined")
-    discard(blocks)
-    discard(answers)
-    cells = _histogram(joined, order, tokens, documents).collect()  # buckets by grid points: bounded
+    cells = _histogram(blocks, answers, order, tokens, documents).collect()  # buckets by grid points: bounded
     cells.sort(key=lambda r: tuple(r.cell))
     weights = fit_weights(np.array([r.cell for r in cells], dtype=np.int64).reshape(len(cells), -1), np.array([r.n for r in cells], dtype=float), order, distinct)
-    return _scores(joined, order, tokens, distinct, documents, weights)
+    return _scores(blocks, answers, order, tokens, distinct, documents, weights)
