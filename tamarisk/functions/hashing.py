@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, FloatType
 
 from .turkish import WORD, fold_case
 
@@ -46,7 +47,7 @@ def embed(text: str | None) -> np.ndarray:
     return v / (np.linalg.norm(v) or 1)
 
 
-@pandas_udf("array<float>")
+@pandas_udf(ArrayType(FloatType()))
 def hash_embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series([embed(t).tolist() for t in batch])

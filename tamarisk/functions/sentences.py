@@ -52,10 +52,12 @@ def distinct_bigram_ratio(text: Column) -> Column:
 
 def repeated_sentence(text: Column) -> Column:
     """The first answer sentence that says again what one before it said, or the empty string."""
-    said = answer_sentences(text)
-    keys = F.transform(said, lambda s: F.lower(strip(F.regexp_replace(s, SPACE, " "))))
-    again = F.filter(F.transform(said, lambda s, i: F.struct(s.alias("s"), (F.array_position(keys, F.element_at(keys, i + 1)) < i + 1).alias("old"))), lambda x: x["old"])
-    return F.coalesce(F.get(again, F.lit(0))["s"], F.lit(""))
+    rows = F.transform(answer_sentences(text), lambda s, i: F.struct(F.lower(strip(F.regexp_replace(s, SPACE, " "))).alias("key"), i.alias("pos"), s.alias("s")))
+    rows = F.array_sort(rows)
+    n = F.greatest(F.size(rows) - 1, F.lit(0))
+    # neighbours in the order of their keys: the second of equal ones is a repetition
+    again = F.zip_with(F.slice(rows, 1, n), F.slice(rows, 2, n), lambda a, b: F.when(a["key"] == b["key"], F.struct(b["pos"].alias("pos"), b["s"].alias("s"))))
+    return F.coalesce(F.array_min(again)["s"], F.lit(""))
 
 
 def is_degenerate(text: Column) -> Column:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Upper-case letters whose Turkish lower case differs from the default, vowels, suffixes
 # (longest first within a pass), softened consonants, stop words.
@@ -42,7 +43,7 @@ def fold_case(text: Column) -> Column:
     return F.lower(F.translate(text, FOLD_FROM, FOLD_TO))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def deaccent(text: pd.Series) -> pd.Series:
     """Letters without their diacritics; dotless i becomes i."""
 

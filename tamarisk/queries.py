@@ -1,9 +1,414 @@
-"""The registered queries of the retrieval and answer-audit operators."""
+"""The registered queries of the retrieval and answer-audit operators, over whole tables.
+
+Documents are the corpus, benchmark items the questions; an item that stands in a document is
+answerable, the first such document being the expected source. In conversations, assistant turns
+are answers and the user turns of the same conversation their passages.
+"""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import sentences as S
+from .functions import turkish as T
+from .functions import vectors as V
+from .functions.chunking import chunk_documents, section_lines
+from .functions.hashing import hash_embed, hash_features
+from .operators import answer as A
+from .operators import groundedness as G
+from .operators.backends import HashingBackend
+from .operators.dense import cosine_scores, search_top_k, sparse_scores
+from .operators.hybrid import fuse, hybrid_search, matched_by
+from .operators.lexical import BM25Index, term_frequency, top, with_stems
+from .plans import evaluate as E
+from .sources import store
+from .sql import ORACLES
+
+SCALE, K = 16.0, 4
+CAL_SCALES = (16.0, 32.0, 64.0, 128.0, 256.0, 512.0)
+MARKDOWN = [("a", ["intro", "# One", "x", "## Two", "", "y", "#NoHeading", "z"]), ("b", ["# Only"]), ("c", ["", "# T \t", "last"])]
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", "text")
+
+
+def _items(spark, sf):
+    return _table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def _words(spark, sf):
+    return _docs(spark, sf).select(F.explode(T.tokenize(F.col("text"))).alias("word")).distinct()
+
+
+def fold_case(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.fold_case(F.col("text")).alias("folded"))
+
+
+def tokenize(spark, sf):
+    t = T.tokenize(F.col("text"))
+    return _docs(spark, sf).select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+def term_freq(spark, sf):
+    return term_frequency(_docs(spark, sf), "doc_id", F.col("text")).select(F.col("id").alias("doc_id"), "term", F.col("tf").cast("long").alias("tf"))
+
+
+def vocab_size(spark, sf):
+    terms = with_stems(_words(spark, sf)).select(F.explode(F.array("word", "stem")).alias("term"))
+    return terms.where("term <> ''").agg(F.countDistinct("term").alias("vocabulary"))
+
+
+def stem(spark, sf):
+    return with_stems(_words(spark, sf)).select("word", "stem")
+
+
+def last_vowel(spark, sf):
+    w = _words(spark, sf)
+    return w.select("word", T.last_vowel(F.col("word")).alias("vowel"), T.harmony(F.col("word")).alias("harmony"))
+
+
+def expand_tokens(spark, sf):
+    x = T.expand_tokens(F.col("text"))
+    return _docs(spark, sf).select("doc_id", x.alias("x")).select("doc_id", F.size("x").cast("long").alias("n"), F.md5(F.array_join("x", " ")).alias("terms_md5"))
+
+
+def normalize_text(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(T.normalize(F.col("text"))).alias("normalized_md5"))
+
+
+def shares_root(spark, sf):
+    w = _table(spark, sf, "benchmark").select("item_id", T.tokenize(F.col("text")).alias("t"))
+    pairs = w.select("item_id", F.posexplode(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))).alias("pos", "b"), F.col("t"))
+    pairs = pairs.select("item_id", F.col("pos").cast("long").alias("pos"), F.get("t", F.col("pos")).alias("a"), "b")
+    return pairs.select("*", T.shares_root(F.col("a"), F.col("b")).alias("related"))
+
+
+def content_terms(spark, sf):
+    terms = term_frequency(_docs(spark, sf), "doc_id", F.col("text")).where(T.is_content(F.col("term")))
+    return terms.select(F.col("id").alias("doc_id"), "term", F.col("tf").cast("long").alias("n"))
+
+
+def sentence_split(spark, sf):
+    s = F.posexplode(S.chunk_sentences(F.col("text"))).alias("pos", "sentence")
+    return _docs(spark, sf).select("doc_id", s).select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
+
+
+def sections(spark, sf):
+    rows = [(d, i, line) for d, lines in MARKDOWN for i, line in enumerate(lines)]
+    return section_lines(spark.createDataFrame(rows, "doc string, line_no long, line string")).select("doc", F.col("section").cast("long").alias("section"), "heading", "body")
+
+
+def content_hash(spark, sf):
+    d = _table(spark, sf, "documents")
+    return d.select("doc_id", store.content_hash(F.col("source"), F.upper("lang"), F.col("text")).alias("content_hash"))
+
+
+def citation(spark, sf):
+    d = _table(spark, sf, "documents").withColumn("h", F.when(F.col("lang") == "en", "").otherwise(F.col("lang")))
+    return d.select("doc_id", A.citation(F.col("source"), F.col("h")).alias("citation"), F.length(A.embedding_text(F.col("h"), F.col("text"))).cast("long").alias("embedded_chars"), F.length(A.lexical_text(F.col("h"), F.col("text"))).cast("long").alias("indexed_chars"))
+
+
+def chunk_document(spark, sf):
+    d = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("source"), "text")
+    c = chunk_documents(d)
+    return c.select(F.col("source").cast("long").alias("doc_id"), "chunk_index", "heading", "content")
+
+
+def _bm25(spark, sf):
+    return BM25Index.build(_docs(spark, sf), "doc_id", F.col("text"))
+
+
+def bm25_index(spark, sf):
+    b = _bm25(spark, sf)
+    return b.lengths.crossJoin(F.broadcast(b.corpus)).select(F.col("id").alias("doc_id"), F.col("dl").cast("long").alias("dl"), F.col("n").cast("long").alias("n"), F.round("avgdl", 6).alias("avgdl"))
+
+
+def idf(spark, sf):
+    return _bm25(spark, sf).idf.select("term", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"))
+
+
+def _lexical(spark, sf):
+    return _bm25(spark, sf).scores(_items(spark, sf), "qid", F.col("question"))
+
+
+def bm25_scores(spark, sf):
+    return _lexical(spark, sf).select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def bm25_topk(spark, sf):
+    scores = _lexical(spark, sf).where("score > 0").withColumn("score", F.round("score", 6))
+    return top(scores, 10).select(F.col("qid").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), "score")
+
+
+def saturate(spark, sf):
+    return _lexical(spark, sf).select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), F.round(V.saturate(F.col("score"), SCALE), 6).alias("confidence"))
+
+
+def _vectors(spark, sf):
+    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+def l2_norm(spark, sf):
+    return _vectors(spark, sf).select(F.col("id").alias("vec_id"), F.round(V.l2_norm(F.col("v")), 5).alias("norm"), F.round(V.l2_norm(V.normalize(F.col("v"))), 5).alias("unit"))
+
+
+def _asked(spark, sf):
+    return _vectors(spark, sf).where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+
+
+def cosine_similarity(spark, sf):
+    return cosine_scores(_asked(spark, sf), _vectors(spark, sf)).select("qid", F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
+
+
+def dense_topk(spark, sf):
+    found = search_top_k(_asked(spark, sf), _vectors(spark, sf), 4, 0.3)
+    return found.select("qid", F.col("rank").cast("long").alias("rank"), F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
+
+
+def dim_check(spark, sf):
+    v = _vectors(spark, sf)
+    return v.agg(F.countDistinct(F.size("v")).alias("widths"), F.min(F.size("v")).cast("long").alias("least"), F.max(F.size("v")).cast("long").alias("most"))
+
+
+def hash_embed_sql(spark, sf):
+    return hash_features(_items(spark, sf), "qid", F.col("question")).select(F.col("id").alias("item_id"), F.col("bucket").cast("long").alias("bucket"), F.round("weight", 6).alias("weight"))
+
+
+def hash_embed_arrow(spark, sf):
+    return _docs(spark, sf).select("doc_id", hash_embed(F.col("text")).alias("embedding"))
+
+
+def _rounded(scores):
+    return scores.withColumn("score", F.round("score", 6))
+
+
+def _both(spark, sf):
+    dense = sparse_scores(hash_features(_items(spark, sf), "qid", F.col("question")), hash_features(_docs(spark, sf), "doc_id", F.col("text")))
+    return _rounded(dense), _rounded(_lexical(spark, sf))
+
+
+def matched_by_label(spark, sf):
+    dense, lexical = _both(spark, sf)
+    j = dense.withColumnRenamed("score", "d").join(lexical.withColumnRenamed("score", "x"), ["qid", "id"], "full")
+    return j.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), matched_by(F.coalesce("d", F.lit(0.0)), F.coalesce("x", F.lit(0.0))).alias("matched_by"))
+
+
+def rrf_fuse(spark, sf):
+    f = fuse(*_both(spark, sf), K * 5)
+    return f.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), F.coalesce("dense_rank", F.lit(0)).cast("long").alias("dense_rank"), F.coalesce("lex_rank", F.lit(0)).cast("long").alias("lex_rank"), F.round("fused", 9).alias("fused"))
+
+
+def _hits(spark, sf):
+    return hybrid_search(*_both(spark, sf), K, 0.3, lexical_scale=SCALE)
+
+
+def hybrid(spark, sf):
+    h = _hits(spark, sf)
+    return h.select(F.col("qid").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "dense_score", "lexical_score", F.round("fused_score", 9).alias("fused_score"), "matched_by")
+
+
+def _passages(spark, sf):
+    """Hits of the items by words alone, with content."""
+    hits = top(_rounded(_lexical(spark, sf)).where("score > 0"), K)
+    docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), F.lit("").alias("heading"), F.col("text").alias("content"))
+    return hits.join(docs, "id")
+
+
+def extract_scores(spark, sf):
+    e = A.extract_scores(_items(spark, sf), _passages(spark, sf))
+    return e.select(F.col("qid").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("pos").cast("long").alias("pos"), F.round("relevance", 6).alias("relevance"), F.round("weighted", 6).alias("weighted"))
+
+
+def extract_answer(spark, sf):
+    return A.extract_answer(_items(spark, sf), _passages(spark, sf)).select(F.col("qid").alias("item_id"), "answer")
+
+
+def extractive_chat(spark, sf):
+    return HashingBackend().chat(_items(spark, sf), _passages(spark, sf)).select(F.col("qid").alias("item_id"), "answer")
+
+
+def format_context(spark, sf):
+    return A.format_context(_passages(spark, sf)).select(F.col("qid").alias("item_id"), F.md5("context").alias("context_md5"))
+
+
+def build_messages(spark, sf):
+    m = A.build_messages(_items(spark, sf), _passages(spark, sf))
+    return m.select(F.col("qid").alias("item_id"), F.size("messages").cast("long").alias("n"), F.md5(F.get("messages", F.lit(1))["content"]).alias("user_md5"))
+
+
+def answer_sources(spark, sf):
+    return A.answer_sources(_passages(spark, sf)).select(F.col("qid").alias("item_id"), F.array_join("sources", ",").alias("sources"))
+
+
+def bigram_ratio(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.round(S.distinct_bigram_ratio(F.col("text")), 6).alias("ratio"))
+
+
+def repeated_sentence(spark, sf):
+    return _docs(spark, sf).select("doc_id", S.repeated_sentence(F.col("text")).alias("sentence"))
+
+
+def is_degenerate(spark, sf):
+    return _docs(spark, sf).select("doc_id", S.is_degenerate(F.col("text")).alias("degenerate"))
+
+
+def _dialogue(spark, sf):
+    """Assistant turns as (qid, answer), and for each the user turns of its conversation as passages by turn."""
+    c = _table(spark, sf, "conversations").withColumn("qid", F.col("conv_id") * 1000 + F.col("turn"))
+    answers = c.where("role = 'assistant'").select("qid", "conv_id", F.col("text").alias("answer"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    users = c.where("role = 'user'").select("conv_id", F.row_number().over(w).alias("rank"), F.concat(F.lit("turn"), F.col("turn").cast("string")).alias("source"), F.concat(F.lit("\n"), "text").alias("passage"))
+    return answers.select("qid", "answer"), answers.select("qid", "conv_id").join(users, "conv_id").drop("conv_id")
+
+
+def support_scores(spark, sf):
+    s = G.support_scores(*_dialogue(spark, sf))
+    return s.select("qid", F.col("pos").cast("long").alias("pos"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def support_best(spark, sf):
+    v = G.verdicts(*_dialogue(spark, sf))
+    return v.select("qid", F.col("pos").cast("long").alias("pos"), F.round("score", 6).alias("score"), "supported", "best_source")
+
+
+def groundedness_report(spark, sf):
+    r = G.report(*_dialogue(spark, sf))
+    return r.select("qid", F.round("score", 6).alias("score"), "n_sentences", "n_unsupported", "degenerate", "is_clean", "trustworthy")
+
+
+def answer_mode(spark, sf):
+    answers, passages = _dialogue(spark, sf)
+    r = G.report(answers, passages).join(passages.groupBy("qid").agg(F.count("*").alias("hits")), "qid", "left")
+    mode = A.answer_mode(F.lit("q"), F.coalesce("hits", F.lit(0)), "auto", F.col("score"), F.col("degenerate"))
+    return r.select("qid", mode.alias("mode"))
+
+
+def refusal_flag(spark, sf):
+    c = _table(spark, sf, "conversations")
+    marked = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" Bu konuda BİLGİ BULUNMUYOR, bilmiyorum."))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", E.is_refusal(marked).alias("refused"))
+
+
+def keyword_hits(spark, sf):
+    words = F.array(F.lit("The"), F.lit("UND"), F.lit("que"), F.lit("zzz"))
+    found = E.keywords_found(F.col("text"), words)
+    return _docs(spark, sf).select("doc_id", F.array_join(found, ",").alias("found"), F.size(found).cast("long").alias("n"))
+
+
+def _expected(spark, sf):
+    """(qid, expected): the first document that holds the item; one set of questions against all documents."""
+    docs, items = _docs(spark, sf), _items(spark, sf)
+    held = docs.join(F.broadcast(items), F.contains(F.col("text"), F.col("question"))) if items.count() <= 10_000 else docs.join(items, F.contains(F.col("text"), F.col("question")))
+    first = held.groupBy("qid").agg(F.min("doc_id").alias("doc_id"))
+    return items.select("qid").join(first, "qid", "left").select("qid", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("expected"))
+
+
+def _named_hits(spark, sf):
+    return _hits(spark, sf).select("qid", "rank", F.concat(F.lit("doc"), F.col("id").cast("string")).alias("source"))
+
+
+def recall_mrr(spark, sf):
+    m = E.metrics(E.judge(_expected(spark, sf), _named_hits(spark, sf)))
+    return m.select("questions", "n_answerable", *(F.round(c, 3).alias(c) for c in ("recall_at_k", "mrr", "refusal_accuracy", "overall_accuracy")))
+
+
+def quality_gate(spark, sf):
+    return E.quality_gate(E.metrics(E.judge(_expected(spark, sf), _named_hits(spark, sf))))
+
+
+def _grid(spark, sf):
+    dense, lexical = _both(spark, sf)
+    sources = _docs(spark, sf).select(F.col("doc_id").alias("id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"))
+    return E.calibrate(_expected(spark, sf), dense, lexical, sources, K, scales=CAL_SCALES)
+
+
+def calibration_grid(spark, sf):
+    return _grid(spark, sf).select("lexical_scale", "min_similarity", *(F.round(c, 6).alias(c) for c in ("recall", "refusal", "overall", "balanced")))
+
+
+def calibration_best(spark, sf):
+    return E.best_cell(_grid(spark, sf)).select("lexical_scale", "min_similarity", F.round("balanced", 6).alias("balanced"))
+
+
+def _chunk_rows(spark, sf):
+    d = _table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("chunk_index"), "source", F.lit("").alias("heading"), F.col("text").alias("content"), store.content_hash(F.lit("s"), F.lit(""), F.col("text")).alias("content_hash"))
+
+
+def dedup_insert(spark, sf):
+    rows = _chunk_rows(spark, sf)
+    stored = rows.where("chunk_index % 7 = 0").select("content_hash").distinct()
+    return store.new_rows(rows, stored).select(F.col("chunk_index").alias("doc_id"), "source", "content_hash")
+
+
+def meta_upsert(spark, sf):
+    d = _table(spark, sf, "documents")
+    stored = d.groupBy(F.col("source").alias("key")).agg(F.min("doc_id").cast("string").alias("value"))
+    changes = d.where("lang = 'fr'").select(F.col("source").alias("key"), F.col("doc_id").cast("string").alias("value"), F.col("doc_id").alias("seq"))
+    return store.upsert(stored, changes)
+
+
+def meta_lookup(spark, sf):
+    d = _table(spark, sf, "documents").groupBy(F.col("source").alias("key")).agg(F.max("doc_id").cast("string").alias("value"))
+    rows = [(k, store.get_meta(d, k, "none")) for k in ("src3", "missing")]
+    return spark.createDataFrame(rows, "key string, value string")
+
+
+def index_info(spark, sf):
+    return _table(spark, sf, "documents").agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("sources"))
+
+
+def index_sources(spark, sf):
+    return _table(spark, sf, "documents").select("source").distinct().orderBy("source")
+
+
+def signature_check(spark, sf):
+    """The outcome of opening an index that is empty, foreign, unsigned or right."""
+    folder = tempfile.mkdtemp() if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/sig-{id(object())}"
+    rows = []
+    for name, signature in (("empty", None), ("right", "a:2"), ("foreign", "b:2"), ("unsigned", None)):
+        s = store.Store(spark, f"{folder}/{name}")
+        if name != "empty":
+            one = spark.createDataFrame([("s", 0, "", "t", "h", [1.0, 0.0], 2)], "source string, chunk_index int, heading string, content string, content_hash string, embedding array<float>, dim int")
+            s.add_chunks(one)
+        if signature:
+            s.set_meta({"embedding_signature": signature})
+        try:
+            s.verify("a:2")
+            rows.append((name, "ok"))
+        except store.IndexUnusable as e:
+            rows.append((name, type(e).__name__))
+    return spark.createDataFrame(rows, "name string, outcome string")
+
+
+def ingest_report(spark, sf):
+    d = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("source"), "text")
+    c = chunk_documents(d).withColumn("content_hash", store.content_hash(F.col("source"), F.col("heading"), F.col("content")))
+    fresh = c.select("content_hash").distinct()
+    return d.agg(F.count("*").alias("documents")).crossJoin(c.agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("with_chunks"))).crossJoin(fresh.agg(F.count("*").alias("inserted")))
+
+
+QUERIES = (
+    fold_case, tokenize, term_freq, vocab_size, stem, last_vowel, expand_tokens, normalize_text, shares_root, content_terms, sentence_split,
+    sections, content_hash, citation, chunk_document, bm25_index, idf, bm25_scores, bm25_topk, saturate, l2_norm, cosine_similarity,
+    dense_topk, dim_check, hash_embed_sql, hash_embed_arrow, matched_by_label, rrf_fuse, hybrid, extract_scores, extract_answer,
+    extractive_chat, format_context, build_messages, answer_sources, bigram_ratio, repeated_sentence, is_degenerate, support_scores,
+    support_best, groundedness_report, answer_mode, refusal_flag, keyword_hits, recall_mrr, quality_gate, calibration_grid,
+    calibration_best, dedup_insert, meta_upsert, meta_lookup, index_info, index_sources, signature_check, ingest_report,
+)
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
