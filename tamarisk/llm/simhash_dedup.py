@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from .common import chunks, materialise
-from .components import connected_components
+from .components import connected_components, merge
 
 BITS = 64
 #: Ids at or above this stand for fingerprints that only rows without an id have.
@@ -90,19 +90,6 @@ def _rotate(fps: np.ndarray, by: int) -> np.ndarray:
     return fps if not by else (fps << np.uint64(by)) | (fps >> np.uint64(BITS - by))
 
 
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels after linking positions a and b; a label is the least position of its component."""
-    while True:
-        x, y = label[a], label[b]
-        differ = x != y
-        if not differ.any():
-            return label
-        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(nxt := label[label], label):
-            label = nxt
-
-
 def trie_components(fps: np.ndarray, side: np.ndarray | None, budget: int, top: int, step: int = 200_000) -> np.ndarray:
     """Component labels (positions) of sorted fingerprints, linking those that share the first ``top`` bits
     and differ in at most ``budget`` of the others.
@@ -140,7 +127,7 @@ def trie_components(fps: np.ndarray, side: np.ndarray | None, budget: int, top:
             near &= a != b
             if side is not None:
                 near &= side[a] != side[b]
-            label = _merge(label, a[near], b[near])
+            label = merge(label, a[near], b[near])
             s, e, t, f, errors, own = (x[~small] for x in (s, e, t, f, errors, own))
         if not len(s):
             continue
@@ -212,7 +199,7 @@ def near_components(prints: DataFrame, budget: int = 3, limit: int = 8192) -> Da
     nodes = materialise(
         prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("rep", F.coalesce("rep", own)), "nodes"
     )
-    roots = connected_components(materialise(near_links(nodes, budget, limit), "links"))
+    roots = connected_components(near_links(nodes, budget, limit))
     found = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return found.withColumn("component_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")))
 
