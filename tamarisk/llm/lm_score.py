@@ -279,5 +279,5 @@ def lm_scores(docs: DataFrame, train, order: int = 2, block_bytes: int = 2_500_0
     tokens, distinct, documents = found["n"] or 0, found["v"] or 0, size["docs"] or 0
     cells = _histogram(blocks, answers, order, tokens, documents).collect()  # buckets by grid points: bounded
     cells.sort(key=lambda r: tuple(r.cell))
-    weights = fit_weights(np.array([r.cell for r in cells], dtype=np.int64).reshape(len(cells), -1), np.array([r.n for r in cells], dtype=float), order, distinct)
+    weights = fit_weights(np.array([r.cell for r in cells], dtype=np.int64).reshape(len(cells), order + 1), np.array([r.n for r in cells], dtype=float), order, distinct)
     return _scores(blocks, answers, order, tokens, distinct, documents, weights)

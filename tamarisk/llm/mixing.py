@@ -88,7 +88,7 @@ def rake_local(cells, fraction: float, alpha: float, rounds: int, targets: dict
 
 
 def rake_distributed(cells: DataFrame, fraction: float, alpha: float, rounds: int) -> DataFrame:
-    """The same for a DataFrame of cells: every scaling is a grouped sum joined back, cut every few rounds."""
+    """The same for a DataFrame of cells: every scaling is a grouped sum joined back, written and read again."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         return cells.withColumn("p", F.lit(1.0))
@@ -98,13 +98,12 @@ def rake_distributed(cells: DataFrame, fraction: float, alpha: float, rounds: in
         share = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("t")).select(F.col(d).alias("k"), F.pow("t", F.lit(alpha)).alias("goal"))
         norm = share.agg(F.sum("goal")).first()[0]
         goals[d] = share.withColumn("goal", F.col("goal") / norm)
-    for i in range(rounds):
+    for _ in range(rounds):
         for d in DIMENSIONS:
             have = now.groupBy(F.col(d).alias("k")).agg(F.sum("w").alias("have")).join(goals[d].withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2")))
             have = have.select("k", F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias("f"))
             now = now.join(have, F.col(d).eqNullSafe(F.col("k"))).withColumn("w", F.col("w") * F.col("f")).drop("k", "f")
-        if i % 5 == 4 or i == rounds - 1:
-            now = materialise(now, "raked")
+            now = materialise(now, "raked")  # each scaling reads the last one twice
     ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0)
     now = now.withColumn("r", ratio)
     # the scale at which the expected tokens meet the budget, by bisection over grouped sums
