@@ -11,12 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_spread, read_table
+
 #: The white space that the contracts name: space and U+0009 to U+000D. ``bytes.split()`` splits on the same set.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_spread(spark, sf_dir, name, "doc_id") if name == "documents" else read_table(spark, sf_dir, name)
 
 
 def shared_dir(spark: SparkSession) -> str:
