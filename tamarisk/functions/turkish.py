@@ -64,7 +64,9 @@ def harmony(word: Column) -> Column:
 
 
 def _strip_once(word: Column, suffixes: list[str]) -> Column:
-    marked = F.regexp_replace(word, f"^(.{{{MIN_STEM},}}?)(?<=[{VOWELS}].{{0,80}})(?:{'|'.join(suffixes)})$", "$1~")
+    # a stem of four characters or more with a vowel: either one of the first four is, or it goes on to the first one
+    stem = f"(?=[^{VOWELS}]{{0,{MIN_STEM - 1}}}[{VOWELS}]).{{{MIN_STEM},}}?|[^{VOWELS}]{{{MIN_STEM},}}[{VOWELS}].*?"
+    marked = F.regexp_replace(word, f"^({stem})(?:{'|'.join(suffixes)})$", "$1~")
     for soft, hard in SOFTENED.items():
         marked = F.regexp_replace(marked, f"{soft}~$", hard)
     return F.regexp_replace(marked, "~$", "")

@@ -25,6 +25,7 @@ from .operators.hybrid import fuse, hybrid_search, matched_by
 from .operators.lexical import BM25Index, term_frequency, top, with_stems
 from .plans import evaluate as E
 from .sources import store
+from .sources.tables import read_spread, read_table
 from .sql import ORACLES
 
 SCALE, K = 16.0, 4
@@ -32,12 +33,11 @@ CAL_SCALES = (16.0, 32.0, 64.0, 128.0, 256.0, 512.0)
 MARKDOWN = [("a", ["intro", "# One", "x", "## Two", "", "y", "#NoHeading", "z"]), ("b", ["# Only"]), ("c", ["", "# T \t", "last"])]
 
 
-def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+_table = read_table
 
 
-def _docs(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", "text")
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return read_spread(spark, sf, "documents", "doc_id").select("doc_id", "text")
 
 
 def _items(spark, sf):
@@ -192,7 +192,7 @@ def _rounded(scores):
 
 def _both(spark, sf):
     dense = sparse_scores(hash_features(_items(spark, sf), "qid", F.col("question")), hash_features(_docs(spark, sf), "doc_id", F.col("text")))
-    return _rounded(dense), _rounded(_lexical(spark, sf))
+    return _rounded(dense).cache(), _rounded(_lexical(spark, sf)).cache()  # ranked, joined and gated: read several times
 
 
 def matched_by_label(spark, sf):
