@@ -84,10 +84,6 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_UP = _powers(_BASE, 2 * _BLOCK)
-_DOWN = _powers(pow(_BASE, -1, 1 << 64), 2 * _BLOCK)
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and byte lengths of the lower-cased (A-Z) words of UTF-8 ``texts``, in order, and the number of words of each text.
 
@@ -98,6 +94,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(0, np.int64)
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     limits = np.cumsum([len(t) + 1 for t in texts])
+    # made anew for each batch: as a global of this module it would travel with every function sent to executors
+    size = min(len(data), 2 * _BLOCK)
+    tables = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
     found, begun, sizes, at = [], [], [], 0
     while at < len(data):
         to = at + _BLOCK
@@ -107,7 +106,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             while not len(gap := np.flatnonzero(_BYTE[data[to : to + 1024]] == 0)):
                 to += 1024
             to += int(gap[0]) + 1
-        hashes, starts, lengths = _hash_block(data[at:to])
+        hashes, starts, lengths = _hash_block(data[at:to], *tables)
         found.append(hashes)
         begun.append(starts + at)
         sizes.append(lengths)
@@ -116,14 +115,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate(found), np.concatenate(sizes), counts
 
 
-def _hash_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_block(data: np.ndarray, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, first bytes and lengths of the words in a block that ends with white space."""
     value = _BYTE[data]
     word = np.zeros(len(data) + 1, dtype=bool)
     word[1:] = value != 0
     edges = np.flatnonzero(word[1:] != word[:-1])
     starts, ends = edges[::2], edges[1::2]
-    up, down = (_UP, _DOWN) if len(data) <= len(_UP) else (_powers(_BASE, len(data)), _powers(pow(_BASE, -1, 1 << 64), len(data)))
+    if len(data) > len(up):  # a word of more than a block
+        up, down = _powers(_BASE, len(data)), _powers(pow(_BASE, -1, 1 << 64), len(data))
     value *= up[: len(data)]
     total = np.cumsum(value, out=value)
     before = np.where(starts > 0, total[starts - 1], np.uint64(0))
