@@ -45,7 +45,7 @@ def _items(spark, sf):
 
 
 def _words(spark, sf):
-    return _docs(spark, sf).select(F.explode(T.tokenize(F.col("text"))).alias("word")).distinct()
+    return _docs(spark, sf).select(F.explode(T.tokenize(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def fold_case(spark, sf):
@@ -71,7 +71,7 @@ def stem(spark, sf):
 
 
 def last_vowel(spark, sf):
-    w = _words(spark, sf)
+    w = _words(spark, sf).select("word")
     return w.select("word", T.last_vowel(F.col("word")).alias("vowel"), T.harmony(F.col("word")).alias("harmony"))
 
 
