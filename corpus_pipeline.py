@@ -13,8 +13,8 @@ from tamarisk.llm.common import materialise, table
 from tamarisk.llm.decontaminate import decontaminate
 from tamarisk.llm.line_dedup import without_repeated_lines
 from tamarisk.llm.mixing import sample_mix
+from tamarisk.llm.near_copies import near_dedup
 from tamarisk.llm.queries import toxicity_model
-from tamarisk.llm.simhash_dedup import simhash_dedup
 from tamarisk.llm.toxicity import reject_toxic
 
 #: Share of the tokens that reach the last stage which the mix keeps.
@@ -36,7 +36,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash_dedup(docs, width=5)
+    return near_dedup(docs, width=5)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
