@@ -145,7 +145,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, toxic: int, clean: int, id_c
     return materialise(rows.mapInArrow(prints, "text string, label int, print long").dropDuplicates(["print", "label"]), "labelled").select("text", "label")
 
 
-def _prefixes(batches, shortest: int, only: set | None):
+def _prefixes(batches, shortest: int):
     """(entry, n): the number of texts in which each word prefix of at least ``shortest`` characters occurs."""
     counts: Counter = Counter()
     for b in batches:
@@ -154,11 +154,19 @@ def _prefixes(batches, shortest: int, only: set | None):
             for w in set(fold(t.as_py()).split()):
                 w = f" {w[:40]} "
                 found.update(w[:k] for k in range(min(shortest + 1, len(w)), len(w) + 1))
-            counts.update(found if only is None else found & only)
+            counts.update(found)
     if counts:
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["entry", "n"])
 
 
+def _passing(toxic: int, clean: int, evidence: float, precision: float):
+    """The condition of ``select_entries`` on columns t and c, a hair wider than its floating-point numbers."""
+    t, c, e, prior = F.col("t"), F.col("c"), 1e-12, toxic / (toxic + clean)
+    share = t / toxic / (t / toxic + c / clean)
+    g = 2 * (t * F.log((t + e) / ((t + c) * prior)) + c * F.log((c + e) / ((t + c) * (1 - prior))))
+    return (share >= precision - 1e-9) & (g >= evidence - 1e-6)
+
+
 def select_entries(counts: dict[str, tuple[int, int]], toxic: int, clean: int, evidence: float, precision: float) -> dict[str, float]:
     """The lexicon: the shortest prefixes that are precise and well evidenced, lengthened as long as they lose no text."""
     good: dict[str, float] = {}
@@ -203,9 +211,9 @@ def calibrate(model: Model, total: np.ndarray, words: np.ndarray, label: np.ndar
     return Model(model.weights, model.exceptions, *best[1:])
 
 
-def learn(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 9000, entries: int = 20_000, shortest: int = 3,
+def learn(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 9000, shortest: int = 3,
           evidence: float = 22.0, precision: float = 0.98, exceptions: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learns from at most ``toxic`` and ``clean`` labelled rows; at most ``entries`` candidates reach the driver.
+    """Learns from at most ``toxic`` and ``clean`` labelled rows; only entries of enough precision and evidence reach the driver.
 
     Without labelled rows of both kinds, every text gets the same score: 1 if there are toxic rows only, else 0.
     """
@@ -214,12 +222,11 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 90
     if not n.get(1) or not n.get(0):
         return Model(intercept=40.0 if n.get(1) else -40.0)
 
-    def counted(label: int, only: set | None) -> DataFrame:
-        return sample.where(F.col("label") == label).mapInArrow(lambda b: _prefixes(b, shortest, only), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    def counted(label: int, name: str) -> DataFrame:
+        return sample.where(F.col("label") == label).mapInArrow(lambda b: _prefixes(b, shortest), "entry string, n long").groupBy("entry").agg(F.sum("n").alias(name))
 
-    top = {r.entry: r.n for r in counted(1, None).where("n >= 3").orderBy(F.desc("n"), "entry").limit(entries).collect()}
-    rest = {r.entry: r.n for r in counted(0, set(top)).collect()}
-    weights = select_entries({k: (t, rest.get(k, 0)) for k, t in top.items()}, n[1], n[0], evidence, precision)
+    both = counted(1, "t").where("t >= 3").join(counted(0, "c"), "entry", "left").select("entry", "t", F.coalesce("c", F.lit(0)).alias("c"))
+    weights = select_entries({r.entry: (r.t, r.c) for r in both.where(_passing(n[1], n[0], evidence, precision)).collect()}, n[1], n[0], evidence, precision)
     known = [fold(x) for x in exceptions]
     model = Model(weights, known + _learn_exceptions(sample, Model(weights, known)))
 

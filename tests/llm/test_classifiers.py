@@ -79,6 +79,15 @@ def test_learned_lexicon(spark, docs):
     assert {r.predicted for r in TX.toxicity(docs(rows[:3]), none).collect()} == {0}
 
 
+def test_rare_precise_entry_among_many_common_words(docs):
+    """Over 20,000 prefixes that all texts have don't displace one that a third of the toxic texts have."""
+    rng = np.random.default_rng(4)
+    common = ["".join(w) for w in rng.choice(list("abcdefghijklm"), (6000, 8))]
+    rows = [(i, " ".join([*(common[k] for k in rng.permutation(6000)), *(["zlorp"] if i % 12 == 0 else ["plain"])])) for i in range(240)]
+    labels = docs(rows).selectExpr("doc_id", "CAST(doc_id % 4 = 0 AS INT) AS toxic")
+    assert list(TX.learn(docs(rows), labels).weights) == [" zlorp "]
+
+
 def test_toxicity_query(spark, sf):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = [r for r in op5_toxicity(spark, sf).collect() if r.doc_id in labels]
