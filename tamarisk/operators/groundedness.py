@@ -6,11 +6,11 @@ question's sentences meet its own passages only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sentences import answer_sentences, is_degenerate
-from ..functions.turkish import content_terms
+from ..functions.terms import counted_content
 
 SUPPORTED_FROM = 0.45
 
@@ -22,39 +22,44 @@ def sentences(answers: DataFrame) -> DataFrame:
 
 def passage_terms(hits: DataFrame) -> DataFrame:
     """(qid, rank, term): distinct content terms of each passage."""
-    return hits.select("qid", "rank", F.explode(F.array_distinct(content_terms(F.col("passage")))).alias("term"))
+    terms = hits.select("qid", "rank", counted_content(F.col("passage")).alias("terms"))
+    return terms.select("qid", "rank", F.inline("terms")).select("qid", "rank", "term")
 
 
 def passage_idf(hits: DataFrame) -> DataFrame:
-    """(qid, term, idf) over a question's passages."""
+    """(qid, term, idf, ranks) over a question's passages; ranks are those of the passages that have the term."""
     n = hits.groupBy("qid").agg(F.count("*").alias("n"))
-    df = passage_terms(hits).groupBy("qid", "term").agg(F.count("*").alias("df"))
-    return df.join(n, "qid").select("qid", "term", F.ln(1 + F.col("n") / (F.col("df") + F.lit(0.5))).alias("idf"))
+    found = passage_terms(hits).groupBy("qid", "term").agg(F.collect_set("rank").alias("ranks"))
+    return found.join(n, "qid").select("qid", "term", F.ln(1 + F.col("n") / (F.size("ranks") + F.lit(0.5))).alias("idf"), "ranks")
 
 
-def support_scores(answers: DataFrame, hits: DataFrame) -> DataFrame:
-    """(qid, pos, rank, score): share of a sentence's weight that each passage of its question covers.
+def covered_shares(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, pos, rank, score): share of a sentence's weight that a passage of its question covers, where it covers any.
 
-    A term weighs its idf, or the largest idf if no passage has it, at most twice. A sentence
-    without content terms scores 0.
+    A term weighs its idf, or the largest idf if no passage has it, at most twice.
     """
-    said = sentences(answers)
-    terms = said.select("qid", "pos", F.explode(content_terms(F.col("sentence"))).alias("term")).groupBy("qid", "pos", "term").agg(F.least(F.count("*"), F.lit(2)).alias("n"))
+    said = sentences(answers).select("qid", "pos", counted_content(F.col("sentence")).alias("terms"))
+    terms = said.select("qid", "pos", F.inline("terms"))
     idf = passage_idf(hits)
     top = idf.groupBy("qid").agg(F.max("idf").alias("top"))
-    weighted = terms.join(idf, ["qid", "term"], "left").join(top, "qid", "left")
-    weighted = weighted.select("qid", "pos", "term", (F.col("n") * F.coalesce("idf", "top", F.lit(1.0))).alias("w"))
-    total = weighted.groupBy("qid", "pos").agg(F.sum("w").alias("total"))
-    covered = weighted.join(passage_terms(hits), ["qid", "term"]).groupBy("qid", "pos", "rank").agg(F.sum("w").alias("covered"))
-    grid = said.select("qid", "pos").join(hits.select("qid", "rank"), "qid")
-    scored = grid.join(total, ["qid", "pos"], "left").join(covered, ["qid", "pos", "rank"], "left")
-    return scored.select("qid", "pos", "rank", F.coalesce(F.col("covered") / F.col("total"), F.lit(0.0)).alias("score"))
+    weight = F.least("n", F.lit(2)) * F.coalesce("idf", "top", F.lit(1.0))
+    weighted = terms.join(idf, ["qid", "term"], "left").join(top, "qid", "left").select("qid", "pos", weight.alias("w"), "ranks")
+    total = F.sum("w").over(Window.partitionBy("qid", "pos"))
+    spread = weighted.withColumn("total", total).select("qid", "pos", "w", "total", F.explode("ranks").alias("rank"))
+    return spread.groupBy("qid", "pos", "rank").agg((F.sum("w") / F.first("total")).alias("score"))
+
+
+def support_scores(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, pos, rank, score) of every sentence and passage of a question; 0 where nothing is covered, as in a sentence without content terms."""
+    grid = sentences(answers).select("qid", "pos").join(hits.select("qid", "rank"), "qid")
+    scored = grid.join(covered_shares(answers, hits), ["qid", "pos", "rank"], "left")
+    return scored.select("qid", "pos", "rank", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def verdicts(answers: DataFrame, hits: DataFrame, threshold: float = SUPPORTED_FROM) -> DataFrame:
     """(qid, pos, sentence, score, supported, best_source): each sentence's best passage, the first of equals; '' if none covers it."""
     best = (
-        support_scores(answers, hits).groupBy("qid", "pos")
+        covered_shares(answers, hits).groupBy("qid", "pos")
         .agg(F.max(F.struct(F.round("score", 12).alias("r"), (-F.col("rank")).alias("k"), "score")).alias("b"))
         .select("qid", "pos", F.col("b.score").alias("score"), (-F.col("b.k")).alias("rank"))
         .join(hits.select("qid", "rank", "source"), ["qid", "rank"])
@@ -64,12 +69,13 @@ def verdicts(answers: DataFrame, hits: DataFrame, threshold: float = SUPPORTED_F
     return found.select("qid", "pos", "sentence", score.alias("score"), (score >= threshold).alias("supported"), F.when(score > 0, F.col("source")).otherwise("").alias("best_source"))
 
 
-def report(answers: DataFrame, hits: DataFrame, threshold: float = SUPPORTED_FROM) -> DataFrame:
+def report(answers: DataFrame, hits: DataFrame, threshold: float = SUPPORTED_FROM, judged: DataFrame | None = None) -> DataFrame:
     """One row per answer: qid, score, n_sentences, n_unsupported, degenerate, is_clean, trustworthy, summary.
 
-    Without a checkable sentence the score is 1 and the answer is not called degenerate.
+    Without a checkable sentence the score is 1 and the answer is not called degenerate. ``judged``
+    are the answers' verdicts if they are there already.
     """
-    sums = verdicts(answers, hits, threshold).groupBy("qid").agg(
+    sums = (verdicts(answers, hits, threshold) if judged is None else judged).groupBy("qid").agg(
         F.count("*").alias("n"), F.sum(F.col("supported").cast("int")).alias("good")
     )
     joined = answers.join(sums, "qid", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("good", F.coalesce("good", F.lit(0)))
