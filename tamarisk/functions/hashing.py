@@ -1,7 +1,8 @@
 """Deterministic feature-hashing embeddings.
 
 ``hash_embed`` is an Arrow UDF, as its hash and accent folding have no built-in counterpart.
-``hash_features`` is a built-in variant, sparse and in a vector space of its own (MD5 buckets).
+``hash_features`` is a built-in variant, sparse and in a vector space of its own (MD5 buckets);
+``md5_embed`` gives the same vectors densely.
 """
 
 from __future__ import annotations
@@ -11,51 +12,112 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
+from hashlib import blake2b, md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.functions import arrow_udf
 
 from .turkish import WORD, fold_case
 
 DIM = 512
 SIGNATURE, SQL_SIGNATURE = f"hashing-offline:{DIM}", f"hashing-md5:{DIM}"
+#: Distinct features whose places a task keeps at a time.
+MEMO = 1 << 18
 ACCENTS_FROM, ACCENTS_TO = "çğöşüáàâäéèêëíìîïóòôúùûñ", "cgosuaaaaeeeeiiiiooouuun"
 
 
-def features(text: str) -> Counter:
+def _counted(words: list[str]) -> Counter:
     """Words, 4-grams within words of more than five characters, and word pairs."""
-    plain = unicodedata.normalize("NFKD", text.replace("I", "ı").replace("İ", "i").lower())
-    words = re.findall(r"\w+", "".join(c for c in plain if not unicodedata.combining(c)))
     counts = Counter("w:" + w for w in words)
     counts.update(f"c:{w[i : i + 4]}" for w in words if len(w) > 5 for i in range(len(w) - 3))
     counts.update(f"b:{a}_{b}" for a, b in zip(words, words[1:], strict=False))
     return counts
 
 
-def embed(text: str | None) -> np.ndarray:
+def features(text: str) -> Counter:
+    plain = unicodedata.normalize("NFKD", text.replace("I", "ı").replace("İ", "i").lower())
+    return _counted(re.findall(r"\w+", "".join(c for c in plain if not unicodedata.combining(c))))
+
+
+def place(feature: str) -> tuple[int, int]:
+    """Bucket and sign of a feature."""
+    data = feature.encode("utf-8", "replace")
+    sign = 1 if blake2b(data, digest_size=5).digest()[4] % 2 else -1
+    return int.from_bytes(blake2b(data, digest_size=4).digest(), "big") % DIM, sign
+
+
+def md5_place(feature: str) -> tuple[int, int]:
+    digest = md5(feature.encode()).hexdigest()
+    return int(digest[:8], 16) % DIM, 1 if int(digest[8], 16) % 2 else -1
+
+
+def embed(text: str | None, place=place) -> np.ndarray:
     """Unit vector of signed, sublinear feature counts; no word gives the zero vector."""
     v = np.zeros(DIM, dtype=np.float32)
     for f, n in features(text or "").items():
-        data = f.encode("utf-8", "replace")
-        place = int.from_bytes(blake2b(data, digest_size=4).digest(), "big") % DIM
-        v[place] += (1 if blake2b(data, digest_size=5).digest()[4] % 2 else -1) * (1 + math.log(n))
+        bucket, sign = place(f)
+        v[bucket] += sign * (1 + math.log(n))
     return v / (np.linalg.norm(v) or 1)
 
 
-@pandas_udf(ArrayType(FloatType()))
-def hash_embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([embed(t).tolist() for t in batch])
+def _remembered(place):
+    """``place`` with a table of the features that a task has met, emptied when it is full."""
+    known: dict[str, tuple[int, int]] = {}
+
+    def find(feature: str) -> tuple[int, int]:
+        if feature not in known:
+            if len(known) >= MEMO:
+                known.clear()
+            known[feature] = place(feature)
+        return known[feature]
+
+    return find
+
+
+def _vectors(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    flat = np.concatenate(rows) if rows else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, DIM * len(rows) + 1, DIM, dtype=np.int32)), pa.array(flat, kind))
+
+
+def hash_embed(text: Column) -> Column:
+    """Embedding of a text (array<float>); null text has the zero vector."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        find = _remembered(place)
+        for batch in batches:
+            yield _vectors([embed(t.as_py(), find) for t in batch], pa.float32())
+
+    return arrow_udf(run, "array<float>")(text)
+
+
+def md5_embed(text: Column) -> Column:
+    """The vectors of ``hash_features``, dense (array<double>): one row a text and no shuffle."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        find, words = _remembered(md5_place), re.compile(WORD).findall
+        for batch in batches:
+            made = []
+            for t in batch:
+                v = np.zeros(DIM)
+                for f, n in _counted(words(t.as_py() or "")).items():
+                    bucket, sign = find(f)
+                    v[bucket] += sign * (1 + math.log(n))
+                made.append(v / (np.linalg.norm(v) or 1))
+            yield _vectors(made, pa.float64())
+
+    return arrow_udf(run, "array<double>")(_plain(text))
+
+
+def _plain(text: Column) -> Column:
+    return F.translate(fold_case(F.coalesce(text, F.lit(""))), ACCENTS_FROM, ACCENTS_TO)
 
 
 def hash_features(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, bucket, weight): sparse unit vectors by MD5 buckets, built-ins only."""
-    words = F.regexp_extract_all(F.translate(fold_case(F.coalesce(text, F.lit(""))), ACCENTS_FROM, ACCENTS_TO), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(_plain(text), F.lit(WORD), F.lit(0))
     grams = lambda w: F.when(F.length(w) > 5, F.transform(F.sequence(F.lit(1), F.length(w) - 3), lambda i: F.concat(F.lit("c:"), F.substr(w, i, F.lit(4))))).otherwise(F.array().cast("array<string>"))
     n = F.size("__w")
     pairs = F.zip_with(F.slice("__w", 1, F.greatest(n - 1, F.lit(0))), F.slice("__w", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(F.lit("b:"), a, F.lit("_"), b))

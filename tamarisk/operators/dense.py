@@ -1,21 +1,21 @@
 """Dense search: every question against every vector.
 
-``cosine_scores`` is declarative, for small question sets; ``search_top_k`` is the same search by
-batched matrix products, with the questions taken in blocks of bounded size and only the k best of
-each Arrow batch leaving the Python worker. ``sparse_scores`` joins sparse vectors on buckets.
+``search_top_k`` takes the questions in blocks of bounded size and scans the vectors once a block by
+matrix products; a task keeps the k best of each question and returns nothing else, but for pairs
+that are asked for. ``cosine_scores`` gives the scores of all pairs, for checks.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 
-#: Questions whose vectors are sent to the executors at a time.
-QUESTION_BLOCK = 4096
+#: Questions whose vectors are sent to the executors at a time, and vectors that meet them at a time.
+QUESTION_BLOCK, VECTOR_BLOCK = 4096, 1024
 
 
 def assert_uniform_dim(vectors: DataFrame, column: str = "embedding") -> int | None:
@@ -31,42 +31,91 @@ def cosine_scores(questions: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.crossJoin(questions).select("qid", "id", cosine(F.col("q"), F.col("v")).alias("score"))
 
 
-def search_top_k(questions: DataFrame, vectors: DataFrame, k: int = 4, min_similarity: float = 0.0) -> DataFrame:
-    """(qid, rank, id, score): the k nearest of each question, then those that reach the threshold."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Unit rows of a list column; zero vectors stay zero."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    widths = set(column.value_lengths().to_pylist())
+    if len(widths) > 1:
+        raise ValueError("vectors of different widths")
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def best_of_each(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best rows of each question, by score and then id, grouped by question."""
+    order = np.lexsort((ids, -score, q))
+    first = np.concatenate(([True], q[order][1:] != q[order][:-1])) if len(order) else np.empty(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    return order[np.arange(len(order)) - start < k]
+
+
+def _scan(questions: DataFrame, vectors: DataFrame, k: int, also: DataFrame | None, digits: int | None) -> DataFrame:
+    """(qid, id, score, asked): each task's k best, and the pairs ``also`` (asked)."""
     spark = questions.sparkSession
     numbered = questions.select("qid", "q")
     n = numbered.count()
     blocks = -(-n // QUESTION_BLOCK) if n else 0
-    schema = "qid long, id long, score double"
+    schema = "qid long, id long, score double, asked boolean"
     out = spark.createDataFrame([], schema)
     for block in range(blocks):
-        part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
-        rows = part.collect()
-        ids = np.array([r.qid for r in rows], dtype=np.int64)
-        q = np.array([r.q for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        shared = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+        own = F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block
+        rows = numbered.where(own).toArrow()
+        ids = rows["qid"].to_numpy()
+        place = {i: at for at, i in enumerate(ids.tolist())}
+        pairs = sorted((r.id, place[r.qid]) for r in also.where(own).select("qid", "id").collect() if r.qid in place) if also is not None else []
+        wanted = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        shared = spark.sparkContext.broadcast((ids, _matrix(rows["q"]), wanted[:, 0].copy(), wanted[:, 1].copy()))
 
         def run(batches, shared=shared):
-            ids, q = shared.value
+            ids, q, pair_id, pair_q = shared.value
+            floor = np.full(len(ids), -np.inf)
+            best_q, best_id, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
             for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                v = np.array(batch["v"].tolist(), dtype=np.float64)
-                if v.shape[1] != q.shape[1]:
-                    raise ValueError("dimension mismatch: query and index need the same embedding")
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                own = batch["id"].to_numpy()
-                score = q @ v.T
-                order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(ids, order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
-
-        out = out.unionByName(vectors.select("id", "v").mapInPandas(run, schema))
+                for a in range(0, batch.num_rows, VECTOR_BLOCK):
+                    part = batch.slice(a, VECTOR_BLOCK)
+                    v, own = _matrix(part.column(1)), part.column(0).to_numpy()
+                    if v.shape[1] != q.shape[1]:
+                        raise ValueError("dimension mismatch: query and index need the same embedding")
+                    score = q @ v.T
+                    if digits is not None:
+                        score = np.round(score, digits)
+                    x, y = np.nonzero(score >= floor[:, None])
+                    best_q, best_id, best = np.concatenate((best_q, x)), np.concatenate((best_id, own[y])), np.concatenate((best, score[x, y]))
+                    kept = best_of_each(best_q, best_id, best, k)
+                    best_q, best_id, best = best_q[kept], best_id[kept], best[kept]
+                    full = np.flatnonzero(np.bincount(best_q, minlength=len(ids)) == k)
+                    floor[full] = np.minimum.reduceat(best, np.searchsorted(best_q, np.arange(len(ids))).clip(max=len(best) - 1))[full] if len(best) else floor[full]
+                    low, high = np.searchsorted(pair_id, own), np.searchsorted(pair_id, own, side="right")
+                    if (sizes := high - low).any():
+                        column = np.repeat(np.arange(len(own)), sizes)
+                        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
+                        yield _rows(ids[pair_q[at]], own[column], score[pair_q[at], column], True)
+            if len(best):
+                yield _rows(ids[best_q], best_id, best, False)
+
+        out = out.unionByName(vectors.select("id", "v").mapInArrow(run, schema))
+    return out
+
+
+def _rows(qid: np.ndarray, ids: np.ndarray, score: np.ndarray, asked: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(qid), pa.array(ids), pa.array(score), pa.array(np.full(len(ids), asked))], names=["qid", "id", "score", "asked"])
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    ranked = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.where(F.col("score") >= min_similarity).select("qid", "rank", "id", "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def search_top_k(questions: DataFrame, vectors: DataFrame, k: int = 4, min_similarity: float = 0.0, digits: int | None = None) -> DataFrame:
+    """(qid, rank, id, score): the k nearest of each question, then those that reach the threshold; scores rounded to ``digits`` if given."""
+    return _ranked(_scan(questions, vectors, k, None, digits), k).where(F.col("score") >= min_similarity).select("qid", "rank", "id", "score")
+
 
+def search_with_pairs(questions: DataFrame, vectors: DataFrame, k: int, pairs: DataFrame, digits: int | None = None) -> DataFrame:
+    """(qid, id, score) of the k nearest of each question and of the given pairs (qid, id), from one scan.
 
-def sparse_scores(questions: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(qid, id, score) of sparse unit vectors (id, bucket, weight): a join on buckets, products summed."""
-    q = questions.select(F.col("id").alias("qid"), "bucket", F.col("weight").alias("qw"))
-    return vectors.join(q, "bucket").groupBy("qid", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
+    A block of questions sends its pairs with it, so they are few for a question: a pool, not a result.
+    """
+    found = _scan(questions, vectors, k, pairs, digits)
+    nearest = _ranked(found.where("NOT asked"), k).select("qid", "id", "score")
+    return nearest.unionByName(found.where("asked").select("qid", "id", "score")).dropDuplicates(["qid", "id"])

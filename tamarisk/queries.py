@@ -16,12 +16,13 @@ from .functions import sentences as S
 from .functions import turkish as T
 from .functions import vectors as V
 from .functions.chunking import chunk_documents, section_lines
-from .functions.hashing import hash_embed, hash_features
+from .functions.hashing import hash_embed, hash_features, md5_embed
 from .operators import answer as A
 from .operators import groundedness as G
 from .operators.backends import HashingBackend
-from .operators.dense import cosine_scores, search_top_k, sparse_scores
-from .operators.hybrid import fuse, hybrid_search, matched_by
+from .operators.dense import cosine_scores, search_top_k, search_with_pairs
+from .operators.holders import first_holders
+from .operators.hybrid import candidates, fuse, hybrid_search, matched_by
 from .operators.lexical import BM25Index, term_frequency, top, with_stems
 from .plans import evaluate as E
 from .sources import store
@@ -191,13 +192,16 @@ def _rounded(scores):
 
 
 def _both(spark, sf):
-    dense = sparse_scores(hash_features(_items(spark, sf), "qid", F.col("question")), hash_features(_docs(spark, sf), "doc_id", F.col("text")))
-    return _rounded(dense).cache(), _rounded(_lexical(spark, sf)).cache()  # ranked, joined and gated: read several times
+    """Dense scores of each item's pool and of its lexical pool, and lexical scores, all rounded."""
+    lexical = _rounded(_lexical(spark, sf)).cache()  # ranked, joined and gated: read several times
+    asked = _items(spark, sf).select("qid", md5_embed(F.col("question")).alias("q"))
+    vectors = _docs(spark, sf).select(F.col("doc_id").alias("id"), md5_embed(F.col("text")).alias("v"))
+    return search_with_pairs(asked, vectors, K * 5, candidates(lexical, K * 5), digits=6).cache(), lexical
 
 
 def matched_by_label(spark, sf):
     dense, lexical = _both(spark, sf)
-    j = dense.withColumnRenamed("score", "d").join(lexical.withColumnRenamed("score", "x"), ["qid", "id"], "full")
+    j = fuse(dense, lexical, K * 5).join(dense.withColumnRenamed("score", "d"), ["qid", "id"], "left").join(lexical.withColumnRenamed("score", "x"), ["qid", "id"], "left")
     return j.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), matched_by(F.coalesce("d", F.lit(0.0)), F.coalesce("x", F.lit(0.0))).alias("matched_by"))
 
 
@@ -304,11 +308,10 @@ def keyword_hits(spark, sf):
 
 
 def _expected(spark, sf):
-    """(qid, expected): the first document that holds the item; one set of questions against all documents."""
-    docs, items = _docs(spark, sf), _items(spark, sf)
-    held = docs.join(F.broadcast(items), F.contains(F.col("text"), F.col("question"))) if items.count() <= 10_000 else docs.join(items, F.contains(F.col("text"), F.col("question")))
-    first = held.groupBy("qid").agg(F.min("doc_id").alias("doc_id"))
-    return items.select("qid").join(first, "qid", "left").select("qid", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("expected"))
+    """(qid, expected): the first document that holds the item."""
+    items = _items(spark, sf)
+    first = first_holders(_docs(spark, sf).select(F.col("doc_id").alias("id"), "text"), items)
+    return items.select("qid").join(first, "qid", "left").select("qid", F.concat(F.lit("doc"), F.col("id").cast("string")).alias("expected"))
 
 
 def _named_hits(spark, sf):

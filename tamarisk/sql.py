@@ -210,8 +210,7 @@ ORACLES = {
       (SELECT q.vec_id AS qid, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)) WHERE rank <= 4 AND s >= 0.3""",
     "dim_check": "SELECT count(DISTINCT len(embedding)) AS widths, min(len(embedding)) AS least, max(len(embedding)) AS most FROM embeddings",
     "hash_embed_sql": f"WITH {features('g', 'benchmark', 'item_id', 'text')} SELECT id AS item_id, bucket, round(weight, 6) AS weight FROM gv",
-    "matched_by_label": f"""WITH {BOTH} SELECT coalesce(d.qid, l.qid) AS item_id, coalesce(d.id, l.id) AS doc_id, CASE WHEN coalesce(d.score, 0) > 0.01 AND coalesce(l.score, 0) > 0 THEN 'ikisi'
-      WHEN coalesce(l.score, 0) > 0 THEN 'kelime' ELSE 'anlam' END AS matched_by FROM den d FULL JOIN lex l ON d.qid = l.qid AND d.id = l.id""",
+    "matched_by_label": f"WITH {FUSED} SELECT qid AS item_id, id AS doc_id, CASE WHEN d > 0.01 AND x > 0 THEN 'ikisi' WHEN x > 0 THEN 'kelime' ELSE 'anlam' END AS matched_by FROM fs",
     "rrf_fuse": f"WITH {FUSED} SELECT qid AS item_id, id AS doc_id, coalesce(dense_rank, 0) AS dense_rank, coalesce(lex_rank, 0) AS lex_rank, round(fused, 9) AS fused FROM fu",
     "hybrid": f"""WITH {HITS} SELECT qid AS item_id, rank, id AS doc_id, round(score, 6) AS score, d AS dense_score, x AS lexical_score, round(fused, 9) AS fused_score,
       CASE WHEN d > 0.01 AND x > 0 THEN 'ikisi' WHEN x > 0 THEN 'kelime' ELSE 'anlam' END AS matched_by FROM hits""",
