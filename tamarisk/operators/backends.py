@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
+import warnings
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -9,19 +12,33 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import DIM, SIGNATURE, embed, hash_embed
-from .answer import NO_ANSWER
+from ..functions.hashing import DIM, SIGNATURE, hash_embed
+from ..functions.vectors import dot
+from .answer import NO_ANSWER, build_messages
+
+
+@dataclass(frozen=True)
+class ChatOptions:
+    """What a chat model is told besides the messages."""
+
+    temperature: float = 0.1
+    max_tokens: int = 600
+    language: str = "Türkçe"
 
 
 class Backend(Protocol):
-    """``embed`` maps a text column to a vector column; ``chat`` answers (qid, question) from hits as (qid, answer)."""
+    """``embed`` maps a text column to a vector column; ``chat`` answers (qid, question) from hits as (qid, answer).
+
+    Optional hooks: ``stream_chat(questions, hits, options)`` yields the pieces of one answer as
+    they are made, ``close()`` releases what the backend holds.
+    """
 
     signature: str
     dim: int
 
     def embed(self, text: Column) -> Column: ...
 
-    def chat(self, questions: DataFrame, hits: DataFrame) -> DataFrame: ...
+    def chat(self, questions: DataFrame, hits: DataFrame, options: ChatOptions = ChatOptions()) -> DataFrame: ...
 
 
 class HashingBackend:
@@ -33,18 +50,13 @@ class HashingBackend:
     def embed(self, text: Column) -> Column:
         return hash_embed(text)
 
-    def chat(self, questions: DataFrame, hits: DataFrame) -> DataFrame:
+    def chat(self, questions: DataFrame, hits: DataFrame, options: ChatOptions = ChatOptions()) -> DataFrame:
         """The three sentences nearest to the question by embedding, then those over 0.05, with their sources."""
-
-        def score(batches):
-            for b in batches:
-                b["score"] = [float(np.dot(embed(q), embed(s))) for q, s in zip(b["question"], b["sentence"], strict=True)]
-                yield b[["qid", "rank", "pos", "sentence", "source", "score"]]
-
         cut = F.filter(F.transform(F.split("content", r"(?<=[.!?…])\s+"), lambda s: F.btrim(s)), lambda s: F.length(s) > 20)
-        pairs = hits.select("qid", "rank", "source", F.posexplode(cut).alias("pos", "sentence")).join(questions.select("qid", "question"), "qid")
-        scored = pairs.select("qid", "rank", "pos", "sentence", "source", "question").mapInPandas(score, "qid long, rank int, pos int, sentence string, source string, score double")
-        w = Window.partitionBy("qid").orderBy(F.desc("score"), "rank", "pos")
+        said = hits.select("qid", "rank", "source", F.posexplode(cut).alias("pos", "sentence"))
+        said = said.withColumn("v", hash_embed(F.col("sentence"))).join(questions.select("qid", hash_embed(F.col("question")).alias("q")), "qid")
+        scored = said.select("qid", "rank", "pos", "sentence", "source", dot(F.col("q"), F.col("v")).alias("score"))
+        w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "rank", "pos")
         best = scored.withColumn("place", F.row_number().over(w)).where("place <= 3 AND score > 0.05")
         lines = best.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", F.concat("sentence", F.lit(" ["), "source", F.lit("]")).alias("line")))).alias("l"))
         text = F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit(self.notice))
@@ -52,10 +64,16 @@ class HashingBackend:
 
 
 class UdfBackend:
-    """Any Python model: ``embed_fn`` takes a list of texts, ``chat_fn`` a list of message lists; both run on Arrow batches."""
+    """Any Python model. ``embed_fn`` takes a list of texts and ``chat_fn`` a list of message lists; both run on Arrow batches.
+
+    ``chat_fn`` gets those of ``temperature`` and ``max_tokens`` that it names as parameters.
+    ``stream_fn``, if given, takes one message list on the driver and yields the pieces of its answer.
+    """
 
-    def __init__(self, name: str, dim: int, embed_fn, chat_fn):
+    def __init__(self, name: str, dim: int, embed_fn, chat_fn, stream_fn=None):
         self.signature, self.dim, self._embed, self._chat = f"{name}:{dim}", dim, embed_fn, chat_fn
+        if stream_fn is not None:
+            self.stream_chat = lambda questions, hits, options=ChatOptions(): stream_fn(_plain(build_messages(questions, hits, options.language).first().messages))
 
     def embed(self, text: Column) -> Column:
         embed_fn = self._embed
@@ -69,26 +87,36 @@ class UdfBackend:
 
         return run(text)
 
-    def chat(self, questions: DataFrame, hits: DataFrame) -> DataFrame:
-        from .answer import build_messages
-
+    def chat(self, questions: DataFrame, hits: DataFrame, options: ChatOptions = ChatOptions()) -> DataFrame:
         chat_fn = self._chat
+        named = inspect.signature(chat_fn).parameters
+        passed = {k: getattr(options, k) for k in ("temperature", "max_tokens") if k in named}
 
         def run(batches):
             for b in batches:
-                asked = [[{"role": m["role"], "content": m["content"]} for m in x] for x in b["messages"]]
-                yield pd.DataFrame({"qid": b["qid"], "answer": chat_fn(asked)})
+                yield pd.DataFrame({"qid": b["qid"], "answer": chat_fn([_plain(x) for x in b["messages"]], **passed)})
+
+        return build_messages(questions, hits, options.language).mapInPandas(run, "qid long, answer string")
+
 
-        return build_messages(questions, hits).mapInPandas(run, "qid long, answer string")
+def _plain(messages) -> list[dict[str, str]]:
+    return [{"role": m["role"], "content": m["content"]} for m in messages]
 
 
 REGISTRY = {"hashing": HashingBackend}
 
 
 def create_backend(name: str = "auto") -> Backend:
-    """A backend by name; ``auto`` takes the offline one when no other is registered."""
+    """A backend by name. ``auto`` takes the first registered model, and with a warning the offline one if that can't be made."""
     if name == "auto":
-        name = next((k for k in REGISTRY if k != "hashing"), "hashing")
+        for other in REGISTRY:
+            if other != "hashing":
+                try:
+                    return REGISTRY[other]()
+                except Exception as e:  # whatever keeps a model from loading
+                    warnings.warn(f"backend {other} is not available ({e}); the offline one is used", stacklevel=2)
+                    break
+        return HashingBackend()
     if name not in REGISTRY:
         raise ValueError(f"unknown backend: {name}")
     return REGISTRY[name]()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +93,84 @@ def best_cell(grid: DataFrame, objective: str = "balanced") -> DataFrame:
     return grid.orderBy(F.desc(F.round(objective, 9)), "lexical_scale", "min_similarity").limit(1)
 
 
+def evaluate(pipeline, questions: DataFrame, generate: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The results of every question (id, question, expected_source, expected_keywords), and their summary (one row).
+
+    Results: id, question, answerable, expected_source, retrieved_sources, top_score, rank, hit,
+    refused, correct, keywords_found, answer, seconds (the batch's, shared out evenly). With
+    ``generate``, an answerable question also fails if its answer is a refusal, and an unanswerable
+    one passes by a refusal too. Ids are unique.
+    """
+    asked = questions.select(F.xxhash64("id").alias("qid"), "id", "question", "expected_source", "expected_keywords")
+    if generate:
+        answered = pipeline.answer(asked.select("qid", "question"))
+        found = answered.select("qid", F.col("text").alias("answer"), F.transform("hits", lambda h: F.struct(h["rank"].alias("rank"), h["source"].alias("source"), h["score"].alias("score"))).alias("h"),
+                                (F.col("retrieval_seconds") + F.col("generation_seconds")).alias("all_seconds"))
+    else:
+        began = time.perf_counter()
+        hits = pipeline.retrieve(asked.select("qid", "question")).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "score"))).alias("h")).cache()
+        hits.count()
+        found = hits.select("qid", F.lit("").alias("answer"), "h", F.lit(time.perf_counter() - began).alias("all_seconds"))
+    n = max(1, asked.count())
+    h = F.coalesce("h", F.array().cast("array<struct<rank:int,source:string,score:double>>"))
+    joined = asked.join(found, "qid", "left").withColumn("h", h).withColumn("answer", F.coalesce("answer", F.lit("")))
+    sources, answerable = F.transform("h", lambda x: x["source"]), F.col("expected_source").isNotNull()
+    rank = F.nullif(F.array_position(sources, F.col("expected_source")), F.lit(0)).cast("int")
+    declined = is_refusal(F.col("answer")) if generate else F.lit(False)
+    no_words = F.array().cast("array<string>")
+    words = F.when(answerable, keywords_found(F.col("answer"), F.coalesce("expected_keywords", no_words))).otherwise(no_words) if generate else no_words
+    results = joined.select(
+        "id", "question", answerable.alias("answerable"), "expected_source", sources.alias("retrieved_sources"),
+        F.coalesce(F.get("h", F.lit(0))["score"], F.lit(0.0)).alias("top_score"), rank.alias("rank"), F.coalesce(rank.isNotNull() & answerable, F.lit(False)).alias("hit"),
+        F.when(answerable, declined).otherwise((F.size("h") == 0) | declined).alias("refused"), words.alias("keywords_found"), "answer",
+        (F.coalesce("all_seconds", F.lit(0.0)) / n).alias("seconds"),
+    )
+    correct = F.when(F.col("answerable"), F.col("hit") & ~F.col("refused")).otherwise(F.col("refused"))
+    results = results.withColumn("correct", correct)
+    return results, summarise(results, generate)
+
+
+def summarise(results: DataFrame, generate: bool) -> DataFrame:
+    """``metrics`` of results, with the mean seconds and, for generated answers, the share of answerable questions whose answer has a keyword."""
+    base = metrics(results)
+    with_words = F.avg(F.when(F.col("answerable"), (F.size("keywords_found") > 0).cast("double")))
+    more = results.agg(F.coalesce(F.avg("seconds"), F.lit(0.0)).alias("avg_seconds"), F.coalesce(with_words, F.lit(0.0)).alias("keyword_rate"))
+    out = base.crossJoin(more)  # one row each
+    return out.withColumn("generated", F.lit(generate)) if generate else out.drop("keyword_rate").withColumn("generated", F.lit(generate))
+
+
+def report(results, summary, settings) -> str:
+    """A table of the questions, the failed ones in detail, and the summary, as text."""
+    lines, failed = [f"{'id':<8}{'':<6}{'expected':<36}{'rank':<6}{'score':<8}"], []
+    for r in results:
+        lines.append(f"{r.id:<8}{'ok' if r.correct else 'FAIL':<6}{r.expected_source or '(none)':<36}{r.rank or '-':<6}{r.top_score:<8.3f}")
+        if not r.correct:
+            failed += [f"[{r.id}] {r.question}", f"  expected {r.expected_source or 'no answer'}, found {', '.join(r.retrieved_sources) or 'nothing'}"]
+            failed += [f"  {' '.join(r.answer.split())[:160]}"] if r.answer else []
+    lines += ["", *failed] if failed else []
+    lines += ["", f"backend {settings.backend}, top_k {settings.top_k}, min_similarity {settings.min_similarity}, chunks {settings.chunk_size}/{settings.chunk_overlap}"]
+    lines += [f"{summary.questions} questions, {summary.n_answerable} answerable"]
+    lines += [f"recall@{settings.top_k} {summary.recall_at_k:.1%}, MRR {summary.mrr:.3f}, refusals {summary.refusal_accuracy:.1%}, overall {summary.overall_accuracy:.1%}, {summary.avg_seconds:.2f} s a question"]
+    return "\n".join(lines + ([f"answers with an expected keyword {summary.keyword_rate:.1%}"] if summary.generated else []))
+
+
+def calibrate_pipeline(pipeline, questions: DataFrame, **options) -> DataFrame:
+    """The grid of ``calibrate`` on an open index and a question set."""
+    s = pipeline.settings
+    asked = questions.select(F.xxhash64("id").alias("qid"), "question", F.col("expected_source").alias("expected"))
+    dense, lexical = pipeline.scores(asked.select("qid", "question"))
+    return calibrate(asked, dense, lexical, pipeline.chunks.select("id", "source"), s.top_k, **options)
+
+
+def calibration_report(cells, best, settings) -> str:
+    """The ten best cells, and how the best one compares with the settings in force."""
+    lines = [f"{'scale':>8}{'floor':>8}{'recall':>9}{'refusal':>9}{'overall':>9}{'balanced':>10}"]
+    for c in sorted(cells, key=lambda c: (-round(c.balanced, 9), c.lexical_scale, c.min_similarity))[:10]:
+        lines.append(f"{c.lexical_scale:>8g}{c.min_similarity:>8.2f}{c.recall:>9.1%}{c.refusal:>9.1%}{c.overall:>9.1%}{c.balanced:>10.1%}")
+    lines.append(f"best: lexical_scale {best.lexical_scale:g}, min_similarity {best.min_similarity:.2f}; now {settings.lexical_scale:g}, {settings.min_similarity:.2f}")
+    return "\n".join(lines)
+
+
 def append_results(results: DataFrame, path: str) -> None:
     """One JSON line per row, after those of earlier runs."""
     results.write.mode("append").json(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,23 @@ def get_meta(meta: DataFrame, key: str, default: str | None = None) -> str | Non
     return default if row is None else row.value
 
 
+class Scratch:
+    """Tables written below a folder that all executors see, and read again: their plans start anew, and a lost executor costs a task."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+        self._n = itertools.count()
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        path = f"{self.path}/{next(self._n)}"
+        table.write.parquet(path)
+        return self.spark.read.schema(table.schema).parquet(path)
+
+    def clear(self) -> None:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class Store:
     """Chunks and metadata below one folder."""
 
@@ -68,6 +88,9 @@ class Store:
         exists = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if exists else self.spark.createDataFrame([], schema)
 
+    def scratch(self) -> Scratch:
+        return Scratch(self.spark, f"{self.path}/_scratch")
+
     def chunks(self) -> DataFrame:
         return self._read("chunks", CHUNKS)
 
