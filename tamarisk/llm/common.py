@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder path below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A fresh folder path below ``spark.checkpoint.dir``; a temporary one only where that is unset and everything runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tamarisk-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -47,6 +50,14 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while (found := f"_{name}_{uuid.uuid4().hex[:8]}") in taken:
+        pass
+    return found
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the column's decimal text modulo ``modulus``; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")) % modulus

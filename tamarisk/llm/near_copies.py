@@ -79,7 +79,7 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, small: int
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
     prints = materialise(prints_of(rows, width), "prints")
     distinct = materialise(prints.groupBy("h").agg(*(F.first(c).alias(c) for c in ("s0", "s1", "bands"))), "distinct")
-    found = materialise(candidates(deal_out(distinct, F.col("bands"), limit), BUDGET, small), "candidates")
+    found = materialise(candidates(deal_out(distinct, F.col("bands"), limit), BUDGET, small, distinct.count() * BANDS), "candidates")
 
     def alike(x: bytes, y: bytes) -> bool:
         shingles, (n, m) = shingle_sets([x, y], width)

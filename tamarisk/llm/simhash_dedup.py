@@ -35,8 +35,8 @@ def _lanes() -> np.ndarray:
 LANES = _lanes()
 
 
-def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each run of ``counts`` hashes: the bits set in over half of them. An empty run gives zero.
+def majority(hashes: np.ndarray, counts: np.ndarray, width: int = 8) -> np.ndarray:
+    """For each run of ``counts`` hashes: which of their lowest ``width`` bytes' bits are set in over half of them. An empty run gives zero.
 
     Bits are counted eight at a time in byte lanes over stretches of at most 255 hashes, whose
     sums are then added up, so no array of 64 columns per hash is made.
@@ -51,7 +51,7 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     cuts = np.repeat(first, pieces) + 255 * within
     owner = np.cumsum(pieces) - pieces
-    for byte in range(8):
+    for byte in range(width):
         lanes = LANES[((hashes >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.intp)]
         sums = np.add.reduceat(lanes, cuts)
         for bit in range(8):
