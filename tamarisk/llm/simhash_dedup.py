@@ -33,13 +33,16 @@ def _lanes() -> np.ndarray:
 
 
 LANES = _lanes()
+#: The lowest bit of every lane; and a factor that brings those bits together in the top byte.
+LANE, GATHER = np.uint64(0x0101010101010101), np.uint64(0x0102040810204080)
 
 
 def majority(hashes: np.ndarray, counts: np.ndarray, width: int = 8) -> np.ndarray:
     """For each run of ``counts`` hashes: which of their lowest ``width`` bytes' bits are set in over half of them. An empty run gives zero.
 
     Bits are counted eight at a time in byte lanes over stretches of at most 255 hashes, whose
-    sums are then added up, so no array of 64 columns per hash is made.
+    sums are then added up, so no array of 64 columns per hash is made. The lanes of a run of up to
+    127 hashes are compared with its half all at once.
     """
     out = np.zeros(len(counts), dtype=np.uint64)
     full = np.flatnonzero(counts)
@@ -47,16 +50,25 @@ def majority(hashes: np.ndarray, counts: np.ndarray, width: int = 8) -> np.ndarr
         return out
     n = counts[full]
     pieces = -(-n // 255)
-    first = np.concatenate(([0], np.cumsum(n)[:-1]))
+    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
     within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    cuts = np.repeat(first, pieces) + 255 * within
-    owner = np.cumsum(pieces) - pieces
+    cuts = np.repeat(starts, pieces) + 255 * within
+    first = np.cumsum(pieces) - pieces
+    few = n <= 127
+    least = (127 - n[few] // 2).astype(np.uint64) * LANE  # what lifts a lane's top bit if it has over half
+    rest = np.repeat(~few, pieces)
+    more, n_more = (np.cumsum(pieces[~few]) - pieces[~few]), n[~few]
+    part = np.zeros(len(full), dtype=np.uint64)
     for byte in range(width):
-        lanes = LANES[((hashes >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.intp)]
-        sums = np.add.reduceat(lanes, cuts)
-        for bit in range(8):
-            ones = np.add.reduceat(((sums >> np.uint64(8 * bit)) & np.uint64(255)).astype(np.int64), owner)
-            out[full] |= (2 * ones > n).astype(np.uint64) << np.uint64(8 * byte + bit)
+        sums = np.add.reduceat(LANES[((hashes >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.intp)], cuts)
+        part[few] = ((((sums[first[few]] + least) >> np.uint64(7)) & LANE) * GATHER) >> np.uint64(56)
+        if len(more):
+            long, found = sums[rest], np.zeros(len(more), dtype=np.uint64)
+            for bit in range(8):
+                ones = np.add.reduceat(((long >> np.uint64(8 * bit)) & np.uint64(255)).astype(np.int64), more)
+                found |= (2 * ones > n_more).astype(np.uint64) << np.uint64(bit)
+            part[~few] = found
+        out[full] |= part << np.uint64(8 * byte)
     return out
 
 
