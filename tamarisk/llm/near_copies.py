@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, mix64, word_hashes
+from .common import chunks, discard, materialise, mix64, word_hashes
 from .components import connected_components
-from .line_dedup import SALT, _texts, candidates, deal_out, still_apart, verify
-from .simhash_dedup import majority, simhash_groups
+from .line_dedup import SALT, candidates, deal_out, linked
+from .simhash_dedup import fingerprints, majority, near_components, one_of_each, text_key
 
 BANDS, BAND_ROWS, BAND_BITS = 20, 4, 26
 #: Bits of 128 in which a pair may differ: at similarity 0.8 about 19 do, with a deviation of 4.
@@ -74,11 +74,11 @@ def prints_of(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("id", "h", F.col("text").cast("binary")).mapInArrow(run, "id long, h long, s0 long, s1 long, bands array<long>")
 
 
-def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, small: int = 32, limit: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, least_id): each document with an id that has another, smaller one in its group of texts of shingle similarity ``least``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+def near_roots(rows: DataFrame, width: int = 5, least: float = 0.8, small: int = 16, limit: int = 8192) -> DataFrame:
+    """(node, root): the components of texts (id, h, text) whose shingles have a similarity of ``least``; nodes are h."""
     prints = materialise(prints_of(rows, width), "prints")
     distinct = materialise(prints.groupBy("h").agg(*(F.first(c).alias(c) for c in ("s0", "s1", "bands"))), "distinct")
+    discard(prints)
     found = materialise(candidates(deal_out(distinct, F.col("bands"), limit), BUDGET, small, distinct.count() * BANDS), "candidates")
 
     def alike(x: bytes, y: bytes) -> bool:
@@ -86,24 +86,16 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, small: int
         both = len(np.intersect1d(shingles[:n], shingles[n:], assume_unique=True))
         return both >= least * (n + m - both)
 
-    texts = rows.select("h", F.col("text").cast("binary").alias("text"))
-    pairs = materialise(found.where("s0 IS NULL").select("a", "b").distinct(), "pairs")
-    roots = connected_components(verify(pairs, _texts(texts, pairs), alike))
-    members = found.where("s0 IS NOT NULL").select(F.col("a").alias("h"), F.col("b").alias("value"), "s0", "s1")
-    if not members.isEmpty():
-        members = members.join(roots, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("root", "h"))
-        more = materialise(still_apart(members, BUDGET).join(pairs, ["a", "b"], "left_anti"), "more")
-        if not more.isEmpty():
-            extra = verify(more, _texts(texts, more), alike)
-            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(extra))
-    own = prints.where("id IS NOT NULL").select("id", "h").join(roots, F.col("h") == F.col("node"), "left").select("id", F.coalesce("root", "h").alias("g"))
-    return own.join(own.groupBy("g").agg(F.min("id").alias("least_id")), "g").where("id <> least_id").select("id", "least_id")
+    return linked(found, rows.select("h", F.col("text").cast("binary").alias("text")), alike, BUDGET)
 
 
 def near_dedup(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents whose group, by SimHash or by shingles, has one with a smaller id. Rows without an id stay."""
-    bits = simhash_groups(docs, width=width, id_col=id_col, text_col=text_col).where("doc_id <> component_id")
-    near = near_groups(docs, width, least, id_col=id_col, text_col=text_col)
-    links = bits.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(near.select(F.col("id").alias("a"), F.col("least_id").alias("b")))
-    drop = connected_components(links).where("node <> root").select(F.col("node").alias(id_col))
-    return docs.join(drop, id_col, "left_anti")
+    """``docs`` with one document of each group, by SimHash or by shingles: the one with the smallest id (null last).
+
+    Rows are told apart by id and text; those that are equal in both share one fate.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    bits = near_components(materialise(fingerprints(rows, width, id_col="h"), "bits"))
+    near = near_roots(rows, width, least)
+    links = bits.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return one_of_each(docs, connected_components(links), id_col, text_col)

@@ -1,8 +1,8 @@
 """SimHash near-dedup by a binary trie self-join.
 
 Only distinct fingerprints are joined. Two fingerprints within the error budget agree on at least
-one of ``budget + 1`` bit blocks, so each fingerprint enters that many rotated tries, each with a
-different block on top; in each trie the subtrees below the common block are joined with
+one of ``budget + 1`` bit blocks, so each fingerprint enters that many tries, each with a different
+block on top (or ten, with two blocks of five on top, where there are very many fingerprints); in each trie the subtrees below the common block are joined with
 themselves. Node pairs are traversed together, level by level, accumulating differing bits; a pair
 is dropped once its errors exceed the budget, or once both of its subtrees are known to lie in
 one component. A task returns a star for each of its components, never all pairs.
@@ -10,7 +10,7 @@ one component. A task returns a star for each of its components, never all pairs
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import chunks, materialise
+from .common import chunks, discard, fresh, materialise
 from .components import connected_components, merge
 
 BITS = 64
-#: Ids at or above this stand for fingerprints that only rows without an id have.
-NO_ID = 1 << 62
+#: Distinct fingerprints below one block of bits up to which tries with one block on top are used; beyond, those with two blocks of five.
+SUBTREE = 4096
+#: Rows that one task joins, about.
+TASK_ROWS = 2_000_000
 
 
 def _lanes() -> np.ndarray:
@@ -98,8 +100,40 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def _rotate(fps: np.ndarray, by: int) -> np.ndarray:
-    return fps if not by else (fps << np.uint64(by)) | (fps >> np.uint64(BITS - by))
+def tries(count: int, budget: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """For each trie: the order of the fingerprint's bit ranges (start, size) from the top, and how many bits of it a subtree shares.
+
+    Two fingerprints within ``budget`` bits agree on one of ``budget + 1`` blocks, and on two of
+    ``budget + 2``. The more fingerprints, the longer the shared part, so that subtrees stay small;
+    either way all pairs within budget are found.
+    """
+    shared = 1 if count <= SUBTREE << (BITS // (budget + 1)) else 2
+    cuts = [BITS * k // (budget + shared) for k in range(budget + shared + 1)]
+    blocks = [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    made = []
+    for top in combinations(range(len(blocks)), shared):
+        order = [blocks[k] for k in (*top, *(k for k in range(len(blocks)) if k not in top))]
+        made.append((order, sum(size for _, size in order[:shared])))
+    return made
+
+
+def _turned(fps: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """Fingerprints with their bit ranges in the given order; ranges are counted from the lowest bit."""
+    out = np.zeros_like(fps)
+    for start, size in order:
+        out = ((out << np.uint64(size)) if size < BITS else out) | ((fps >> np.uint64(start)) & np.uint64((1 << size) - 1))
+    return out
+
+
+def _key(order: list[tuple[int, int]], top: int, turn: int):
+    """The shared part of a fingerprint and its trie, as one number."""
+    key, left = F.lit(turn << top).cast("long"), top
+    for start, size in order:
+        if not left:
+            break
+        left -= size
+        key = key + F.shiftleft(F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << size) - 1)), left)
+    return key
 
 
 def trie_components(fps: np.ndarray, side: np.ndarray | None, budget: int, top: int, step: int = 200_000) -> np.ndarray:
@@ -157,63 +191,54 @@ def trie_components(fps: np.ndarray, side: np.ndarray | None, budget: int, top:
     return label
 
 
-def near_links(nodes: DataFrame, budget: int = 3, limit: int = 8192) -> DataFrame:
-    """Links (a, b) that join the distinct fingerprints of ``nodes`` (fp, rep) into their components.
+def near_links(nodes: DataFrame, budget: int = 3, limit: int = 8192, plan: list | None = None) -> DataFrame:
+    """Links (a, b) that join distinct fingerprints (fp) into their components; ``plan``: the tries, if not those for their number.
 
     A subtree with more than ``limit`` fingerprints is dealt out as pairs of slices of at most about
     that many, so that no task gathers it whole; slices are joined within themselves and pairwise.
     """
-    blocks = budget + 1
-    width = BITS // blocks
-    turned = nodes.select(
-        "fp", "rep", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("turn")
-    ).withColumn("key", F.expr(f"shiftrightunsigned(shiftleft(fp, turn * {width}) | shiftrightunsigned(fp, {BITS} - turn * {width}), {BITS - width})"
-                               if blocks > 1 else f"shiftrightunsigned(fp, {BITS - width})"))
-    turned = turned.withColumn("key", F.col("key") + F.col("turn") * F.lit(1 << width))
+    count = nodes.count()
+    plan = plan or tries(count, budget)
+    turned = nodes.select("fp", F.posexplode(F.array(*(_key(order, top, k) for k, (order, top) in enumerate(plan)))).alias("turn", "key"))
     large = materialise(turned.groupBy("key").count().where(f"count > {limit}").withColumn("n", F.ceil(F.col("count") / limit).cast("int")).select("key", "n"), "large")
-    turned = turned.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    if not large.isEmpty():
-        dealt = turned.drop("i", "j").join(large, "key", "left")
-        own = F.pmod(F.xxhash64("fp", F.lit(7)), F.coalesce("n", F.lit(1))).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1))
-        dealt = dealt.withColumn("own", own).withColumn("other", other)
-        turned = dealt.select("fp", "rep", "turn", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                              F.col("own").alias("slice"))
+    if large.isEmpty():
+        turned = turned.withColumns({"i": F.lit(0), "j": F.lit(0), "slice": F.lit(0)})
     else:
-        turned = turned.withColumn("slice", F.lit(0))
-    packed = turned.select("fp", "rep", "turn", "i", "j", "slice", "key").repartition("key", "i", "j")
+        n = F.coalesce("n", F.lit(1))
+        dealt = turned.join(large, "key", "left").withColumn("slice", F.pmod(F.xxhash64("fp", F.lit(7)), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+        turned = dealt.withColumns({"i": F.least("slice", "other"), "j": F.greatest("slice", "other")})
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * len(plan) // TASK_ROWS))
+    packed = turned.select("fp", "turn", "i", "j", "slice", "key").repartition(tasks, "key", "i", "j")
 
     def join(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held)
-        fp, rep, turn, i, j, part, key = (t.column(c).to_numpy() for c in ("fp", "rep", "turn", "i", "j", "slice", "key"))
+        fp, turn, i, j, part = (t.column(c).to_numpy() for c in ("fp", "turn", "i", "j", "slice"))
         group = np.lexsort((j, i, turn))
         bounds = np.flatnonzero(np.concatenate(([True], (np.diff(turn[group]) != 0) | (np.diff(i[group]) != 0) | (np.diff(j[group]) != 0))))
         for at, to in zip(bounds, [*bounds[1:], len(group)], strict=True):
             rows = group[at:to]
-            turned_fp = _rotate(fp[rows].view(np.uint64), int(turn[rows[0]]) * width)
-            order = np.argsort(turned_fp)
-            rows, turned_fp = rows[order], turned_fp[order]
+            order, top = plan[int(turn[rows[0]])]
+            prints = _turned(fp[rows].view(np.uint64), order)
+            by = np.argsort(prints)
+            rows, prints = rows[by], prints[by]
             side = (part[rows] == j[rows]).astype(np.int8) if i[rows[0]] != j[rows[0]] else None
-            label = trie_components(turned_fp, side, budget, width)
-            linked = np.flatnonzero(label != np.arange(len(label)))
-            a, b = rep[rows[linked]], rep[rows[label[linked]]]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            label = trie_components(prints, side, budget, top)
+            near = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[rows[near]]), pa.array(fp[rows[label[near]]])], names=["a", "b"])
 
     return packed.mapInArrow(join, "a long, b long")
 
 
 def near_components(prints: DataFrame, budget: int = 3, limit: int = 8192) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp)."""
-    own = F.shiftrightunsigned(F.xxhash64("fp"), 2).bitwiseOR(F.lit(NO_ID))
-    nodes = materialise(
-        prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("rep", F.coalesce("rep", own)), "nodes"
-    )
+    """``prints`` (doc_id, fp) with component_id: the least doc_id of the rows whose fingerprints are linked; null if none has one."""
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     roots = connected_components(near_links(nodes, budget, limit))
-    found = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return found.withColumn("component_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")))
+    rooted = materialise(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return prints.join(materialise(rooted.join(least, "root").select("fp", "component_id"), "groups"), "fp")
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, seed: int = 42, budget: int = 3, limit: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,14 +249,33 @@ def simhash_groups(docs: DataFrame, width: int = 3, seed: int = 42, budget: int
     in the result. An empty table gives an empty result.
     """
     prints = materialise(fingerprints(docs, width, seed, id_col, text_col), "prints")
-    groups = materialise(near_components(prints, budget, limit), "groups")
-    return prints.join(groups, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return near_components(prints, budget, limit).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def text_key(text_col: str):
+    """What a text is told apart by where rows are grouped."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def one_of_each(docs: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that have the smallest id (null last), then text key, of their group; ``roots`` (node, root) are groups of text keys.
+
+    Only rows that go are shuffled by text key and id, and rows that are equal in both share one fate.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("h")).distinct()
+    grouped = materialise(own.join(roots, F.col("h") == F.col("node"), "left").select("id", "h", F.coalesce("root", "h").alias("g")), "grouped")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    first = grouped.groupBy("g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    i, h = fresh(docs, "id"), fresh(docs, "h")
+    gone = materialise(grouped.join(first, "g").where(place != F.col("first")).select(F.col("id").alias(i), F.col("h").alias(h)), "gone")
+    discard(grouped)
+    key, same = fresh(docs, "key"), F.col(id_col).cast("long").eqNullSafe(F.col(i))
+    marked = docs.withColumn(key, text_key(text_col))
+    return marked.join(gone, (F.col(key) == F.col(h)) & same, "left_anti").select(*docs.columns)
 
 
 def simhash_dedup(docs: DataFrame, width: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents whose group has one with a smaller id. Rows without an id stay."""
-    groups = simhash_groups(docs, width=width, budget=budget, id_col=id_col, text_col=text_col)
-    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti")
+    """``docs`` with one document of each group: the one with the smallest id (null last). Rows that are equal in id and text share one fate."""
+    rows = docs.select(text_key(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    bits = near_components(materialise(fingerprints(rows, width, id_col="h"), "prints"), budget)
+    return one_of_each(docs, bits.select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct(), id_col, text_col)

@@ -38,11 +38,12 @@ def test_large_groups_lose_no_link(docs):
         for at in rng.sample(range(200), 2):
             words[at] = f"x{k}"
         rows.append((k, " ".join(words)))
-    made = {r.id: r.least_id for r in N.near_groups(docs(rows), small=4, limit=16).collect()}
-    assert made == {r.id: r.least_id for r in N.near_groups(docs(rows), small=1000).collect()} and len(made) > 50
+    frame = docs(rows).selectExpr("doc_id id", "doc_id h", "text")
+    made = {r.node: r.root for r in N.near_roots(frame, small=4, limit=16).collect()}
+    assert made == {r.node: r.root for r in N.near_roots(frame, small=1000).collect()} and len(made) > 50
 
 
 def test_edges(docs):
     kept = N.near_dedup(docs([*EDGES, (9, "A  b")]))
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 4, 5, 6] and kept.columns == docs([]).columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [1, 4, 4, 5, 6] and kept.columns == docs([]).columns
     assert N.near_dedup(docs([])).count() == 0

@@ -56,6 +56,23 @@ def test_brute_force(docs, corpus):
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in H.simhash_groups(docs(rows), limit=8).collect()), key=key) == want
 
 
+def test_ids_over_the_whole_range(docs):
+    rows = [(2**62 + 5, "a b c d"), (2**62 + 6, "A b c d"), (-(2**63), "q r s"), (2**63 - 1, "q r s"), (-1, "")]
+    got = {r.doc_id: r.component_id for r in H.simhash_groups(docs(rows)).collect()}
+    assert got == {2**62 + 5: 2**62 + 5, 2**62 + 6: 2**62 + 5, -(2**63): -(2**63), 2**63 - 1: -(2**63), -1: -1}
+    assert sorted(r.doc_id for r in H.simhash_dedup(docs(rows)).collect()) == [-(2**63), -1, 2**62 + 5]
+
+
+def test_more_tries_give_the_same_components(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    prints = np.unique(np.array([int(base[k % 60]) ^ sum({1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 4))}) for k in range(400)], dtype=np.uint64))
+    frame = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    few, many = (sorted(map(tuple, connected_components(H.near_links(frame, plan=H.tries(n, 3), limit=limit)).collect())) for n, limit in ((len(prints), 8192), (1 << 40, 8)))
+    assert few == many and len({r for _, r in few}) == 60
+    assert len(H.tries(1 << 40, 3)) == 10 and all(sum(size for _, size in order) == 64 and 25 <= top <= 26 for order, top in H.tries(1 << 40, 3))
+
+
 @pytest.mark.parametrize("two_sides", [False, True])
 def test_trie_join(two_sides):
     rng = np.random.default_rng(1)
@@ -82,7 +99,9 @@ def test_majority_of_many():
 def test_one_of_each_group_stays(docs):
     rows = [(3, "a b c d e f g"), (1, "A b c d e f g"), (2, "q w e r t y u"), (None, "a b c d e f g"), (7, ""), (8, None)]
     kept = H.simhash_dedup(docs(rows))
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 7] and kept.columns == docs([]).columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [1, 2, 7] and kept.columns == docs([]).columns
+    same = [(4, "a b c d e f g"), (4, "x y z"), (5, "A b c d e f g"), (None, "q r s t")]  # an id that two texts share: each has its own fate
+    assert sorted((r.doc_id or 0, r.text) for r in H.simhash_dedup(docs(same)).collect()) == [(0, "q r s t"), (4, "a b c d e f g"), (4, "x y z")]
     assert H.simhash_groups(docs([])).count() == 0 and H.simhash_dedup(docs([])).count() == 0
 
 
