@@ -74,7 +74,7 @@ def prints_of(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("id", "h", F.col("text").cast("binary")).mapInArrow(run, "id long, h long, s0 long, s1 long, bands array<long>")
 
 
-def near_roots(rows: DataFrame, width: int = 5, least: float = 0.8, small: int = 16, limit: int = 8192) -> DataFrame:
+def near_roots(rows: DataFrame, width: int = 5, least: float = 0.8, small: int = 32, limit: int = 8192) -> DataFrame:
     """(node, root): the components of texts (id, h, text) whose shingles have a similarity of ``least``; nodes are h."""
     prints = materialise(prints_of(rows, width), "prints")
     distinct = materialise(prints.groupBy("h").agg(*(F.first(c).alias(c) for c in ("s0", "s1", "bands"))), "distinct")
