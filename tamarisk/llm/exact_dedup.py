@@ -30,7 +30,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """A bucketed table ``(digest, doc_id, n_chars)``, sorted by digest within each bucket.
+    """A bucketed table ``(digest, doc_id, n_chars, batch)``, sorted by digest within each bucket.
 
     ``location`` makes it an external table that a later session can open again; without it the
     warehouse holds it. ``buckets`` is fixed for the life of the index and set by its final size.
@@ -42,28 +42,33 @@ class DigestIndex:
         if not spark.catalog.tableExists(name):
             place = f"LOCATION '{location}'" if location else ""
             spark.sql(
-                f"CREATE TABLE {name} (digest BINARY, doc_id BIGINT, n_chars BIGINT) USING parquet"
+                f"CREATE TABLE {name} (digest BINARY, doc_id BIGINT, n_chars BIGINT, batch STRING) USING parquet"
                 f" CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS {place}"
             )
 
     def entries(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, new: DataFrame) -> None:
-        rows = new.select("digest", F.col("keep_id").cast("long").alias("doc_id"), F.col("keep_chars").alias("n_chars"))
+    def append(self, new: DataFrame, batch: str) -> None:
+        rows = new.select("digest", F.col("keep_id").cast("long").alias("doc_id"), F.col("keep_chars").alias("n_chars"), F.lit(batch).alias("batch"))
         (
             rows.repartition(self.buckets, "digest")
             .write.mode("append").format("parquet")
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         )
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Decides on every row of ``docs`` and appends what is new.
 
         Of equal texts in the batch the longest original stays, then the smallest id (null last),
         then the first row; if the index has the digest already, none stays and ``keep_id`` is the
         entry's. Result: doc_id, keep_id, group_size (rows of the batch), kept, text_sha256.
-        An empty batch gives an empty result and leaves the index as it is.
+        An empty batch gives an empty result and leaves the index as it is. A batch that names
+        itself can be ingested again after a failure: what the index has from it does not count
+        against it and is not appended twice.
         """
         rows = materialise(digests(docs, id_col, text_col), "digests")
         best = F.min(F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), "doc_id", "row"))
@@ -73,14 +78,15 @@ class DigestIndex:
                     F.col("best.row").alias("keep_row"), "group_size"),
             "groups",
         )
-        index = self.entries().select("digest", F.col("doc_id").alias("old_id"))
+        index = self.entries().where(F.col("batch") != F.lit(batch or "")).select("digest", F.col("doc_id").alias("old_id"))
         new = materialise(groups.join(index.hint("merge"), "digest", "left_anti"), "new")
         old = groups.join(index.hint("merge"), "digest")
         decided = new.select("*", F.lit(True).alias("fresh")).unionByName(
             old.withColumn("keep_id", F.col("old_id")).drop("old_id").withColumn("fresh", F.lit(False))
         )
         decided = materialise(decided, "decided")
-        self.append(new)
+        own = self.entries().where(F.col("batch") == F.lit(batch)).select("digest") if batch else None
+        self.append(new if own is None else materialise(new.join(own.hint("merge"), "digest", "left_anti"), "unseen"), batch or uuid.uuid4().hex)
         # an ordinary shuffled join: adaptive execution splits the partition of a hot digest
         return rows.join(decided, "digest").select(
             "doc_id",
@@ -92,6 +98,9 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One batch against a new index of its own."""
+    """One batch against a new index of its own, which goes once all is decided."""
     spark = docs.sparkSession
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}").ingest(docs, id_col, text_col)
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    decided = index.ingest(docs, id_col, text_col)
+    index.drop()
+    return decided

@@ -11,7 +11,6 @@ ridge coefficients once, and each batch of texts is then one sparse-by-dense pro
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +25,14 @@ LENGTHS = (1, 2, 3)
 WINDOW = 500
 #: Character classes that a model may tell apart; rarer characters share the classes above KNOWN.
 KNOWN, CLASSES = 200, 256
-_LETTER = re.compile(r"[^\W\d_]")
+#: Windows of a labelled text that the model may be fitted on; texts are scored whole.
+FIT_WINDOWS = 40
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 
 
 def class_table(texts: list[str]) -> np.ndarray:
@@ -105,7 +111,7 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.langs else []
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.langs else []
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if known:
             values = self.values([texts[i] for i in known])
@@ -154,13 +160,13 @@ def sample_rows(docs: DataFrame, per_label: int, id_col: str, text_col: str, lan
     wanted = sorted({r.id for r in ids.select("id").collect()})
     if not wanted:
         return []
-    rows = docs.where(F.col(id_col).isin(wanted)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).collect()
+    rows = docs.where(F.col(id_col).isin(wanted)).select(F.col(id_col).alias("id"), F.substring(text_col, 1, WINDOW * FIT_WINDOWS).alias("text"), F.col(lang_col).alias("lang")).dropDuplicates(["id", "lang"]).collect()
     return sorted((r for r in rows if r.lang is not None and r.text), key=lambda r: (r.lang, r.id, r.text))
 
 
 def learn(docs: DataFrame, per_label: int = 200, landmarks: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on at most ``per_label`` rows of each language of ``docs``."""
-    rows = [r for r in sample_rows(docs, per_label, id_col, text_col, lang_col) if _LETTER.search(r.text)]
+    """Fits on at most ``per_label`` rows of each language of ``docs``, and ``FIT_WINDOWS`` windows of each."""
+    rows = [r for r in sample_rows(docs, per_label, id_col, text_col, lang_col) if has_letter(r.text)]
     return fit([r.text for r in rows], [r.lang for r in rows], landmarks)
 
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, fresh, materialise
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Up to this many cells raking is done on the driver and cells are broadcast; beyond it both are distributed.
@@ -167,8 +167,10 @@ def sample_mix(docs: DataFrame, fraction: float = 0.5, alpha: float = 0.5, round
     p, small = cell_probabilities(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), fraction, alpha, rounds, targets)
     discard(rows)
     columns = docs.columns
-    marked = docs.withColumn("__mix_topic", content_topic(F.col(text_col).cast("string")))
-    p = p.withColumnRenamed("p", "__mix_p").select(*(F.col(d).alias(f"__mix_{d}_") for d in DIMENSIONS), "__mix_p")
-    match = F.col("source").cast("string").eqNullSafe(F.col("__mix_source_")) & F.col("lang").cast("string").eqNullSafe(F.col("__mix_lang_")) & F.col("__mix_topic").eqNullSafe(F.col("__mix_topic_"))
-    kept = marked.join(F.broadcast(p) if small else p, match).where(uniform(F.col(id_col), seed) < F.round("__mix_p", 9))
+    topic, share, *keys = (fresh(docs, name) for name in ("topic", "share", *DIMENSIONS))
+    marked = docs.withColumn(topic, content_topic(F.col(text_col).cast("string")))
+    p = p.select(*(F.col(d).alias(k) for d, k in zip(DIMENSIONS, keys, strict=True)), F.col("p").alias(share))
+    own = (F.col("source").cast("string"), F.col("lang").cast("string"), F.col(topic))
+    match = [a.eqNullSafe(F.col(k)) for a, k in zip(own, keys, strict=True)]
+    kept = marked.join(F.broadcast(p) if small else p, match[0] & match[1] & match[2]).where(uniform(F.col(id_col), seed) < F.round(share, 9))
     return kept.select(*columns)

@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .common import chunks, materialise, word_hashes
 
@@ -28,25 +30,31 @@ HOMOGLYPHS = {
     "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ß": "ss", "ø": "o", "ł": "l", "đ": "d", "æ": "ae", "œ": "oe", "ı": "i",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+#: Characters of the longest lexicon entry.
+ENTRY = 40
 INVISIBLE = "​‌‍⁠﻿­"
 
 
-def _fold_table() -> dict[int, str | None]:
-    table: dict[int, str | None] = {}
-    for c in map(chr, range(0x300)):
-        base = unicodedata.normalize("NFKD", c)
-        if len(base) > 1 and base[0].isalpha() and base[0].isascii():
-            table[ord(c)] = "".join(x for x in base if not unicodedata.combining(x)).lower()
-        elif not c.isalnum() and not unicodedata.combining(c):
-            table[ord(c)] = " "
-    table.update({k: None for k in range(0x300, 0x370)})
-    table.update({k: " " for k in range(0x2000, 0x2070)})
-    table.update({ord(k): v for k, v in (HOMOGLYPHS | SUBSTITUTES).items()})
-    table.update({ord(k): None for k in INVISIBLE})
-    return table
+class _Fold(dict):
+    """What each character folds to, worked out when it is first met: compatibility forms and letters with marks to plain ones, marks to nothing."""
 
+    def __missing__(self, point: int) -> str | None:
+        c = chr(point)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if unicodedata.combining(c):
+            found = None
+        elif not c.isalnum():
+            found = " "
+        elif plain.isalnum():
+            found = "".join(LOOKALIKES.get(x, x) for x in plain)
+        else:
+            found = c
+        self[point] = found
+        return found
 
-FOLD = _fold_table()
+
+LOOKALIKES = HOMOGLYPHS | SUBSTITUTES
+FOLD = _Fold({ord(k): v for k, v in LOOKALIKES.items()} | {ord(k): None for k in INVISIBLE})
 
 
 def fold(text: str) -> str:
@@ -152,7 +160,7 @@ def _prefixes(batches, shortest: int):
         for t in b.column(0):
             found = set()
             for w in set(fold(t.as_py()).split()):
-                w = f" {w[:40]} "
+                w = f" {w} " if len(w) <= ENTRY else f" {w[:ENTRY]}"  # of a longer word only prefixes, which don't end it
                 found.update(w[:k] for k in range(min(shortest + 1, len(w)), len(w) + 1))
             counts.update(found)
     if counts:
@@ -193,7 +201,7 @@ def select_entries(counts: dict[str, tuple[int, int]], toxic: int, clean: int, e
 def calibrate(model: Model, total: np.ndarray, words: np.ndarray, label: np.ndarray) -> Model:
     """The power of the length and the logistic's coefficients with the least regularised loss."""
     best = None
-    for power in (0.0, 0.25, 0.5):
+    for power in (0.25, 0.5, 0.75):
         x = total / np.maximum(words, 1) ** power
         scale = x.std() or 1.0
         a, b = -1.0, 1.0
@@ -261,7 +269,7 @@ def _learn_exceptions(sample: DataFrame, model: Model) -> list[str]:
             )
 
     counted = sample.mapInArrow(phrases, "phrase string, label int, n long").groupBy("phrase").pivot("label", [0, 1]).sum("n")
-    return sorted(r.phrase for r in counted.where("`0` >= 3 AND coalesce(`1`, 0) = 0").orderBy(F.desc("0"), "phrase").limit(1000).collect())
+    return sorted(r.phrase for r in counted.where("`0` >= 3 AND coalesce(`1`, 0) = 0").collect())  # bounded by the sample
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,7 +297,21 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, hits long")
 
 
-def reject_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents predicted toxic. Rows without an id stay."""
-    bad = toxicity(docs, model, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")
+def is_toxic(model: Model, text: Column) -> Column:
+    """Whether a whole text is predicted toxic."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = model.automaton()
+        for texts in batches:
+            found = [np.empty(0, bool)]
+            for a, b in chunks(texts, 1_000_000):
+                total, _, words = score_texts(texts[a:b].to_pylist(), automaton)
+                found.append(model.probability(total, words) >= 0.5)
+            yield pa.array(np.concatenate(found))
+
+    return arrow_udf(run, "boolean")(text.cast("string"))
+
+
+def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents predicted toxic. Every row is decided by its own text, so nothing is shuffled; null counts as empty."""
+    return docs.where(~is_toxic(model, F.col(text_col)))

@@ -28,11 +28,31 @@ def test_kernel_is_the_mean_of_set_cosines():
     assert sum(s * own[int(codes[k])] for k, s in zip(at, scale, strict=True)) == pytest.approx(want)
 
 
+def test_ridge_as_brute_force():
+    """Kernel, Nyström features and one-versus-rest ridge worked out densely from sets of n-grams."""
+    rng = np.random.default_rng(5)
+    make = lambda letters: " ".join("".join(rng.choice(list(letters), 4)) for _ in range(12))
+    texts, labels = [make("abcde") for _ in range(8)] + [make("cdefg") for _ in range(8)], ["p"] * 8 + ["q"] * 8
+    model = LI.fit(texts, labels, landmarks=3, ridge=0.01)
+
+    def kernel(a, b):
+        sets = [[{t[i : i + n] for i in range(len(t) - n + 1)} for t in (a, b)] for n in LI.LENGTHS]
+        return np.mean([len(x & y) / np.sqrt(len(x) * len(y)) for x, y in sets])
+
+    marks = [0, 1, 2, 8, 9, 10]
+    k = np.array([[kernel(t, texts[m]) for m in marks] for t in texts])
+    target = np.array([[float(x == c) for c in ("p", "q")] for x in labels])
+    weights = np.linalg.solve(k.T @ k + 0.01 * len(texts) * k[marks] + 1e-8 * np.eye(len(marks)), k.T @ target)
+    new = [make("abcde"), make("cdefg"), make("abcdefg")]
+    want = np.array([[kernel(t, texts[m]) for m in marks] for t in new]) @ weights
+    assert np.allclose(model.values(new), want, atol=1e-6)
+
+
 def test_languages_of_edges(docs):
     model = LI.fit(["the cat and the dog", "le chat et le chien"] * 5, ["en", "fr"] * 5)
-    got = LI.identify(docs([*EDGES, (8, "12 34 !?"), (9, "the dog and the cat"), (10, "漢字")]), model).collect()
+    got = LI.identify(docs([*EDGES, (8, "12 34 !?"), (9, "the dog and the cat"), (10, "漢字"), (11, "½ ² ①"), (12, "_ ٣")]), model).collect()
     pred = {r.doc_id: r.lang_pred for r in got}
-    assert pred[1] == pred[2] == pred[3] == pred[8] == "und" and pred[9] == "en" and pred[10] in ("en", "fr")
+    assert pred[1] == pred[2] == pred[3] == pred[8] == pred[11] == pred[12] == "und" and pred[9] == "en" and pred[10] in ("en", "fr")
     assert LI.identify(docs([]), model).count() == 0
     empty = LI.learn(docs([]))
     assert {r.lang_pred for r in LI.identify(docs([(1, "abc")]), empty).collect()} == {"und"}
@@ -40,6 +60,7 @@ def test_languages_of_edges(docs):
 
 def test_folding():
     assert TX.fold("L0S3R!") == " loser " and TX.fold("ѕсum") == " scum " and TX.fold("ÉTÉ 1diot") == " ete idiot "
+    assert TX.fold("ＬＯＳＥＲ") == " loser " and TX.fold("𝓵𝓸𝓼𝓮𝓻") == " loser " and TX.fold("lồser…漢字") == " loser 漢字 "
     assert TX.fold("sc​um") == " scum " and TX.fold("") == "  "
 
 
@@ -72,6 +93,9 @@ def test_learned_lexicon(spark, docs):
     got = {r.doc_id: r for r in TX.toxicity(docs(rows), model).collect()}
     assert all(got[i].predicted == t for i, t in labels) and all(0 <= r.score <= 1 for r in got.values())
     assert sorted(r.doc_id for r in TX.reject_toxic(docs(rows), model).collect()) == [i for i, t in labels if not t]
+    shared = [(None, rows[0][1]), (None, rows[1][1]), (7, rows[5][1]), (7, rows[6][1])]  # each row by its own text, whatever its id
+    assert sorted((r.doc_id or 0, r.text) for r in TX.reject_toxic(docs(shared), model).collect()) == [(0, rows[1][1]), (7, rows[6][1])]
+    assert model.power > 0
     edges = TX.toxicity(docs(EDGES), model).collect()
     assert len(edges) == len(EDGES) and not any(r.predicted for r in edges)
     assert TX.toxicity(docs([]), model).count() == 0

@@ -31,3 +31,14 @@ def test_index_grows_and_is_bucketed(spark, docs):
     assert sorted(r.doc_id for r in index.entries().collect()) == [1, 2, 8]
     detail = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {index.name}").collect()}
     assert detail["Num Buckets"] == "4" and detail["Sort Columns"] == "[`digest`]"
+
+
+def test_a_batch_that_is_tried_again(spark, docs):
+    index = DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=4)
+    index.ingest(docs([(1, "a")]), batch="one").collect()
+    for _ in range(2):
+        got = {r.doc_id: r.kept for r in index.ingest(docs([(2, "b"), (3, "a")]), batch="two").collect()}
+        assert got == {2: True, 3: False}
+    assert sorted(r.doc_id for r in index.entries().collect()) == [1, 2]
+    index.drop()
+    assert not spark.catalog.tableExists(index.name)

@@ -42,3 +42,12 @@ def test_edges(docs):
     assert len({r.sampled for r in got if r.doc_id == 4}) == 1
     assert M.mix(docs([])).count() == 0 and M.sample_mix(docs([])).count() == 0
     assert M.mix(docs([(1, ""), (2, None)])).where("sampled").count() == 2
+
+
+def test_columns_with_the_names_the_stage_uses(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(i, "w " * 20, "en", "s") for i in range(50)], "doc_id long, text string, lang string, source string")
+    frame = frame.withColumn("__mix_topic", F.lit("t")).withColumn("__mix_p", F.lit("p")).withColumn("p", F.lit("q")).withColumn("topic", F.lit("u"))
+    kept = M.sample_mix(frame)
+    assert kept.columns == frame.columns and {(r["__mix_topic"], r["__mix_p"], r.p, r.topic) for r in kept.collect()} == {("t", "p", "q", "u")}
