@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, lm_score, mixing, simhash_dedup, token_counts, toxicity
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, lm_score, mixing, simhash_dedup, token_counts, toxicity
 from .common import crc_mod, table
 
 #: A conversation whose texts look like control strings.
@@ -67,8 +67,21 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"), width=3, seed=42, budget=3)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Encoded and decoded again; ``vocabulary`` and ``pattern`` are those of the public byte-level tokenizer unless given."""
+    import public_tokenizers
+
+    spec = byte_bpe.ByteBpe.load(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), spec, offsets=False), spec)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), 50, label=label)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_line_dedup, op4_language_id, op5_toxicity, op6_mixing, op7_lm_score, op8_decontamination, op9_chat_format, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_line_dedup, op4_language_id, op5_toxicity, op6_mixing, op7_lm_score, op8_decontamination, op9_chat_format, op10_simhash_dedup, op11_byte_bpe, op12_hard_negatives)}
 
 
 _SPACES = r"[\x20\x09-\x0D]"
@@ -141,4 +154,23 @@ def oracle_sql() -> dict:
                    sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                    CAST(sum(esc + CASE WHEN same THEN 7 ELSE 14 + role_esc END) AS BIGINT) AS formatted_chars
             FROM t GROUP BY conv_id""",
+        "op12_hard_negatives": """
+            WITH v AS (
+              SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+                     list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+              FROM embeddings
+              WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (
+              SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+              FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id),
+            p AS (
+              SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+            n AS (
+              SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+                     row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+              FROM p JOIN s USING (anchor_id)
+              WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+            SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
     }
