@@ -22,11 +22,21 @@ TERMS = "array<struct<term:string,n:int>>"
 MEMO = 1 << 18
 
 
-def _shorten(word: str, suffixes: list[str]) -> str:
-    for s in suffixes:
-        rest = word[: len(word) - len(s)]
-        if len(rest) >= MIN_STEM and word.endswith(s) and any(v in rest for v in VOWELS):
-            return rest[:-1] + SOFTENED.get(rest[-1], rest[-1])
+def _by_length(suffixes: list[str]) -> list[tuple[int, frozenset[str]]]:
+    """The suffixes of each length, the longest first."""
+    return [(n, frozenset(s for s in suffixes if len(s) == n)) for n in sorted({len(s) for s in suffixes}, reverse=True)]
+
+
+#: Suffixes of the first pass, and of the later ones.
+_FIRST, _LATER = _by_length(SUFFIXES), _by_length([s for s in SUFFIXES if len(s) > 1])
+
+
+def _shorten(word: str, suffixes: list[tuple[int, frozenset[str]]], vowel: int) -> str:
+    """``word`` without its longest suffix of which a long enough stem with a vowel is left; ``vowel`` is where its first one stands."""
+    for n, known in suffixes:
+        left = len(word) - n
+        if left >= MIN_STEM and left > vowel and word[left:] in known:
+            return word[: left - 1] + SOFTENED.get(word[left - 1], word[left - 1])
     return word
 
 
@@ -35,10 +45,13 @@ def stem(word: str) -> str:
     head, mark, _ = word.replace("’", "'").partition("'")
     if mark:
         return head.translate(str.maketrans(FOLD_FROM, FOLD_TO)).lower()
-    if len(word) <= MIN_STEM:
+    vowel = next((k for k, c in enumerate(word) if c in VOWELS), None)
+    if len(word) <= MIN_STEM or vowel is None:
         return word
     for turn in range(PASSES):
-        word = _shorten(word, SUFFIXES if not turn else [s for s in SUFFIXES if len(s) > 1])
+        before, word = word, _shorten(word, _LATER if turn else _FIRST, vowel)
+        if word == before:  # the later passes try no suffix that this one didn't
+            break
     return word
 
 
@@ -79,7 +92,8 @@ def _counted(content: bool):
             pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(numbers, pa.int32())], names=["term", "n"])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
 
-    return arrow_udf(run, TERMS)
+    # not deterministic for the optimizer, which would otherwise run it again in each filter and projection made of its result
+    return arrow_udf(run, TERMS).asNondeterministic()
 
 
 def counted_terms(text: Column) -> Column:

@@ -12,6 +12,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from jobs import audit_answers as J2
+from jobs import index_documents as J1
+
 from .functions import sentences as S
 from .functions import turkish as T
 from .functions import vectors as V
@@ -26,7 +29,7 @@ from .operators.hybrid import candidates, fuse, hybrid_search, matched_by
 from .operators.lexical import BM25Index, term_frequency, top, with_stems
 from .plans import evaluate as E
 from .sources import store
-from .sources.tables import read_spread, read_table
+from .sources.tables import read_spread, read_table, shared_folder
 from .sql import ORACLES
 
 SCALE, K = 16.0, 4
@@ -399,13 +402,29 @@ def ingest_report(spark, sf):
     return d.agg(F.count("*").alias("documents")).crossJoin(c.agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("with_chunks"))).crossJoin(fresh.agg(F.count("*").alias("inserted")))
 
 
+def job1_index_documents(spark, sf):
+    """The job run twice into one folder: the second run finds nothing new."""
+    folder = shared_folder(spark)
+    for _ in range(2):
+        J1.index_documents(spark, f"{sf}/documents.parquet", f"{folder}/index", f"{folder}/checkpoint")
+    return J1.read_index(spark, f"{folder}/index").select(F.col("id").alias("doc_id"), "content_hash", "term", "tf", "dl", "df", F.round("idf", 6).alias("idf"))
+
+
+def job2_audit_answers(spark, sf):
+    """The job run twice into one folder: the second run replaces what the first one wrote."""
+    folder = shared_folder(spark)
+    for _ in range(2):
+        J2.audit_answers(spark, f"{sf}/conversations.parquet", folder, "all")
+    return J2.read_reports(spark, folder).select("conv_id", "turn", F.round("score", 6).alias("score"), "n_sentences", "n_unsupported", "verdict")
+
+
 QUERIES = (
     fold_case, tokenize, term_freq, vocab_size, stem, last_vowel, expand_tokens, normalize_text, shares_root, content_terms, sentence_split,
     sections, content_hash, citation, chunk_document, bm25_index, idf, bm25_scores, bm25_topk, saturate, l2_norm, cosine_similarity,
     dense_topk, dim_check, hash_embed_sql, hash_embed_arrow, matched_by_label, rrf_fuse, hybrid, extract_scores, extract_answer,
     extractive_chat, format_context, build_messages, answer_sources, bigram_ratio, repeated_sentence, is_degenerate, support_scores,
     support_best, groundedness_report, answer_mode, refusal_flag, keyword_hits, recall_mrr, quality_gate, calibration_grid,
-    calibration_best, dedup_insert, meta_upsert, meta_lookup, index_info, index_sources, signature_check, ingest_report,
+    calibration_best, dedup_insert, meta_upsert, meta_lookup, index_info, index_sources, signature_check, ingest_report, job1_index_documents, job2_audit_answers,
 )
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,3 +22,20 @@ def read_spread(spark: SparkSession, folder: str, name: str, key: str) -> DataFr
     table = read_table(spark, folder, name)
     cores = spark.sparkContext.defaultParallelism
     return table.repartition(cores, F.col(key)) if table.rdd.getNumPartitions() < cores else table
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder path below ``spark.checkpoint.dir``; where that is unset, below a temporary one, if everything runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tamarisk-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def ensure(spark: SparkSession, path: str, schema: str, *partitions: str) -> None:
+    """Makes the folder of a Parquet table without touching what it holds, so that it can be read before its first row."""
+    writer = spark.createDataFrame([], schema).write.mode("append")
+    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)

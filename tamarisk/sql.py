@@ -118,12 +118,23 @@ EXTRACT = f"""{TOP4},
   hitn AS (SELECT s.qid, s.sentence, count(*) AS c FROM (SELECT DISTINCT qid, sentence FROM qs) s JOIN kterm USING (sentence) JOIN qterm ON qterm.qid = s.qid AND qterm.term = kterm.term GROUP BY ALL),
   es AS (SELECT qs.qid, rank, pos, qs.sentence, source, c / CAST(n AS DOUBLE) AS relevance, c / CAST(n AS DOUBLE) * (0.5 + 0.5 / rank) AS weighted
          FROM qs JOIN qn USING (qid) JOIN hitn ON hitn.qid = qs.qid AND hitn.sentence = qs.sentence WHERE c / CAST(n AS DOUBLE) >= 0.08)"""
-DIALOGUE = f"""a AS (SELECT conv_id * 1000 + turn AS qid, conv_id, text AS answer FROM conversations WHERE role = 'assistant'),
-  us AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, 'turn' || CAST(turn AS VARCHAR) AS source, text FROM conversations WHERE role = 'user'),
-  h AS (SELECT qid, rank, source, conv_id * 1000 + turn AS pid, text AS passage FROM a JOIN us USING (conv_id)),
+TURNS = """a AS (SELECT conv_id * 1000 + turn AS qid, conv_id, text AS answer FROM conversations WHERE role = 'assistant'),
+  us AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, 'turn' || CAST(turn AS VARCHAR) AS source, conv_id * 1000 + turn AS pid, text FROM conversations WHERE role = 'user'),
+  h AS (SELECT qid, rank, source, pid, text AS passage FROM a JOIN us USING (conv_id))"""
+RECORDED = """pl AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER w AS pos, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS k
+    FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IN ('assistant', 'user') WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, coalesce(text, ''))),
+  nu AS (SELECT row_number() OVER (ORDER BY conv_id, pos) AS qid, * FROM pl),
+  a AS (SELECT qid, conv_id, turn, k, text AS answer FROM nu WHERE role = 'assistant'),
+  us AS (SELECT conv_id, turn, k, 'turn' || CAST(turn AS VARCHAR) AS source, qid AS pid, text FROM nu WHERE role = 'user'),
+  h AS (SELECT a.qid, a.k - us.k + 1 AS rank, source, pid, us.text AS passage FROM a JOIN us ON us.conv_id = a.conv_id AND us.k BETWEEN a.k - 3 AND a.k)"""
+
+
+def audit(turns: str) -> str:
+    """CTEs that end in ver (qid, pos, score, supported, best_source): answers a (qid, answer), passages us (pid, text) and hits h are given by ``turns``."""
+    return f"""{turns},
   se AS (SELECT qid, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT qid, {ANSWER_SENTENCES.format(t=PLAIN.format(t="answer"))} AS l FROM a)),
   se2 AS (SELECT qid * 100000 + pos AS sid, * FROM se), {expanded("s", "se2", "sid", "sentence")},
-  up AS (SELECT conv_id * 1000 + turn AS pid, text FROM us), {expanded("u", "up", "pid", "text")},
+  up AS (SELECT pid, text FROM us), {expanded("u", "up", "pid", "text")},
   sterm AS (SELECT qid, se2.pos AS pos, term, least(count(*), 2) AS n FROM sx JOIN se2 ON sid = id WHERE {CONTENT} GROUP BY ALL),
   uterm AS (SELECT DISTINCT id AS pid, term FROM ux WHERE {CONTENT}),
   hn AS (SELECT qid, count(*) AS n FROM h GROUP BY 1),
@@ -139,6 +150,9 @@ DIALOGUE = f"""a AS (SELECT conv_id * 1000 + turn AS qid, conv_id, text AS answe
           FROM se LEFT JOIN best ON best.qid = se.qid AND best.pos = se.pos)"""
 
 
+DIALOGUE = audit(TURNS)
+
+
 def bigrams(t: str) -> str:
     w = rf"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}\p{{M}}_]+')"
     pairs = f"list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
@@ -153,10 +167,16 @@ def repeats(source: str, key: str, text: str) -> str:
 
 
 HASH = "sha256('s' || chr(0) || '' || chr(0) || text)"
-REPORT = f"""{DIALOGUE}, {repeats("a", "qid", "answer")},
+
+
+def reported(turns: str) -> str:
+    return f"""{audit(turns)}, {repeats("a", "qid", "answer")},
   r AS (SELECT a.qid, answer, count(ver.pos) AS n, count(*) FILTER (WHERE supported) AS good FROM a LEFT JOIN ver USING (qid) GROUP BY ALL),
   rep AS (SELECT qid, CASE WHEN n = 0 THEN 1.0 ELSE good / CAST(n AS DOUBLE) END AS score, n AS n_sentences, n - good AS n_unsupported,
           n > 0 AND ({bigrams("answer")} < 0.75 OR rp.sentence IS NOT NULL) AS degenerate FROM r LEFT JOIN rp ON rp.id = qid)"""
+
+
+REPORT = reported(TURNS)
 GRID = f"""{FUSED}, {EXPECTED},
   g AS (SELECT sc.lexical_scale, si.min_similarity FROM (VALUES (16.0), (32.0), (64.0), (128.0), (256.0), (512.0)) sc(lexical_scale),
         (VALUES (0.0), (0.05), (0.10), (0.15), (0.20), (0.25), (0.30), (0.35), (0.40), (0.50), (0.60)) si(min_similarity)),
@@ -170,6 +190,7 @@ GRID = f"""{FUSED}, {EXPECTED},
          avg(CAST(CASE WHEN expected IS NULL THEN n = 0 ELSE hit END AS INT)) AS overall FROM gj GROUP BY ALL),
   gbal AS (SELECT *, CASE WHEN recall + refusal = 0 THEN 0 ELSE 2 * recall * refusal / (recall + refusal) END AS balanced FROM gm)"""
 
+DISTINCT_TEXT = "sha256(coalesce(source, '') || chr(0) || '' || chr(0) || coalesce(text, ''))"
 DOC_WORDS = f"t AS (SELECT DISTINCT unnest({tokens('text')}) AS word FROM documents)"
 ORACLES = {
     "fold_case": f"SELECT doc_id, {fold('text')} AS folded FROM documents",
@@ -245,4 +266,12 @@ ORACLES = {
     "index_info": "SELECT count(*) AS chunks, count(DISTINCT source) AS sources FROM documents",
     "index_sources": "SELECT DISTINCT source FROM documents",
     "signature_check": "SELECT * FROM (VALUES ('empty', 'EmptyIndex'), ('right', 'ok'), ('foreign', 'IndexMismatch'), ('unsigned', 'ok')) v(name, outcome)",
+    "job1_index_documents": f"""WITH u AS (SELECT doc_id, text, {DISTINCT_TEXT} AS content_hash FROM documents WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {DISTINCT_TEXT} ORDER BY doc_id) = 1),
+      {expanded("d", "u", "doc_id", "text")},
+      tf AS (SELECT id, term, count(*) AS tf FROM dx GROUP BY ALL),
+      dlen AS (SELECT id, CAST(sum(tf) AS BIGINT) AS dl FROM tf GROUP BY id),
+      idf AS (SELECT term, count(*) AS df, ln(1 + ((SELECT count(*) FROM u) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY term)
+      SELECT tf.id AS doc_id, content_hash, term, tf, dl, df, round(idf, 6) AS idf FROM tf JOIN idf USING (term) JOIN dlen ON dlen.id = tf.id JOIN u ON u.doc_id = tf.id""",
+    "job2_audit_answers": f"""WITH {reported(RECORDED)} SELECT conv_id, turn, round(score, 6) AS score, n_sentences, n_unsupported,
+      CASE WHEN degenerate THEN 'degenerate' WHEN n_unsupported > 0 THEN 'unsupported' ELSE 'clean' END AS verdict FROM rep JOIN a USING (qid)""",
 }
