@@ -15,7 +15,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import chunks
 
 #: Pieces, and characters of pieces, that a task keeps; matches of a long text that are in memory at a time; longest text that is split at once.
-MEMO, MEMO_CHARS, MATCHES, LONG = 1 << 18, 1 << 24, 1 << 17, 1 << 20
+MEMO, MEMO_CHARS, MATCHES, LONG = 1 << 19, 1 << 24, 1 << 17, 1 << 20
 #: What an id that is no token stands for.
 REPLACEMENT = "�".encode()
 
@@ -92,41 +92,50 @@ def gather(first: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndar
 
 
 class Encoder:
-    """Encodes whole texts; keeps the ids and offsets of up to ``memo`` distinct pieces."""
+    """Encodes whole texts; keeps the ids, and with ``offsets`` the offsets, of up to ``memo`` distinct pieces."""
 
-    def __init__(self, spec: ByteBpe, memo: int = MEMO):
+    def __init__(self, spec: ByteBpe, offsets: bool = True, memo: int = MEMO):
         import regex
 
-        self.tokenizer, self.split, self.memo = spec.tokenizer(), regex.compile(spec.pattern), memo
+        tokenizer = spec.tokenizer()
+        self.batch = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
+        self.split, self.offsets, self.memo = regex.compile(spec.pattern), offsets, memo
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.chars = self.held = 0
-        self.first, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.table = np.zeros((3, 1 << 14), np.int32)  # id, start and end within the piece
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.table = np.zeros((3 if self.offsets else 1, 1 << 14), np.int32)  # id, start and end within the piece
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > self.memo or self.chars > MEMO_CHARS:
-            self.forget()
         fresh = list(pieces.difference(self.known))
-        for k, found in enumerate(self.tokenizer.encode_batch(fresh, add_special_tokens=False), len(self.known)):
-            n = len(found.ids)
-            while self.held + n > self.table.shape[1]:
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)), axis=1)
-            if k >= len(self.first):
-                self.first, self.size = np.concatenate((self.first, self.first)), np.concatenate((self.size, self.size))
-            self.table[0, self.held : self.held + n] = found.ids
-            self.table[1:, self.held : self.held + n] = np.array(found.offsets, np.int32).reshape(-1, 2).T
-            self.first[k], self.size[k] = self.held, n
-            self.held += n
+        if self.known and (len(self.known) + len(fresh) > self.memo or self.chars > MEMO_CHARS):
+            self.forget()
+            fresh = list(pieces)
+        found = self.batch(fresh, add_special_tokens=False)
+        ids = [f.ids for f in found]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        n = int(size.sum())
+        if self.held + n > self.table.shape[1]:
+            self.table = np.concatenate((self.table, np.zeros((len(self.table), max(n, self.table.shape[1])), np.int32)), axis=1)
+        own = self.table[:, self.held : self.held + n]
+        own[0] = np.fromiter(chain.from_iterable(ids), np.int32, n)
+        if self.offsets:
+            own[1:] = np.fromiter(chain.from_iterable(chain.from_iterable(f.offsets for f in found)), np.int32, 2 * n).reshape(n, 2).T
+        self.first = np.concatenate((self.first, np.cumsum(size) - size + self.held))
+        self.size = np.concatenate((self.size, size))
         self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        self.held += n
         self.chars += sum(map(len, fresh))
 
     def pieces(self, text: str) -> Iterator[tuple[list[str], np.ndarray]]:
-        """The matches of the pattern, in order, and where each starts; a long text's come in several lists."""
+        """The matches of the pattern, in order, and with ``offsets`` where each starts; a long text's come in several lists."""
         if len(text) <= LONG and not self.split.groups:
             found = self.split.findall(text)
+            if not self.offsets:
+                yield found, np.zeros(0, np.int64)
+                return
             ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
             if not len(ends) or ends[-1] == len(text):
                 yield found, np.concatenate((np.zeros(min(1, len(ends)), np.int64), ends[:-1]))
@@ -135,17 +144,39 @@ class Encoder:
         while some := list(islice(matches, MATCHES)):
             yield [m.group() for m in some], np.array([m.start() for m in some], np.int64)
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Three rows: ids, and the first character and the one after the last of each token. Tokens of one split character share its offsets."""
-        parts = []
-        for words, starts in self.pieces(text or ""):
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, with ``offsets`` below them the first character and the one after the last of each token, and each text's number of tokens.
+
+        Tokens of one split character share its offsets.
+        """
+        parts, tokens = [np.zeros((len(self.table), 0), np.int32)], np.zeros(len(texts), np.int64)
+        words: list[str] = []
+        starts: list[np.ndarray] = []
+        owners: list[tuple[int, int]] = []
+
+        def flush() -> None:
             self.learn(set(words))
-            slots = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            where, n = gather(self.first, self.size, slots)
+            where, n = gather(self.first, self.size, np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
             part = self.table[:, where]
-            part[1:] += np.repeat(starts, n).astype(np.int32)
+            if self.offsets:
+                part[1:] += np.repeat(np.concatenate(starts), n).astype(np.int32)
             parts.append(part)
-        return np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.int32)
+            ends, at = np.concatenate(([0], np.cumsum(n))), 0
+            for k, many in owners:
+                tokens[k] += ends[at + many] - ends[at]
+                at += many
+            words.clear(), starts.clear(), owners.clear()
+
+        for k, text in enumerate(texts):
+            for own, begun in self.pieces(text or ""):
+                words.extend(own)
+                starts.append(begun)
+                owners.append((k, len(own)))
+                if len(words) >= MATCHES:
+                    flush()
+        if words:
+            flush()
+        return np.concatenate(parts, axis=1), tokens
 
 
 class Decoder:
@@ -178,11 +209,6 @@ class Decoder:
         return out
 
 
-def _lists(parts: list[np.ndarray], values: pa.DataType) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], values))
-
-
 def encode(docs: DataFrame, spec: ByteBpe, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
     """(doc_id, ids, and with ``offsets`` starts, ends) of every row's whole text.
 
@@ -193,11 +219,12 @@ def encode(docs: DataFrame, spec: ByteBpe, id_col: str = "doc_id", text_col: str
     names = ("ids", "starts", "ends") if offsets else ("ids",)
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = Encoder(shared.value, offsets)
         for batch in batches:
             for a, b in chunks(batch.column(1), 1_000_000):
-                found = [encoder.encode(t.as_py()) for t in batch.column(1)[a:b]]
-                lists = [_lists([f[k] for f in found], pa.int32()) for k in range(len(names))]
+                rows, tokens = encoder.encode(batch.column(1)[a:b].to_pylist())
+                ends = pa.array(np.concatenate(([0], np.cumsum(tokens))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(row)) for row in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *lists], names=["doc_id", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))

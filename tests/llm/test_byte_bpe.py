@@ -43,14 +43,14 @@ def test_every_byte_has_its_character():
 def test_ids_equal_the_public_library(corpus, file):
     own, public = Encoder(ByteBpe.load(P.path(file), P.PATTERN)), reference(P.path(file))
     for text in [t for _, t in corpus] + ODD + ["".join(ODD) * 3]:
-        assert own.encode(text)[0].tolist() == public.encode_ordinary(text or "")
+        assert own.encode([text])[0][0].tolist() == public.encode_ordinary(text or "")
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.characters(exclude_categories=["Cs"])))
 def test_ids_of_any_text(text):
     own, public, decoder = _once()
-    got = own.encode(text)
+    got, _ = own.encode([text])
     assert got[0].tolist() == public.encode_ordinary(text)
     assert decoder.bytes(got[0]) == text.encode() and "".join(decoder.pieces(got[0])) == text
 
@@ -75,7 +75,18 @@ def test_vocabulary_whose_merges_are_ambiguous():
     rng = np.random.default_rng(3)
     for _ in range(3000):
         text = "".join(rng.choice(list("abcxyz "), rng.integers(1, 12)))
-        assert own.encode(text)[0].tolist() == public.encode_ordinary(text), text
+        assert own.encode([text])[0][0].tolist() == public.encode_ordinary(text), text
+
+
+def test_texts_together_as_apart(corpus, spec):
+    """With and without offsets, and with a memory that is too small for the pieces of one text."""
+    texts = [t for _, t in corpus[:50]] + ODD + [None]
+    apart = [Encoder(spec).encode([t])[0] for t in texts[-20:]]
+    for encoder in (Encoder(spec), Encoder(spec, offsets=False), Encoder(spec, memo=5)):
+        rows, tokens = encoder.encode(texts)
+        assert tokens.sum() == rows.shape[1] and tokens[-1] == 0
+        for want, got in zip(apart, np.split(rows, np.cumsum(tokens)[:-1], axis=1)[-20:], strict=True):
+            assert (want[: len(got)] == got).all()
 
 
 def test_bytes_without_a_token():
@@ -86,7 +97,7 @@ def test_bytes_without_a_token():
 def test_offsets_cover_the_text(corpus, spec):
     encoder, decoder = Encoder(spec), Decoder(spec)
     for text in [t or "" for _, t in corpus[:60]] + ODD:
-        ids, starts, ends = encoder.encode(text)
+        ids, starts, ends = encoder.encode([text])[0]
         for i, a, b in zip(ids.tolist(), starts.tolist(), ends.tolist(), strict=True):
             assert decoder.tokens[i] in text[a:b].encode()
         covered = np.zeros(len(text) + 1, bool)
@@ -97,13 +108,13 @@ def test_offsets_cover_the_text(corpus, spec):
 
 def test_pattern_that_leaves_gaps(spec):
     """Characters that no match has are left out, as by the public library; offsets stay those of the text."""
-    ids, starts, ends = Encoder(ByteBpe(spec.model, r"(?:[a-z])+")).encode("ab, cd")
+    ids, starts, ends = Encoder(ByteBpe(spec.model, r"(?:[a-z])+")).encode(["ab, cd"])[0]
     assert [("ab, cd"[a:b]) for a, b in zip(starts, ends, strict=True)] == ["ab", "cd"]
 
 
 def test_split_characters(spec):
     decoder, encoder = Decoder(spec), Encoder(spec)
-    ids, starts, _ = encoder.encode("𝒳é")
+    ids, starts, _ = encoder.encode(["𝒳é"])[0]
     assert len(ids) > 2 and starts[0] == starts[1] == 0
     assert [p for p in decoder.pieces(ids) if p] == ["𝒳", "é"]
     assert decoder.pieces(ids[:1]) == ["�"] and decoder.bytes(ids[:1]).decode("utf-8", "replace") == "�"
@@ -113,10 +124,10 @@ def test_long_texts(spec, tiktoken):
     """One word of two million characters, and a text of many words, split in several lists."""
     encoder = Encoder(spec)
     for text in ("ab" * 1_000_000, "word and Ünï " * 200_000, "\n" * 20_000):
-        ids = encoder.encode(text)
+        ids, _ = encoder.encode([text])
         assert ids[0].tolist() == tiktoken.encode_ordinary(text)
         assert ids[2][-1] == len(text)
-    blank = encoder.encode("\n" * 1_500_000)  # more white space than the public library takes
+    blank, _ = encoder.encode(["\n" * 1_500_000])  # more white space than the public library takes
     assert Decoder(spec).bytes(blank[0]) == b"\n" * 1_500_000
 
 
