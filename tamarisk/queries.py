@@ -23,6 +23,7 @@ from .functions.hashing import hash_embed, hash_features, md5_embed
 from .operators import answer as A
 from .operators import groundedness as G
 from .operators.backends import HashingBackend
+from .operators.block_max import BlockMaxIndex
 from .operators.dense import cosine_scores, search_top_k, search_with_pairs
 from .operators.holders import first_holders
 from .operators.hybrid import candidates, fuse, hybrid_search, matched_by
@@ -152,6 +153,13 @@ def bm25_topk(spark, sf):
     return top(scores, 10).select(F.col("qid").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), "score")
 
 
+def bm25_topk_pruned(spark, sf):
+    scratch = store.Scratch(spark, shared_folder(spark))
+    index = BlockMaxIndex.build(BM25Index.build(_docs(spark, sf), "doc_id", F.col("text"), scratch.keep), f"{scratch.path}/index", scratch.keep)
+    found = index.top_k(_items(spark, sf), "qid", F.col("question"), 10, digits=6)
+    return found.select(F.col("qid").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), "score")
+
+
 def saturate(spark, sf):
     return _lexical(spark, sf).select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), F.round(V.saturate(F.col("score"), SCALE), 6).alias("confidence"))
 
@@ -420,7 +428,7 @@ def job2_audit_answers(spark, sf):
 
 QUERIES = (
     fold_case, tokenize, term_freq, vocab_size, stem, last_vowel, expand_tokens, normalize_text, shares_root, content_terms, sentence_split,
-    sections, content_hash, citation, chunk_document, bm25_index, idf, bm25_scores, bm25_topk, saturate, l2_norm, cosine_similarity,
+    sections, content_hash, citation, chunk_document, bm25_index, idf, bm25_scores, bm25_topk, bm25_topk_pruned, saturate, l2_norm, cosine_similarity,
     dense_topk, dim_check, hash_embed_sql, hash_embed_arrow, matched_by_label, rrf_fuse, hybrid, extract_scores, extract_answer,
     extractive_chat, format_context, build_messages, answer_sources, bigram_ratio, repeated_sentence, is_degenerate, support_scores,
     support_best, groundedness_report, answer_mode, refusal_flag, keyword_hits, recall_mrr, quality_gate, calibration_grid,

@@ -39,3 +39,10 @@ def ensure(spark: SparkSession, path: str, schema: str, *partitions: str) -> Non
     """Makes the folder of a Parquet table without touching what it holds, so that it can be read before its first row."""
     writer = spark.createDataFrame([], schema).write.mode("append")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+
+
+def write_bucketed(df: DataFrame, path: str, keys: tuple[str, ...], buckets: int) -> DataFrame:
+    """Writes ``df`` below ``path``, bucketed and sorted by ``keys``, and reads it again as a table that joins on them without a shuffle."""
+    name = f"tamarisk_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -275,3 +275,4 @@ ORACLES = {
     "job2_audit_answers": f"""WITH {reported(RECORDED)} SELECT conv_id, turn, round(score, 6) AS score, n_sentences, n_unsupported,
       CASE WHEN degenerate THEN 'degenerate' WHEN n_unsupported > 0 THEN 'unsupported' ELSE 'clean' END AS verdict FROM rep JOIN a USING (qid)""",
 }
+ORACLES["bm25_topk_pruned"] = ORACLES["bm25_topk"]
