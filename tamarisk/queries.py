@@ -28,6 +28,7 @@ from .operators.dense import cosine_scores, search_top_k, search_with_pairs
 from .operators.holders import first_holders
 from .operators.hybrid import candidates, fuse, hybrid_search, matched_by
 from .operators.lexical import BM25Index, term_frequency, top, with_stems
+from .operators.pivots import PivotIndex
 from .plans import evaluate as E
 from .sources import store
 from .sources.tables import read_spread, read_table, shared_folder
@@ -185,6 +186,12 @@ def dense_topk(spark, sf):
     return found.select("qid", F.col("rank").cast("long").alias("rank"), F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
+def dense_topk_pruned(spark, sf):
+    scratch = store.Scratch(spark, shared_folder(spark))
+    found = PivotIndex.build(_vectors(spark, sf), scratch.keep).top_k(_asked(spark, sf), scratch.keep, 4, 0.3)
+    return found.select("qid", F.col("rank").cast("long").alias("rank"), F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
+
+
 def dim_check(spark, sf):
     v = _vectors(spark, sf)
     return v.agg(F.countDistinct(F.size("v")).alias("widths"), F.min(F.size("v")).cast("long").alias("least"), F.max(F.size("v")).cast("long").alias("most"))
@@ -429,7 +436,7 @@ def job2_audit_answers(spark, sf):
 QUERIES = (
     fold_case, tokenize, term_freq, vocab_size, stem, last_vowel, expand_tokens, normalize_text, shares_root, content_terms, sentence_split,
     sections, content_hash, citation, chunk_document, bm25_index, idf, bm25_scores, bm25_topk, bm25_topk_pruned, saturate, l2_norm, cosine_similarity,
-    dense_topk, dim_check, hash_embed_sql, hash_embed_arrow, matched_by_label, rrf_fuse, hybrid, extract_scores, extract_answer,
+    dense_topk, dense_topk_pruned, dim_check, hash_embed_sql, hash_embed_arrow, matched_by_label, rrf_fuse, hybrid, extract_scores, extract_answer,
     extractive_chat, format_context, build_messages, answer_sources, bigram_ratio, repeated_sentence, is_degenerate, support_scores,
     support_best, groundedness_report, answer_mode, refusal_flag, keyword_hits, recall_mrr, quality_gate, calibration_grid,
     calibration_best, dedup_insert, meta_upsert, meta_lookup, index_info, index_sources, signature_check, ingest_report, job1_index_documents, job2_audit_answers,

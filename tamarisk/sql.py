@@ -276,3 +276,4 @@ ORACLES = {
       CASE WHEN degenerate THEN 'degenerate' WHEN n_unsupported > 0 THEN 'unsupported' ELSE 'clean' END AS verdict FROM rep JOIN a USING (qid)""",
 }
 ORACLES["bm25_topk_pruned"] = ORACLES["bm25_topk"]
+ORACLES["dense_topk_pruned"] = ORACLES["dense_topk"]
