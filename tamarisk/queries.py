@@ -7,8 +7,6 @@ are answers and the user turns of the same conversation their passages.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -370,6 +368,15 @@ def dedup_insert(spark, sf):
     return store.new_rows(rows, stored).select(F.col("chunk_index").alias("doc_id"), "source", "content_hash")
 
 
+def insert_batches(spark, sf):
+    """Every seventh document, then all of them twice: the second batch adds what the first lacks, its repetition nothing."""
+    rows = _chunk_rows(spark, sf).where("content IS NOT NULL").withColumns({"embedding": F.array(F.lit(1.0).cast("float")), "dim": F.lit(1), "chunk_index": F.col("chunk_index").cast("int")})
+    index = store.Store(spark, shared_folder(spark))
+    for name, some in (("first", rows.where("chunk_index % 7 = 0")), ("second", rows), ("second", rows)):
+        index.add_chunks(some, name)
+    return index.chunks().select("id", F.col("chunk_index").cast("long").alias("doc_id"), "source", "content_hash")
+
+
 def meta_upsert(spark, sf):
     d = _table(spark, sf, "documents")
     stored = d.groupBy(F.col("source").alias("key")).agg(F.min("doc_id").cast("string").alias("value"))
@@ -393,7 +400,7 @@ def index_sources(spark, sf):
 
 def signature_check(spark, sf):
     """The outcome of opening an index that is empty, foreign, unsigned or right."""
-    folder = tempfile.mkdtemp() if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/sig-{id(object())}"
+    folder = shared_folder(spark)
     rows = []
     for name, signature in (("empty", None), ("right", "a:2"), ("foreign", "b:2"), ("unsigned", None)):
         s = store.Store(spark, f"{folder}/{name}")
@@ -439,7 +446,7 @@ QUERIES = (
     dense_topk, dense_topk_pruned, dim_check, hash_embed_sql, hash_embed_arrow, matched_by_label, rrf_fuse, hybrid, extract_scores, extract_answer,
     extractive_chat, format_context, build_messages, answer_sources, bigram_ratio, repeated_sentence, is_degenerate, support_scores,
     support_best, groundedness_report, answer_mode, refusal_flag, keyword_hits, recall_mrr, quality_gate, calibration_grid,
-    calibration_best, dedup_insert, meta_upsert, meta_lookup, index_info, index_sources, signature_check, ingest_report, job1_index_documents, job2_audit_answers,
+    calibration_best, dedup_insert, insert_batches, meta_upsert, meta_lookup, index_info, index_sources, signature_check, ingest_report, job1_index_documents, job2_audit_answers,
 )
 
 

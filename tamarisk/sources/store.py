@@ -1,16 +1,25 @@
-"""The index on storage: a Parquet table of chunks and one of key-value metadata."""
+"""The index on storage: a Parquet table of chunks and one of key-value metadata.
+
+Chunks are bucketed and sorted by content hash, with a partition for each batch that was added. A batch
+meets what is stored without a shuffle of it, and is written by one job into its own partition, which
+replaces what an earlier try of the same batch left there.
+"""
 
 from __future__ import annotations
 
 import itertools
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.dense import assert_uniform_dim
+from .tables import ensure
 
 CHUNKS = "id long, source string, chunk_index int, heading string, content string, content_hash string, embedding array<float>, dim int"
+STORED = CHUNKS + ", batch string"
 META = "key string, value string"
 META_KEYS = ("embedding_signature", "chunk_size", "chunk_overlap", "backend", "document_count")
 
@@ -80,8 +89,11 @@ class Scratch:
 class Store:
     """Chunks and metadata below one folder."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
+        """``buckets`` is how many buckets the chunks of a new store get; a store that has chunks keeps its number."""
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self.spark, self.buckets = spark, buckets
+        self.path = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
 
     def _read(self, name: str, schema: str) -> DataFrame:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -92,20 +104,66 @@ class Store:
         return Scratch(self.spark, f"{self.path}/_scratch")
 
     def chunks(self) -> DataFrame:
-        return self._read("chunks", CHUNKS)
+        return self._read("chunks", STORED).drop("batch")
+
+    def batches(self) -> DataFrame:
+        """(batch, n): what each batch added."""
+        return self._read("chunks", STORED).groupBy("batch").agg(F.count("*").alias("n"))
 
     def meta(self) -> DataFrame:
         """The last value of each key: the log of changes is append-only."""
         return self._read("meta", META + ", seq long").groupBy("key").agg(F.max_by("value", "seq").alias("value"))
 
-    def add_chunks(self, rows: DataFrame) -> int:
-        """Appends the rows that are new by content hash and returns their number; ids go on from the highest."""
-        stored = self.chunks()
-        start = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        fresh = new_rows(rows, stored).withColumn("id", F.lit(start + 1) + F.monotonically_increasing_id())
-        before = stored.count()
-        fresh.select(*[c.split()[0] for c in CHUNKS.split(", ")]).write.mode("append").parquet(f"{self.path}/chunks")
-        return self.chunks().count() - before
+    @contextmanager
+    def bucketed(self) -> Iterator[DataFrame]:
+        """The chunks, with ``batch``, as a table that joins on content_hash as it lies; its name, ``self.table``, is gone afterwards, its files stay."""
+        ensure(self.spark, f"{self.path}/chunks", STORED, "batch")
+        if not (known := get_meta(self.meta(), "chunk_buckets")):
+            self.set_meta({"chunk_buckets": self.buckets})
+        place = f"{self.path}/chunks".replace("\\", "\\\\").replace("'", "\\'")
+        self.table = f"tamarisk_{uuid.uuid4().hex}"
+        self.spark.sql(
+            f"CREATE TABLE {self.table} ({STORED}) USING parquet PARTITIONED BY (batch) CLUSTERED BY (content_hash) SORTED BY (content_hash) INTO {known or self.buckets} BUCKETS LOCATION '{place}'"
+        )
+        try:
+            self.spark.sql(f"ALTER TABLE {self.table} RECOVER PARTITIONS")
+            yield self.spark.table(self.table)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def fresh(self, rows: DataFrame, stored: DataFrame) -> DataFrame:
+        """The rows that are new by content hash, of equal ones the first, laid out like the stored ones, which stay where they are."""
+        first = first_of_each(rows, "content_hash", "chunk_index", "source")
+        buckets = int(get_meta(self.meta(), "chunk_buckets", str(self.buckets)))
+        # as an outer join with a mark: an anti-join would move below the aggregation and the repartitioning, and repeated rows would be shuffled
+        known = stored.select("content_hash", F.lit(True).alias("__known"))
+        return first.repartition(buckets, "content_hash").join(known, "content_hash", "left").where("__known IS NULL").select(*rows.columns)
+
+    def add_chunks(self, rows: DataFrame, batch: str | None = None) -> int:
+        """Adds the rows that are new by content hash as one batch and returns their number.
+
+        Ids go on without a gap from the highest, in the order of source and index. A batch that is
+        given again replaces its own rows, so a try that was cut off, or a repetition, adds nothing twice;
+        without a name it is a new one. One writer at a time: files have no lock.
+        """
+        scratch = self.scratch()
+        with self.bucketed() as stored:
+            batch = uuid.uuid4().hex if batch is None else batch
+            others = stored.where(F.col("batch") != batch)
+            start = others.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+            order = ("source", "chunk_index", "content_hash")
+            placed = self.fresh(rows, others).repartitionByRange(*order).sortWithinPartitions(*order)
+            staged = scratch.keep(placed.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id() % (1 << 33)))
+            sizes = staged.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition of one shuffle
+            before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+            numbered = staged.join(F.broadcast(before), "part").withColumn("id", F.lit(start + 1) + F.col("before") + F.col("place"))
+            columns = [c.split()[0] for c in CHUNKS.split(", ")]
+            buckets = int(get_meta(self.meta(), "chunk_buckets"))
+            written = numbered.select(*columns).repartition(buckets, "content_hash")
+            self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch = :batch) SELECT {', '.join(columns)} FROM {{rows}}", {"batch": batch}, rows=written)
+            added = staged.count()
+        scratch.clear()
+        return added
 
     def set_meta(self, values: dict[str, str]) -> None:
         seq = self._read("meta", META + ", seq long").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
@@ -113,7 +171,7 @@ class Store:
         self.spark.createDataFrame(rows, META + ", seq long").write.mode("append").parquet(f"{self.path}/meta")
 
     def reset(self) -> None:
-        for name, schema in (("chunks", CHUNKS), ("meta", META + ", seq long")):
+        for name, schema in (("chunks", STORED), ("meta", META + ", seq long")):
             self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     def verify(self, signature: str) -> None:

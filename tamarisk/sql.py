@@ -277,3 +277,6 @@ ORACLES = {
 }
 ORACLES["bm25_topk_pruned"] = ORACLES["bm25_topk"]
 ORACLES["dense_topk_pruned"] = ORACLES["dense_topk"]
+ORACLES["insert_batches"] = f"""WITH c AS (SELECT doc_id, source, {HASH} AS content_hash, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 2 END AS b FROM documents WHERE text IS NOT NULL),
+  k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY b, doc_id, source) = 1)
+  SELECT row_number() OVER (ORDER BY b, source NULLS FIRST, doc_id, content_hash) AS id, doc_id, source, content_hash FROM k"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,10 +23,11 @@ def document_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_ingest(docs: DataFrame, store: Store, backend: Backend, checkpoint: str, size: int = 900, overlap: int = 150, once: bool = False) -> StreamingQuery:
-    """Starts a query over streaming (source, text) rows. A batch that is run again adds nothing twice."""
+    """Starts a query over streaming (source, text) rows. A batch is one of the store's, named by checkpoint and number: run again, it replaces itself."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
-    def append(batch: DataFrame, _: int) -> None:
-        store.add_chunks(embed_chunks(chunk_documents(batch, size, overlap), backend))
+    def append(batch: DataFrame, number: int) -> None:
+        store.add_chunks(embed_chunks(chunk_documents(batch, size, overlap), backend), f"{name}-{number}")
 
     writer = docs.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
