@@ -28,7 +28,7 @@ def strip(text: Column, characters: str | None = None) -> Column:
 
 def chunk_sentences(text: Column) -> Column:
     """Sentences for chunking; closing quotes and brackets at a cut are lost."""
-    return F.filter(F.transform(_cut(text, CHUNK_END), strip), lambda s: s != "")
+    return F.filter(F.transform(_cut(text, CHUNK_END), lambda s: strip(s)), lambda s: s != "")
 
 
 def answer_sentences(text: Column) -> Column:

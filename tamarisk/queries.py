@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from jobs import audit_answers as J2
 from jobs import index_documents as J1
 
+from .functions import chunking as C
 from .functions import sentences as S
 from .functions import turkish as T
 from .functions import vectors as V
@@ -126,6 +127,11 @@ def chunk_document(spark, sf):
     return c.select(F.col("source").cast("long").alias("doc_id"), "chunk_index", "heading", "content")
 
 
+def chunk_text(spark, sf):
+    c = F.posexplode(C.chunk_text(F.col("text"), 240, 60)).alias("pos", "content")
+    return _docs(spark, sf).select("doc_id", c).select("doc_id", F.col("pos").cast("long").alias("pos"), "content")
+
+
 def _bm25(spark, sf):
     return BM25Index.build(_docs(spark, sf), "doc_id", F.col("text"))
 
@@ -442,7 +448,7 @@ def job2_audit_answers(spark, sf):
 
 QUERIES = (
     fold_case, tokenize, term_freq, vocab_size, stem, last_vowel, expand_tokens, normalize_text, shares_root, content_terms, sentence_split,
-    sections, content_hash, citation, chunk_document, bm25_index, idf, bm25_scores, bm25_topk, bm25_topk_pruned, saturate, l2_norm, cosine_similarity,
+    sections, content_hash, citation, chunk_document, chunk_text, bm25_index, idf, bm25_scores, bm25_topk, bm25_topk_pruned, saturate, l2_norm, cosine_similarity,
     dense_topk, dense_topk_pruned, dim_check, hash_embed_sql, hash_embed_arrow, matched_by_label, rrf_fuse, hybrid, extract_scores, extract_answer,
     extractive_chat, format_context, build_messages, answer_sources, bigram_ratio, repeated_sentence, is_degenerate, support_scores,
     support_best, groundedness_report, answer_mode, refusal_flag, keyword_hits, recall_mrr, quality_gate, calibration_grid,

@@ -191,6 +191,37 @@ GRID = f"""{FUSED}, {EXPECTED},
   gbal AS (SELECT *, CASE WHEN recall + refusal = 0 THEN 0 ELSE 2 * recall * refusal / (recall + refusal) END AS balanced FROM gm)"""
 
 DISTINCT_TEXT = "sha256(coalesce(source, '') || chr(0) || '' || chr(0) || coalesce(text, ''))"
+WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def stripped(t: str) -> str:
+    return f"regexp_replace(regexp_replace({t}, '^{WS}+', ''), '{WS}+$', '')"
+
+
+def packed(source: str, size: int, overlap: int) -> str:
+    """CTEs that end in ch (id, sec, n, content): the texts of {source} (id, sec, body) in pieces, packed by a recursion over the pieces of each."""
+    room = "length(held) + 2 + length(u)"
+    end = f"right(held, {overlap})"
+    rest = f"substr({end}, strpos({end}, ' ') + 1)"
+    tail = f"CASE WHEN length(held) <= {overlap} THEN held WHEN strpos({end}, ' ') > 0 AND {rest} <> '' THEN {stripped(rest)} ELSE {stripped(end)} END"
+    return rf"""pa AS (SELECT id, sec, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT id, sec, string_split(regexp_replace(body, '\n({WS}+)?\n', chr(1), 'g'), chr(1)) AS l FROM {source})),
+  pb AS (SELECT id, sec, i, {stripped("p")} AS p FROM pa),
+  pc AS (SELECT id, sec, i, CASE WHEN length(p) <= {size} THEN [p] ELSE string_split(regexp_replace(p, '([.!?…])["''”’)\]]*{WS}+', '\1' || chr(1), 'g'), chr(1)) END AS l FROM pb WHERE p <> ''),
+  pd AS (SELECT id, sec, i, j, regexp_extract_all({stripped("x")}, '(?s).{{1,{size}}}') AS l FROM (SELECT id, sec, i, unnest(l) AS x, generate_subscripts(l, 1) AS j FROM pc)),
+  pe AS (SELECT id, sec, i, j, unnest(l) AS u, generate_subscripts(l, 1) AS k FROM pd),
+  pn AS (SELECT id, sec, u, row_number() OVER (PARTITION BY id, sec ORDER BY i, j, k) AS n FROM pe),
+  pk AS (SELECT id, sec, n, u AS held, CAST(NULL AS VARCHAR) AS out FROM pn WHERE n = 1
+    UNION ALL SELECT id, sec, pn.n, CASE WHEN {room} <= {size} THEN held || chr(10) || chr(10) || u WHEN ({tail}) <> '' THEN {stripped(f"({tail}) || chr(10) || chr(10) || u")} ELSE u END,
+      CASE WHEN {room} > {size} THEN {stripped("held")} END FROM pk JOIN pn USING (id, sec) WHERE pn.n = pk.n + 1),
+  ch AS (SELECT id, sec, n, out AS content FROM pk WHERE out <> '' UNION ALL SELECT id, sec, n + 1, content FROM (SELECT id, sec, max(n) AS n, {stripped("arg_max(held, n)")} AS content FROM pk GROUP BY ALL) WHERE content <> '')"""
+
+
+HEADED = r"'^#{1,6}" + WS + r"+.*[^" + WS[1:] + WS + r"*$'"
+SECTIONED = rf"""li AS (SELECT doc_id AS id, unnest(l) AS line, generate_subscripts(l, 1) AS pos, len(l) AS many FROM
+    (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), chr(10)) AS l FROM documents)),
+  lh AS (SELECT *, regexp_matches(line, {HEADED}) AS headed FROM li WHERE pos < many OR line <> ''),
+  ls AS (SELECT *, sum(CAST(headed AS INT)) OVER w AS sec, coalesce(last_value(CASE WHEN headed THEN {stripped("regexp_replace(line, '^#+', '')")} END IGNORE NULLS) OVER w, '') AS heading FROM lh WINDOW w AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+  sb AS (SELECT id, sec, any_value(heading) AS heading, string_agg(line, chr(10) ORDER BY pos) AS body FROM ls WHERE NOT headed GROUP BY ALL)"""
 DOC_WORDS = f"t AS (SELECT DISTINCT unnest({tokens('text')}) AS word FROM documents)"
 ORACLES = {
     "fold_case": f"SELECT doc_id, {fold('text')} AS folded FROM documents",
@@ -280,3 +311,9 @@ ORACLES["dense_topk_pruned"] = ORACLES["dense_topk"]
 ORACLES["insert_batches"] = f"""WITH c AS (SELECT doc_id, source, {HASH} AS content_hash, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 2 END AS b FROM documents WHERE text IS NOT NULL),
   k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY b, doc_id, source) = 1)
   SELECT row_number() OVER (ORDER BY b, source NULLS FIRST, doc_id, content_hash) AS id, doc_id, source, content_hash FROM k"""
+ORACLES["chunk_document"] = f"""WITH RECURSIVE {SECTIONED}, {packed("sb", 900, 150)}
+  SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY sec, n) - 1 AS INTEGER) AS chunk_index, heading, content FROM ch JOIN sb USING (id, sec)"""
+ORACLES["chunk_text"] = f"""WITH RECURSIVE tx AS (SELECT doc_id AS id, 0 AS sec, text AS body FROM documents), {packed("tx", 240, 60)}
+  SELECT id AS doc_id, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS pos, content FROM ch"""
+ORACLES["ingest_report"] = f"""WITH RECURSIVE {SECTIONED}, {packed("sb", 900, 150)}, c AS (SELECT id, heading, content FROM ch JOIN sb USING (id, sec))
+  SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS chunks, count(DISTINCT id) AS with_chunks, count(DISTINCT (id, heading, content)) AS inserted FROM c"""

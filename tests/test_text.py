@@ -59,3 +59,8 @@ def test_degeneration(ev):
     assert ev(loop * 2, S.repeated_sentence) == loop.strip()
     assert ev("tek", S.distinct_bigram_ratio) == 1.0
     assert ev("Her cümle burada farklı şeyler söylüyor ve tekrar etmiyor.", S.is_degenerate) is False
+
+
+def test_sentences_keep_their_digits(ev):
+    """White space goes at both ends, and nothing else: not the digits that a sentence's number has."""
+    assert ev("  007 sokak. 1 elma\xa0! 202 2", S.chunk_sentences) == ["007 sokak.", "1 elma\xa0!", "202 2"]
