@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import inspect
 import warnings
 from dataclasses import dataclass
@@ -11,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.hashing import DIM, SIGNATURE, hash_embed
 from ..functions.vectors import dot
@@ -99,6 +101,84 @@ class UdfBackend:
         return build_messages(questions, hits, options.language).mapInPandas(run, "qid long, answer string")
 
 
+class ModelBackend:
+    """A model that each Python worker loads once, when it first needs it.
+
+    ``load`` gives an object with ``embed(texts) -> vectors`` (and ``chat(messages) -> answer`` if it can
+    answer); texts go to it ``batch`` at a time. Vectors that are not finite, or not ``dim`` wide, are asked for once
+    more, of the model that ``fallback`` loads if given (say, on another device). A row that fails again, or whose
+    batch raises, has an error instead of a vector: one bad text doesn't end the job. If a loaded model has
+    ``close``, it is called when its worker ends.
+    """
+
+    def __init__(self, name: str, dim: int, load, fallback=None, batch: int = 16):
+        self.signature, self.dim, self.load, self.fallback, self.batch = f"{name}:{dim}", dim, load, fallback, batch
+
+    def embed_checked(self, text: Column) -> Column:
+        """struct<vector, error>: one of them is null. Null text counts as empty."""
+        from pyspark.ml.functions import predict_batch_udf
+
+        load, fallback, dim = self.load, self.fallback, self.dim
+
+        def prepare():
+            first, again = _once(load), _once(fallback or load)
+
+            def tried(model, texts: list[str]) -> np.ndarray:
+                out = np.full((len(texts), dim), np.nan, np.float32)
+                try:
+                    found = model().embed(texts)
+                except Exception:  # which of the texts it was is found out one by one
+                    if len(texts) > 1:
+                        return np.concatenate([tried(model, [t]) for t in texts])
+                    return out
+                for row, vector in zip(out, found, strict=True):
+                    if np.shape(vector) == (dim,):
+                        row[:] = vector
+                return out
+
+            def predict(texts: np.ndarray) -> np.ndarray:
+                texts = [t or "" for t in texts.tolist()]
+                out = tried(first, texts)
+                if len(bad := np.flatnonzero(~np.isfinite(out).all(axis=1))):
+                    out[bad] = tried(again, [texts[i] for i in bad])
+                return out
+
+            return predict
+
+        run = predict_batch_udf(prepare, return_type=ArrayType(FloatType()), batch_size=self.batch)
+        finite = lambda v: ~F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+        checked = lambda v: F.struct(F.when(finite(v), v).alias("vector"), F.when(~finite(v), F.lit("no finite vector after a second try")).alias("error"))
+        return F.get(F.transform(F.array(run(F.coalesce(text, F.lit("")))), lambda v: checked(v)), F.lit(0))
+
+    def embed(self, text: Column) -> Column:
+        """The vectors; a row without one ends the job, as an index can't hold it."""
+        return F.get(F.transform(F.array(self.embed_checked(text)), lambda r: F.when(r["error"].isNull(), r["vector"]).otherwise(F.raise_error(r["error"]).cast("array<float>"))), F.lit(0))
+
+    def chat(self, questions: DataFrame, hits: DataFrame, options: ChatOptions = ChatOptions()) -> DataFrame:
+        load = self.load
+
+        def run(batches):
+            model = _once(load)
+            for b in batches:
+                yield pd.DataFrame({"qid": b["qid"], "answer": [model().chat(_plain(x)) for x in b["messages"]]})
+
+        return build_messages(questions, hits, options.language).mapInPandas(run, "qid long, answer string")
+
+
+def _once(load):
+    """A function that loads at its first call, and has what it loaded closed when the worker ends."""
+    held = []
+
+    def model():
+        if not held:
+            held.append(load())
+            if close := getattr(held[0], "close", None):
+                atexit.register(close)
+        return held[0]
+
+    return model
+
+
 def _plain(messages) -> list[dict[str, str]]:
     return [{"role": m["role"], "content": m["content"]} for m in messages]
 

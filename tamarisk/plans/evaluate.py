@@ -60,6 +60,22 @@ def quality_gate(summary: DataFrame, minima: dict[str, float] | None = None) ->
     return summary.select(F.inline(pairs)).withColumn("passed", F.col("actual") >= F.col("minimum"))
 
 
+def _fused(dense: DataFrame, lexical: DataFrame, sources: DataFrame, pool: int) -> DataFrame:
+    """(qid, fused, dense_rank, lex_rank, source, d, x): every candidate with its scores."""
+    fused = fuse(dense, lexical, pool).join(dense.select("qid", "id", F.col("score").alias("d")), ["qid", "id"], "left")
+    fused = fused.join(lexical.select("qid", "id", F.col("score").alias("x")), ["qid", "id"], "left")
+    return fused.join(sources, "id").select("qid", "fused", "dense_rank", "lex_rank", "source", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("x", F.lit(0.0)).alias("x"))
+
+
+def _confidence() -> Column:
+    """Of columns d, x and lexical_scale."""
+    return F.greatest("d", F.when(F.col("x") <= 0, 0.0).otherwise(F.col("x") / (F.greatest("x", F.lit(0.0)) + F.col("lexical_scale"))))
+
+
+def _balanced(r: Column, f: Column) -> Column:
+    return F.when(r + f == 0, F.lit(0.0)).otherwise(2 * r * f / F.when(r + f == 0, F.lit(1.0)).otherwise(r + f))
+
+
 def calibrate(questions: DataFrame, dense: DataFrame, lexical: DataFrame, sources: DataFrame, top_k: int = 4, similarities=SIMILARITIES, scales=SCALES, multiplier: int = 5) -> DataFrame:
     """(lexical_scale, min_similarity, recall, refusal, overall, balanced) for every cell of the grid.
 
@@ -67,15 +83,11 @@ def calibrate(questions: DataFrame, dense: DataFrame, lexical: DataFrame, source
     filter and a cut by rank. ``sources``: (id, source).
     """
     spark = questions.sparkSession
-    fused = fuse(dense, lexical, max(top_k * multiplier, top_k)).join(dense.select("qid", "id", F.col("score").alias("d")), ["qid", "id"], "left").join(
-        lexical.select("qid", "id", F.col("score").alias("x")), ["qid", "id"], "left"
-    )
-    fused = fused.join(sources, "id").select("qid", "fused", "dense_rank", "lex_rank", "source", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("x", F.lit(0.0)).alias("x"))
+    fused = _fused(dense, lexical, sources, max(top_k * multiplier, top_k))
     grid = spark.createDataFrame([(sc, si) for sc in scales for si in similarities], "lexical_scale double, min_similarity double")
     cells = fused.crossJoin(F.broadcast(grid))  # a fixed number of cells against top_k * multiplier rows a question
-    scaled = F.when(F.col("x") <= 0, 0.0).otherwise(F.col("x") / (F.greatest("x", F.lit(0.0)) + F.col("lexical_scale")))
     w = Window.partitionBy("lexical_scale", "min_similarity", "qid").orderBy(F.desc("fused"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("lex_rank"))
-    hits = cells.where(F.greatest("d", scaled) >= F.col("min_similarity")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    hits = cells.where(_confidence() >= F.col("min_similarity")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
     key = ["lexical_scale", "min_similarity", "qid"]
     found = hits.join(questions.select("qid", "expected"), "qid").groupBy(*key).agg(F.max((F.col("source") == F.col("expected")).cast("int")).alias("hit"))
     every = questions.select("qid", F.col("expected").isNotNull().alias("answerable")).crossJoin(F.broadcast(grid)).join(found.withColumn("any", F.lit(1)), key, "left")
@@ -84,10 +96,46 @@ def calibrate(questions: DataFrame, dense: DataFrame, lexical: DataFrame, source
     judged = judged.withColumn("correct", F.col("hit") | F.col("refused"))
     m = metrics(judged, "lexical_scale", "min_similarity")
     r, f = F.col("recall_at_k"), F.col("refusal_accuracy")
-    balanced = F.when(r + f == 0, F.lit(0.0)).otherwise(2 * r * f / F.when(r + f == 0, F.lit(1.0)).otherwise(r + f))
+    balanced = _balanced(r, f)
     return m.select("lexical_scale", "min_similarity", r.alias("recall"), f.alias("refusal"), F.col("overall_accuracy").alias("overall"), balanced.alias("balanced"))
 
 
+def sweep(questions: DataFrame, dense: DataFrame, lexical: DataFrame, sources: DataFrame, top_k: int = 4, scales=SCALES, multiplier: int = 5) -> DataFrame:
+    """What ``calibrate`` gives, for every threshold at which anything changes: (lexical_scale, min_similarity, recall, refusal, overall, balanced).
+
+    A question's outcome changes only where the threshold passes the confidence of one of its
+    candidates, of which there are ``2 * top_k * multiplier`` at most. Those changes, summed up by
+    threshold in one sorted pass for each scale, give the counts at every confidence, and at 1 for
+    thresholds above them all; between two of them the counts are those of the upper one.
+    """
+    spark = questions.sparkSession
+    order = Window.partitionBy("qid").orderBy(F.desc("fused"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("lex_rank"))
+    placed = _fused(dense, lexical, sources, max(top_k * multiplier, top_k)).withColumn("pos", F.row_number().over(order))
+    scaled = spark.createDataFrame([(float(s),) for s in scales], "lexical_scale double")
+    asked = questions.select("qid", "expected")
+    rows = placed.join(asked, "qid").crossJoin(F.broadcast(scaled)).withColumn("right", F.coalesce(F.col("source") == F.col("expected"), F.lit(False)))
+    listed = rows.groupBy("lexical_scale", "qid").agg(F.sort_array(F.collect_list(F.struct("pos", _confidence().alias("c"), "right"))).alias("found"))
+    every = asked.select("qid", F.col("expected").isNotNull().alias("answerable")).crossJoin(F.broadcast(scaled)).join(listed, ["lexical_scale", "qid"], "left")
+    every = every.withColumn("found", F.coalesce("found", F.array().cast("array<struct<pos:int,c:double,right:boolean>>"))).withColumn("at", F.array_sort(F.array_distinct(F.transform("found", lambda a: a["c"]))))
+    passing = lambda v: F.slice(F.filter("found", lambda a: a["c"] >= v), 1, top_k)
+    # 1 where the question is answered right at its i-th confidence; beyond the last one nothing is found, which is right if there is no answer
+    good = F.transform("at", lambda v: F.when(F.col("answerable"), F.exists(passing(v), lambda a: a["right"]).cast("int")).otherwise(0))
+    every = every.withColumn("good", F.concat(good, F.array(F.when(F.col("answerable"), 0).otherwise(1))))
+    start = every.groupBy("lexical_scale").agg(
+        F.count("*").alias("n"), F.sum(F.col("answerable").cast("long")).alias("asked"), F.sum(F.when(F.col("answerable"), F.get("good", F.lit(0))).otherwise(0)).alias("hits0"), F.sum(F.when(F.col("answerable"), 0).otherwise(F.get("good", F.lit(0)))).alias("refused0")
+    )
+    change = F.transform("at", lambda v, i: F.struct(v.alias("t"), (F.get("good", i + 1) - F.get("good", i)).alias("by")))
+    changes = every.select("lexical_scale", "answerable", F.inline(change)).select("lexical_scale", "t", F.when(F.col("answerable"), F.col("by")).otherwise(0).alias("h"), F.when(F.col("answerable"), 0).otherwise(F.col("by")).alias("r"))
+    above = scaled.select("lexical_scale", F.lit(1.0).alias("t"), F.lit(0).alias("h"), F.lit(0).alias("r"))
+    summed = changes.unionByName(above).groupBy("lexical_scale", "t").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    below = Window.partitionBy("lexical_scale").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    counted = summed.select("lexical_scale", "t", F.coalesce(F.sum("h").over(below), F.lit(0)).alias("h"), F.coalesce(F.sum("r").over(below), F.lit(0)).alias("r")).join(F.broadcast(start), "lexical_scale")  # a row for each scale
+    hits, refused = F.col("hits0") + F.col("h"), F.col("refused0") + F.col("r")
+    share = lambda a, n: F.coalesce(F.try_divide(a, n), F.lit(0.0))
+    found = counted.select("lexical_scale", F.col("t").alias("min_similarity"), share(hits, F.col("asked")).alias("recall"), share(refused, F.col("n") - F.col("asked")).alias("refusal"), share(hits + refused, F.col("n")).alias("overall"))
+    return found.withColumn("balanced", _balanced(F.col("recall"), F.col("refusal")))
+
+
 def best_cell(grid: DataFrame, objective: str = "balanced") -> DataFrame:
     """The cell with the largest objective; of equals the one with the smallest scale, then threshold."""
     return grid.orderBy(F.desc(F.round(objective, 9)), "lexical_scale", "min_similarity").limit(1)

@@ -21,7 +21,7 @@ from .functions.chunking import chunk_documents, section_lines
 from .functions.hashing import hash_embed, hash_features, md5_embed
 from .operators import answer as A
 from .operators import groundedness as G
-from .operators.backends import HashingBackend
+from .operators.backends import HashingBackend, ModelBackend
 from .operators.block_max import BlockMaxIndex
 from .operators.dense import cosine_scores, search_top_k, search_with_pairs
 from .operators.holders import first_holders
@@ -209,6 +209,25 @@ def hash_embed_arrow(spark, sf):
     return _docs(spark, sf).select("doc_id", hash_embed(F.col("text")).alias("embedding"))
 
 
+class _LetterModel:
+    """A stand-in for a model: numbers of characters of a few kinds. Texts of some lengths get no number from it, and of some never."""
+
+    def __init__(self, never: int, seldom: int):
+        self.never, self.seldom = never, seldom
+
+    def embed(self, texts):
+        fails = lambda t: len(t) % self.never == 0 or (self.seldom and len(t) % self.seldom == 0)
+        return [[float("nan")] * 3 if fails(t) else [t.count("e"), t.count(" "), len(t)] for t in texts]
+
+
+def model_embed(spark, sf):
+    """Documents embedded by a model of which every fifth length fails at first and every eleventh always."""
+    backend = ModelBackend("letters", 3, lambda: _LetterModel(11, 5), lambda: _LetterModel(11, 0))
+    found = _docs(spark, sf).select("doc_id", backend.embed_checked(F.col("text")).alias("r"))
+    part = lambda i: F.coalesce(F.get("r.vector", F.lit(i)).cast("long"), F.lit(-1))
+    return found.select("doc_id", part(0).alias("e"), part(1).alias("spaces"), part(2).alias("chars"), F.coalesce("r.error", F.lit("")).alias("error"))
+
+
 def _rounded(scores):
     return scores.withColumn("score", F.round("score", 6))
 
@@ -359,6 +378,15 @@ def calibration_grid(spark, sf):
     return _grid(spark, sf).select("lexical_scale", "min_similarity", *(F.round(c, 6).alias(c) for c in ("recall", "refusal", "overall", "balanced")))
 
 
+def calibration_exact(spark, sf):
+    """The best threshold of all for every scale, of equally good ones the lowest."""
+    dense, lexical = _both(spark, sf)
+    sources = _docs(spark, sf).select(F.col("doc_id").alias("id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"))
+    w = Window.partitionBy("lexical_scale").orderBy(F.desc(F.round("balanced", 9)), "min_similarity")
+    best = E.sweep(_expected(spark, sf), dense, lexical, sources, K, scales=CAL_SCALES).withColumn("n", F.row_number().over(w)).where("n = 1")
+    return best.select("lexical_scale", *(F.round(c, 6).alias(c) for c in ("min_similarity", "recall", "refusal", "overall", "balanced")))
+
+
 def calibration_best(spark, sf):
     return E.best_cell(_grid(spark, sf)).select("lexical_scale", "min_similarity", F.round("balanced", 6).alias("balanced"))
 
@@ -449,10 +477,10 @@ def job2_audit_answers(spark, sf):
 QUERIES = (
     fold_case, tokenize, term_freq, vocab_size, stem, last_vowel, expand_tokens, normalize_text, shares_root, content_terms, sentence_split,
     sections, content_hash, citation, chunk_document, chunk_text, bm25_index, idf, bm25_scores, bm25_topk, bm25_topk_pruned, saturate, l2_norm, cosine_similarity,
-    dense_topk, dense_topk_pruned, dim_check, hash_embed_sql, hash_embed_arrow, matched_by_label, rrf_fuse, hybrid, extract_scores, extract_answer,
+    dense_topk, dense_topk_pruned, dim_check, hash_embed_sql, hash_embed_arrow, model_embed, matched_by_label, rrf_fuse, hybrid, extract_scores, extract_answer,
     extractive_chat, format_context, build_messages, answer_sources, bigram_ratio, repeated_sentence, is_degenerate, support_scores,
     support_best, groundedness_report, answer_mode, refusal_flag, keyword_hits, recall_mrr, quality_gate, calibration_grid,
-    calibration_best, dedup_insert, insert_batches, meta_upsert, meta_lookup, index_info, index_sources, signature_check, ingest_report, job1_index_documents, job2_audit_answers,
+    calibration_best, calibration_exact, dedup_insert, insert_batches, meta_upsert, meta_lookup, index_info, index_sources, signature_check, ingest_report, job1_index_documents, job2_audit_answers,
 )
 
 

@@ -177,9 +177,16 @@ def reported(turns: str) -> str:
 
 
 REPORT = reported(TURNS)
-GRID = f"""{FUSED}, {EXPECTED},
-  g AS (SELECT sc.lexical_scale, si.min_similarity FROM (VALUES (16.0), (32.0), (64.0), (128.0), (256.0), (512.0)) sc(lexical_scale),
-        (VALUES (0.0), (0.05), (0.10), (0.15), (0.20), (0.25), (0.30), (0.35), (0.40), (0.50), (0.60)) si(min_similarity)),
+SCALED = "(VALUES (16.0), (32.0), (64.0), (128.0), (256.0), (512.0)) sc(lexical_scale)"
+CELLS = f"SELECT sc.lexical_scale, si.min_similarity FROM {SCALED}, (VALUES (0.0), (0.05), (0.10), (0.15), (0.20), (0.25), (0.30), (0.35), (0.40), (0.50), (0.60)) si(min_similarity)"
+CONFIDENCES = f"""SELECT DISTINCT sc.lexical_scale, greatest(d, CASE WHEN x <= 0 THEN 0 ELSE x / (x + CAST(sc.lexical_scale AS DOUBLE)) END) AS min_similarity FROM fs, {SCALED}
+  UNION SELECT sc.lexical_scale, 1.0 FROM {SCALED}"""
+
+
+def grid(cells: str) -> str:
+    """CTEs that end in gbal, the metrics of every (lexical_scale, min_similarity) of ``cells``."""
+    return f"""{FUSED}, {EXPECTED},
+  g AS ({cells}),
   gh AS (SELECT * FROM (SELECT g.*, qid, id, row_number() OVER (PARTITION BY lexical_scale, min_similarity, qid ORDER BY fused DESC, dense_rank NULLS LAST, lex_rank NULLS LAST) AS rank
          FROM fs, g WHERE greatest(d, CASE WHEN x <= 0 THEN 0 ELSE x / (x + CAST(lexical_scale AS DOUBLE)) END) >= CAST(min_similarity AS DOUBLE)) WHERE rank <= 4),
   gj AS (SELECT g.lexical_scale, g.min_similarity, ex.qid, expected, count(id) AS n, coalesce(bool_or('doc' || CAST(id AS VARCHAR) = expected), false) AS hit
@@ -190,6 +197,8 @@ GRID = f"""{FUSED}, {EXPECTED},
          avg(CAST(CASE WHEN expected IS NULL THEN n = 0 ELSE hit END AS INT)) AS overall FROM gj GROUP BY ALL),
   gbal AS (SELECT *, CASE WHEN recall + refusal = 0 THEN 0 ELSE 2 * recall * refusal / (recall + refusal) END AS balanced FROM gm)"""
 
+
+GRID = grid(CELLS)
 DISTINCT_TEXT = "sha256(coalesce(source, '') || chr(0) || '' || chr(0) || coalesce(text, ''))"
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -317,3 +326,8 @@ ORACLES["chunk_text"] = f"""WITH RECURSIVE tx AS (SELECT doc_id AS id, 0 AS sec,
   SELECT id AS doc_id, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS pos, content FROM ch"""
 ORACLES["ingest_report"] = f"""WITH RECURSIVE {SECTIONED}, {packed("sb", 900, 150)}, c AS (SELECT id, heading, content FROM ch JOIN sb USING (id, sec))
   SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS chunks, count(DISTINCT id) AS with_chunks, count(DISTINCT (id, heading, content)) AS inserted FROM c"""
+ORACLES["calibration_exact"] = f"""WITH {grid(CONFIDENCES)} SELECT lexical_scale, round(min_similarity, 6) AS min_similarity, round(recall, 6) AS recall, round(refusal, 6) AS refusal, round(overall, 6) AS overall, round(balanced, 6) AS balanced
+  FROM gbal QUALIFY row_number() OVER (PARTITION BY lexical_scale ORDER BY round(balanced, 9) DESC, min_similarity) = 1"""
+ORACLES["model_embed"] = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT *, length(t) % 11 = 0 AS bad FROM d)
+  SELECT doc_id, CASE WHEN bad THEN -1 ELSE length(t) - length(replace(t, 'e', '')) END AS e, CASE WHEN bad THEN -1 ELSE length(t) - length(replace(t, ' ', '')) END AS spaces,
+    CASE WHEN bad THEN -1 ELSE length(t) END AS chars, CASE WHEN bad THEN 'no finite vector after a second try' ELSE '' END AS error FROM f"""

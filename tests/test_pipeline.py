@@ -172,3 +172,24 @@ def test_cli_and_questions(spark, settings, tmp_path, capsys, monkeypatch):
     assert read_questions(spark, str(path)).first().expected_keywords == ["k"]
     assert main([*base, "evaluate", str(path)], spark) == 0 and main([*base, "evaluate", str(path), "--gate"], spark) == 1
     assert main([*base, "calibrate", str(path)], spark) == 0 and "best: lexical_scale" in capsys.readouterr().out
+
+
+def test_sweep_agrees_with_the_grid(spark):
+    """At every cell of a grid the sweep has the counts of the least threshold that it lists from there on."""
+    import random
+
+    from tamarisk.plans import evaluate as E
+
+    rng = random.Random(2)
+    pairs = [(q, i) for q in range(12) for i in range(30)]
+    table = lambda top: spark.createDataFrame([(q, i, round(rng.random() * top, 2)) for q, i in pairs if rng.random() < 0.8], "qid long, id long, score double")
+    dense, lexical = table(0.9).cache(), table(30).cache()
+    sources = spark.createDataFrame([(i, f"s{i % 10}") for i in range(30)], "id long, source string")
+    asked = spark.createDataFrame([(q, f"s{q}" if q % 3 else None) for q in range(13)], "qid long, expected string")
+    cells = E.calibrate(asked, dense, lexical, sources, 3, scales=(4.0, 16.0)).collect()
+    swept = E.sweep(asked, dense, lexical, sources, 3, scales=(4.0, 16.0)).collect()
+    assert len({r.min_similarity for r in swept}) > 50
+    for c in cells:
+        at = min((r for r in swept if r.lexical_scale == c.lexical_scale and r.min_similarity >= c.min_similarity), key=lambda r: r.min_similarity)
+        assert (at.recall, at.refusal, at.overall, at.balanced) == pytest.approx((c.recall, c.refusal, c.overall, c.balanced))
+    assert max(r.balanced for r in swept) >= max(c.balanced for c in cells)
