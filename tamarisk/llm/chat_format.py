@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 END, PART, HEAD, COLON = "</turn>\n", "</part>", "### ", ": "
+#: Code points of a block in which a formatted text is read, and runs of a group.
+BLOCK, GROUP = 4096, 128
 _ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
 
 
@@ -93,15 +95,47 @@ def read_back(formatted: Column) -> Column:
     )
 
 
+def _cut(blocks: Column, at: Column, chars: Column) -> Column:
+    """``chars`` code points from the ``at``-th on, counted from 0, of a text in blocks of BLOCK code points."""
+    number = lambda x: F.floor(x / BLOCK).cast("int")
+    first, last, end = number(at), number(at + chars - 1), at + chars
+    inside = lambda x: (x - number(x) * BLOCK).cast("int")
+    whole = F.array_join(F.slice(blocks, first + 2, last - first - 1), "")
+    over = F.concat(F.substr(F.get(blocks, first), inside(at) + 1), whole, F.left(F.get(blocks, last), (end - last * BLOCK).cast("int")))
+    return F.when(chars == 0, "").when(first == last, F.substr(F.get(blocks, first), inside(at) + 1, chars.cast("int"))).otherwise(over)
+
+
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def loss_text(formatted: Column, loss_mask: Column) -> Column:
-    """What stands under the loss mask, unescaped, in order and with nothing between."""
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("texts"))
-    step = lambda a, m: F.struct(
-        (a["at"] + m["chars"]).alias("at"),
-        F.when(m["loss"], F.concat(a["texts"], F.array(F.substr(formatted, a["at"].cast("int"), m["chars"].cast("int")))))
-        .otherwise(a["texts"]).alias("texts"),
-    )
-    return F.aggregate(loss_mask, start, step, lambda a: unescape(F.array_join(a["texts"], "")))
+    """What stands under the loss mask, unescaped, in order and with nothing between.
+
+    The text is divided into blocks once, so that a run far down costs no more than one at the top,
+    and the runs into groups, so that no long list is copied for each run.
+    """
+    none = F.array().cast("array<string>")
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.size(loss_mask) - 1, F.lit(0)), F.lit(GROUP)), lambda i: F.slice(loss_mask, i + 1, GROUP))
+    length = lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda n, m: n + m["chars"])
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    starts = lambda g: F.aggregate(
+        g, first, lambda a, x: F.struct((a["at"] + length(x)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"]
+    )
+
+    def texts(blocks: Column, group: Column, start: Column) -> Column:
+        step = lambda a, m: F.struct(
+            (a["at"] + m["chars"]).alias("at"),
+            F.when(m["loss"], F.concat(a["texts"], F.array(_cut(blocks, a["at"], m["chars"])))).otherwise(a["texts"]).alias("texts"),
+        )
+        return F.aggregate(group, F.struct(start.alias("at"), none.alias("texts")), step, lambda a: a["texts"])
+
+    def read(blocks: Column) -> Column:
+        found = _once(groups, lambda g: F.zip_with(g, starts(g), lambda x, s: texts(blocks, x, s)))
+        return unescape(F.array_join(F.flatten(found), ""))
+
+    return _once(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), read)
 
 
 def chat_digest(formatted: DataFrame) -> DataFrame:

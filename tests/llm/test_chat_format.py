@@ -34,3 +34,28 @@ def test_no_python_in_the_plan(spark, sf):
 
     plan = op9_chat_format(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_runs_across_blocks_and_groups(spark):
+    """Texts longer than a block, of characters outside the basic plane too, and more runs than a group has."""
+    long = [("user", "ü𝒳" * 3000), ("assistant", "𝒳é#" * 5000), ("assistant", ""), ("user", "x"), ("assistant", "a" * 4096), ("assistant", "<b")]
+    many = [("assistant" if k % 2 else "user", f"turn {k} says #{k}") for k in range(3000)]
+    rows = [(c, k, role, text) for c, turns in enumerate((long, many)) for k, (role, text) in enumerate(turns)]
+    made = format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r.loss for r in made.select("conv_id", loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect()}
+    for c, turns in enumerate((long, many)):
+        assert got[c] == "".join(t for role, t in turns if role == "assistant")
+
+
+def test_long_conversation(spark):
+    """Sixteen thousand turns take about as long, each, as a thousand."""
+    import time
+
+    def seconds(n):
+        turns = spark.range(n).selectExpr("1 AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('abcdefgh', 20) AS text")
+        began = time.perf_counter()
+        assert chat_digest(format_chat(turns)).first().loss_chars == n // 2 * 160
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(16_000) < 16 * seconds(1000) + 5
