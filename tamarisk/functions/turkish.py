@@ -8,12 +8,10 @@ each intermediate result is used once, so four passes stay small enough for code
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 # Upper-case letters whose Turkish lower case differs from the default, vowels, suffixes
 # (longest first within a pass), softened consonants, stop words.
@@ -43,14 +41,60 @@ def fold_case(text: Column) -> Column:
     return F.lower(F.translate(text, FOLD_FROM, FOLD_TO))
 
 
-@pandas_udf(StringType())
-def deaccent(text: pd.Series) -> pd.Series:
-    """Letters without their diacritics; dotless i becomes i."""
-
-    def plain(t):
-        return None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.replace("ı", "i")) if not unicodedata.combining(c))
-
-    return text.map(plain)
+@cache
+def _decompositions() -> tuple[str, str, list[tuple[str, list[tuple[str, str]]]]]:
+    """How Unicode decomposes every character once combining marks are gone, as tables of ``translate``.
+
+    The first two strings map characters to one character or, where the second is at its end, to
+    nothing. Then, for characters that become up to three characters and for those that become more:
+    a regular expression of them, and for each place of the result the strings that map them to what
+    stands there.
+    """
+    one, gone, many = {"ı": "i"}, [], {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(plain) > 1:
+            many[c] = plain
+        elif plain != c and c not in one:
+            one[c] = plain
+            if not plain:
+                gone.append(c)
+    kept = [c for c in one if one[c]]
+    groups = []
+    for low, high in ((2, 3), (4, 1 << 20)):
+        some = [c for c in many if low <= len(many[c]) <= high]
+        places = []
+        for k in range(max(map(len, (many[c] for c in some)))):
+            having = [c for c in some if len(many[c]) > k]
+            places.append(("".join(having + [c for c in some if len(many[c]) <= k]), "".join(many[c][k] for c in having)))
+        groups.append((_class(some), places))
+    return "".join(kept + gone), "".join(one[c] for c in kept), groups
+
+
+def _class(characters: list[str]) -> str:
+    """A regular expression of one of the characters, as ranges."""
+    codes, ranges = sorted(map(ord, characters)), []
+    for c in codes:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def deaccent(text: Column) -> Column:
+    """Letters without their diacritics, in compatibility decomposition; dotless i becomes i. Null stays null."""
+    source, target, groups = _decompositions()
+
+    def spelled(c: Column) -> Column:
+        out = c
+        for pattern, places in groups:
+            out = F.when(c.rlike(pattern), F.concat(*(F.translate(c, a, b) for a, b in places))).otherwise(out)
+        return out
+
+    several = "|".join(pattern for pattern, _ in groups)
+    wide = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), spelled), "")
+    return F.translate(F.when(text.rlike(several), wide).otherwise(text), source, target)
 
 
 def last_vowel(word: Column) -> Column:

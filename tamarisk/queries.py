@@ -57,6 +57,10 @@ def fold_case(spark, sf):
     return _docs(spark, sf).select("doc_id", T.fold_case(F.col("text")).alias("folded"))
 
 
+def deaccent(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.deaccent(F.col("text")).alias("plain"))
+
+
 def tokenize(spark, sf):
     t = T.tokenize(F.col("text"))
     return _docs(spark, sf).select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
@@ -132,8 +136,12 @@ def chunk_text(spark, sf):
     return _docs(spark, sf).select("doc_id", c).select("doc_id", F.col("pos").cast("long").alias("pos"), "content")
 
 
+def _scratch(spark):
+    return store.Scratch(spark, shared_folder(spark))
+
+
 def _bm25(spark, sf):
-    return BM25Index.build(_docs(spark, sf), "doc_id", F.col("text"))
+    return BM25Index.build(_docs(spark, sf), "doc_id", F.col("text"), _scratch(spark).keep)
 
 
 def bm25_index(spark, sf):
@@ -159,7 +167,7 @@ def bm25_topk(spark, sf):
 
 
 def bm25_topk_pruned(spark, sf):
-    scratch = store.Scratch(spark, shared_folder(spark))
+    scratch = _scratch(spark)
     index = BlockMaxIndex.build(BM25Index.build(_docs(spark, sf), "doc_id", F.col("text"), scratch.keep), f"{scratch.path}/index", scratch.keep)
     found = index.top_k(_items(spark, sf), "qid", F.col("question"), 10, digits=6)
     return found.select(F.col("qid").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), "score")
@@ -191,7 +199,7 @@ def dense_topk(spark, sf):
 
 
 def dense_topk_pruned(spark, sf):
-    scratch = store.Scratch(spark, shared_folder(spark))
+    scratch = _scratch(spark)
     found = PivotIndex.build(_vectors(spark, sf), scratch.keep).top_k(_asked(spark, sf), scratch.keep, 4, 0.3)
     return found.select("qid", F.col("rank").cast("long").alias("rank"), F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
 
@@ -234,10 +242,11 @@ def _rounded(scores):
 
 def _both(spark, sf):
     """Dense scores of each item's pool and of its lexical pool, and lexical scores, all rounded."""
-    lexical = _rounded(_lexical(spark, sf)).cache()  # ranked, joined and gated: read several times
+    keep = _scratch(spark).keep
+    lexical = keep(_rounded(_lexical(spark, sf)))  # ranked, joined and gated: read several times
     asked = _items(spark, sf).select("qid", md5_embed(F.col("question")).alias("q"))
     vectors = _docs(spark, sf).select(F.col("doc_id").alias("id"), md5_embed(F.col("text")).alias("v"))
-    return search_with_pairs(asked, vectors, K * 5, candidates(lexical, K * 5), digits=6).cache(), lexical
+    return keep(search_with_pairs(asked, vectors, K * 5, candidates(lexical, K * 5), digits=6)), lexical
 
 
 def matched_by_label(spark, sf):
@@ -262,7 +271,7 @@ def hybrid(spark, sf):
 
 def _passages(spark, sf):
     """Hits of the items by words alone, with content."""
-    hits = top(_rounded(_lexical(spark, sf)).where("score > 0"), K)
+    hits = _scratch(spark).keep(top(_rounded(_lexical(spark, sf)).where("score > 0"), K))
     docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), F.lit("").alias("heading"), F.col("text").alias("content"))
     return hits.join(docs, "id")
 
@@ -475,7 +484,7 @@ def job2_audit_answers(spark, sf):
 
 
 QUERIES = (
-    fold_case, tokenize, term_freq, vocab_size, stem, last_vowel, expand_tokens, normalize_text, shares_root, content_terms, sentence_split,
+    fold_case, deaccent, tokenize, term_freq, vocab_size, stem, last_vowel, expand_tokens, normalize_text, shares_root, content_terms, sentence_split,
     sections, content_hash, citation, chunk_document, chunk_text, bm25_index, idf, bm25_scores, bm25_topk, bm25_topk_pruned, saturate, l2_norm, cosine_similarity,
     dense_topk, dense_topk_pruned, dim_check, hash_embed_sql, hash_embed_arrow, model_embed, matched_by_label, rrf_fuse, hybrid, extract_scores, extract_answer,
     extractive_chat, format_context, build_messages, answer_sources, bigram_ratio, repeated_sentence, is_degenerate, support_scores,

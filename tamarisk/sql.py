@@ -331,3 +331,4 @@ ORACLES["calibration_exact"] = f"""WITH {grid(CONFIDENCES)} SELECT lexical_scale
 ORACLES["model_embed"] = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT *, length(t) % 11 = 0 AS bad FROM d)
   SELECT doc_id, CASE WHEN bad THEN -1 ELSE length(t) - length(replace(t, 'e', '')) END AS e, CASE WHEN bad THEN -1 ELSE length(t) - length(replace(t, ' ', '')) END AS spaces,
     CASE WHEN bad THEN -1 ELSE length(t) END AS chars, CASE WHEN bad THEN 'no finite vector after a second try' ELSE '' END AS error FROM f"""
+ORACLES["deaccent"] = "SELECT doc_id, strip_accents(replace(text, 'ı', 'i')) AS plain FROM documents"

@@ -64,3 +64,17 @@ def test_degeneration(ev):
 def test_sentences_keep_their_digits(ev):
     """White space goes at both ends, and nothing else: not the digits that a sentence's number has."""
     assert ev("  007 sokak. 1 elma\xa0! 202 2", S.chunk_sentences) == ["007 sokak.", "1 elma\xa0!", "202 2"]
+
+
+def test_deaccent_of_every_character(spark):
+    """As the Unicode data say, alone and among others; of what is no letter too."""
+    import unicodedata
+
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t.replace("ı", "i")) if not unicodedata.combining(c))
+    every = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b" for c in every] + ["".join(every[i : i + 997]) for i in range(0, len(every), 997)] + ["", None, "ﷺ ﬃ ½ 각 Ⅷ é e\u0301\u0323"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", T.deaccent(F.col("t")).alias("d"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString().split("Scan")[0]
+    got = {r.i: r.d for r in rows.collect()}
+    bad = [(i, t) for i, t in enumerate(texts) if got[i] != (None if t is None else plain(t))]
+    assert not bad, bad[:5]
