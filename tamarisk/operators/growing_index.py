@@ -17,12 +17,14 @@ from .lexical import BM25Index, term_frequency
 PASSAGES = "id long, content_hash string, dl long, batch long"
 POSTINGS = "term string, id long, tf long, batch long"
 COUNTS = "term string, df long, batch long"
-SIZES = "n long, tokens long, batch long"
+SIZES = "n long, tokens long, terms binary, sources binary, batch long"
+#: Precision of the sketches: 2^14 registers, a relative error of 0.8 %.
+REGISTERS = 14
 TABLES = {"passages": PASSAGES, "postings": POSTINGS, "counts": COUNTS, "sizes": SIZES}
 
 
 class GrowingIndex:
-    """Tables below one folder, each partitioned by batch: passages, postings, and per batch document frequencies (counts) and totals (sizes)."""
+    """Tables below one folder, each partitioned by batch: passages, postings, and per batch document frequencies (counts), totals and sketches of the terms and sources (sizes)."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -53,9 +55,17 @@ class GrowingIndex:
         fresh.join(lengths, "id", "left").select("id", "content_hash", F.coalesce("dl", F.lit(0)).alias("dl")).write.mode("overwrite").parquet(folder("passages"))
         postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(folder("counts"))
         own = self.spark.read.schema("id long, dl long").parquet(folder("passages")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
-        own.coalesce(1).write.mode("overwrite").parquet(folder("sizes"))
+        terms = self.spark.read.schema("term string").parquet(folder("counts")).agg(F.hll_sketch_agg("term", F.lit(REGISTERS)).alias("terms"))
+        sources = rows.join(fresh.select("id"), "id", "left_semi").agg(F.hll_sketch_agg("source", F.lit(REGISTERS)).alias("sources"))
+        own.crossJoin(terms).crossJoin(sources).coalesce(1).write.mode("overwrite").parquet(folder("sizes"))
         return self.spark.read.schema("n long, tokens long").parquet(folder("sizes")).first().n
 
+    def estimates(self) -> DataFrame:
+        """One row (passages, tokens, terms, sources): the numbers of distinct terms and sources are estimates from one sketch a batch, so no posting is read."""
+        joined = lambda c: F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0))
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        return self.table("sizes").agg(total("n").alias("passages"), total("tokens").alias("tokens"), joined("terms").alias("terms"), joined("sources").alias("sources"))
+
     def bm25(self) -> BM25Index:
         """The index of all batches; statistics are sums over the batches' own, so no posting is read for them."""
         corpus = self.table("sizes").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("tokens").alias("tokens"))

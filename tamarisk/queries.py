@@ -24,6 +24,7 @@ from .operators import groundedness as G
 from .operators.backends import HashingBackend, ModelBackend
 from .operators.block_max import BlockMaxIndex
 from .operators.dense import cosine_scores, search_top_k, search_with_pairs
+from .operators.growing_index import GrowingIndex
 from .operators.holders import first_holders
 from .operators.hybrid import candidates, fuse, hybrid_search, matched_by
 from .operators.lexical import BM25Index, term_frequency, top, with_stems
@@ -420,6 +421,18 @@ def insert_batches(spark, sf):
     return index.chunks().select("id", F.col("chunk_index").cast("long").alias("doc_id"), "source", "content_hash")
 
 
+def index_estimates(spark, sf):
+    """Vocabulary and sources of an index that grew by three batches, from its sketches, held to the exact numbers: within three standard errors."""
+    index, docs = GrowingIndex(spark, shared_folder(spark)), _table(spark, sf, "documents")
+    rows = docs.select(F.col("doc_id").alias("id"), "source", F.lit("").alias("heading"), "text")
+    for batch in range(3):
+        index.add(rows.where(F.pmod("id", F.lit(3)) == batch), batch)
+    exact = index.table("counts").agg(F.countDistinct("term").alias("vocabulary"))
+    found = index.estimates().crossJoin(exact).crossJoin(docs.agg(F.countDistinct("source").alias("origins")))  # one row each
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.ceil(0.025 * F.col(b))
+    return found.select("passages", "tokens", "vocabulary", "origins", close("terms", "vocabulary").alias("terms_close"), close("sources", "origins").alias("sources_close"))
+
+
 def meta_upsert(spark, sf):
     d = _table(spark, sf, "documents")
     stored = d.groupBy(F.col("source").alias("key")).agg(F.min("doc_id").cast("string").alias("value"))
@@ -489,7 +502,7 @@ QUERIES = (
     dense_topk, dense_topk_pruned, dim_check, hash_embed_sql, hash_embed_arrow, model_embed, matched_by_label, rrf_fuse, hybrid, extract_scores, extract_answer,
     extractive_chat, format_context, build_messages, answer_sources, bigram_ratio, repeated_sentence, is_degenerate, support_scores,
     support_best, groundedness_report, answer_mode, refusal_flag, keyword_hits, recall_mrr, quality_gate, calibration_grid,
-    calibration_best, calibration_exact, dedup_insert, insert_batches, meta_upsert, meta_lookup, index_info, index_sources, signature_check, ingest_report, job1_index_documents, job2_audit_answers,
+    calibration_best, calibration_exact, dedup_insert, insert_batches, meta_upsert, meta_lookup, index_info, index_estimates, index_sources, signature_check, ingest_report, job1_index_documents, job2_audit_answers,
 )
 
 

@@ -332,3 +332,6 @@ ORACLES["model_embed"] = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FR
   SELECT doc_id, CASE WHEN bad THEN -1 ELSE length(t) - length(replace(t, 'e', '')) END AS e, CASE WHEN bad THEN -1 ELSE length(t) - length(replace(t, ' ', '')) END AS spaces,
     CASE WHEN bad THEN -1 ELSE length(t) END AS chars, CASE WHEN bad THEN 'no finite vector after a second try' ELSE '' END AS error FROM f"""
 ORACLES["deaccent"] = "SELECT doc_id, strip_accents(replace(text, 'ı', 'i')) AS plain FROM documents"
+ORACLES["index_estimates"] = f"""WITH u AS (SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {DISTINCT_TEXT} ORDER BY doc_id % 3, doc_id) = 1),
+  {expanded("d", "u", "doc_id", "text")}
+  SELECT (SELECT count(*) FROM u) AS passages, count(*) AS tokens, count(DISTINCT term) AS vocabulary, (SELECT count(DISTINCT source) FROM documents) AS origins, true AS terms_close, true AS sources_close FROM dx"""
