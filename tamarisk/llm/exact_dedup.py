@@ -12,7 +12,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialise
+from .common import SPACE_CLASS, materialise, union_all
+
+#: Numbers of code points at which a whole table is cut into batches.
+STEPS = (4096, 512)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,6 +74,10 @@ class DigestIndex:
         against it and is not appended twice.
         """
         rows = materialise(digests(docs, id_col, text_col), "digests")
+        return judged(rows, self.decide(rows, batch))
+
+    def decide(self, rows: DataFrame, batch: str | None = None) -> DataFrame:
+        """Appends the digests of ``rows`` that the index lacks; (digest, keep_id, keep_row, group_size) of every one, keep_row null where the index had it."""
         best = F.min(F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), "doc_id", "row"))
         groups = materialise(
             rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size"))
@@ -80,27 +87,39 @@ class DigestIndex:
         )
         index = self.entries().where(F.col("batch") != F.lit(batch or "")).select("digest", F.col("doc_id").alias("old_id"))
         new = materialise(groups.join(index.hint("merge"), "digest", "left_anti"), "new")
-        old = groups.join(index.hint("merge"), "digest")
-        decided = new.select("*", F.lit(True).alias("fresh")).unionByName(
-            old.withColumn("keep_id", F.col("old_id")).drop("old_id").withColumn("fresh", F.lit(False))
-        )
-        decided = materialise(decided, "decided")
+        old = groups.join(index.hint("merge"), "digest").select("digest", F.col("old_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_row"), "group_size")
+        decided = materialise(new.select("digest", "keep_id", "keep_row", "group_size").unionByName(old), "decided")
         own = self.entries().where(F.col("batch") == F.lit(batch)).select("digest") if batch else None
         self.append(new if own is None else materialise(new.join(own.hint("merge"), "digest", "left_anti"), "unseen"), batch or uuid.uuid4().hex)
-        # an ordinary shuffled join: adaptive execution splits the partition of a hot digest
-        return rows.join(decided, "digest").select(
-            "doc_id",
-            "keep_id",
-            F.col("group_size").cast("long").alias("group_size"),
-            (F.col("fresh") & (F.col("row") == F.col("keep_row"))).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"),
-        )
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One batch against a new index of its own, which goes once all is decided."""
+        return decided
+
+
+def judged(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """The decision on every row. An ordinary shuffled join: adaptive execution splits the partition of a hot digest."""
+    return rows.join(decided, "digest").select(
+        "doc_id",
+        "keep_id",
+        F.col("group_size").cast("long").alias("group_size"),
+        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """A whole table against an index of its own, which goes once all is decided.
+
+    Texts go in as batches of falling length, cut at ``steps``: an entry of the index is never
+    displaced, so whatever a batch finds there is longer, and stays. Of equal texts in a batch the
+    longest stays, then the smallest id (null last), then the first row. Nulls, repeated rows and an
+    empty table are as in ``DigestIndex.ingest``.
+    """
     spark = docs.sparkSession
+    rows = materialise(digests(docs, id_col, text_col), "digests")
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    decided = index.ingest(docs, id_col, text_col)
+    decided = []
+    for low, high in zip((*steps, 0), (None, *steps), strict=True):
+        some = rows.where(F.col("n_chars") >= low)
+        decided.append(index.decide(some if high is None else some.where(F.col("n_chars") < high), f"from {low}"))
+    whole = union_all(decided).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("keep_row").alias("keep_row"), F.sum("group_size").alias("group_size"))
     index.drop()
-    return decided
+    return judged(rows, whole)

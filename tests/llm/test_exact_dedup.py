@@ -42,3 +42,14 @@ def test_a_batch_that_is_tried_again(spark, docs):
     assert sorted(r.doc_id for r in index.entries().collect()) == [1, 2]
     index.drop()
     assert not spark.catalog.tableExists(index.name)
+
+
+def test_batches_of_falling_length_change_nothing(spark, docs, sf):
+    """Equal texts in different batches: the longest stays, through the index; ids and sizes are those of one batch."""
+    rows = [(9, "a" * 20), (1, "a " * 20), (2, "a" * 10 + " " * 40 + "a" * 10), (3, "b"), (4, "b" + " " * 30), (5, "b" + " " * 30), (None, "c" + " " * 60), (6, "c")]
+    key = lambda r: (r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept, r.text_sha256)
+    got = sorted(map(key, exact_dedup(docs(rows), steps=(50, 25)).collect()))
+    assert got == sorted(map(key, exact_dedup(docs(rows), steps=()).collect()))
+    assert {(i, k) for i, k, *_ in got} == {(9, 2), (1, 2), (2, 2), (3, 4), (4, 4), (5, 4), (0, 0), (6, 0)}
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sorted(map(key, exact_dedup(real).collect())) == sorted(map(key, exact_dedup(real, steps=()).collect()))
