@@ -23,9 +23,9 @@ def candidates(scores: DataFrame, pool: int) -> DataFrame:
 
 def fuse(dense: DataFrame, lexical: DataFrame, pool: int, k: int = RRF_K) -> DataFrame:
     """(qid, id, fused, dense_rank, lex_rank): sums of 1 / (k + rank) over the two candidate lists."""
-    d = candidates(dense, pool).select("qid", "id", F.col("rank").alias("dense_rank"), F.lit(None).cast("int").alias("lex_rank"))
-    x = candidates(lexical, pool).select("qid", "id", F.lit(None).cast("int").alias("dense_rank"), F.col("rank").alias("lex_rank"))
-    both = d.unionByName(x).groupBy("qid", "id").agg(F.max("dense_rank").alias("dense_rank"), F.max("lex_rank").alias("lex_rank"))
+    d = candidates(dense, pool).select("qid", "id", F.col("rank").alias("dense_rank"))
+    x = candidates(lexical, pool).select("qid", "id", F.col("rank").alias("lex_rank"))
+    both = d.join(x, ["qid", "id"], "full")
     share = lambda c: F.coalesce(1 / (F.lit(float(k)) + F.col(c)), F.lit(0.0))
     return both.withColumn("fused", share("dense_rank") + share("lex_rank"))
 
