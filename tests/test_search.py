@@ -53,6 +53,18 @@ def test_cosine_and_widths(spark):
     assert V.decode_vector(V.encode_vector([0.5, -1.0])) == [0.5, -1.0]
 
 
+def test_cosines_of_all_pairs_are_matrix_products(spark):
+    v = [(i, [float((i * k) % 7 - 3) for k in (1, 2, 3)]) for i in range(1100)] + [(2000, None), (2001, [1.0, None, 2.0])]
+    vectors = spark.createDataFrame(v, "id long, v array<double>")
+    asked = vectors.where("id % 100 = 0").selectExpr("id AS qid", "v AS q").unionByName(spark.createDataFrame([(-1, None)], "qid long, q array<double>"))
+    found = cosine_scores(asked, vectors)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    plain = vectors.crossJoin(asked).select("qid", "id", V.cosine(F.col("q"), F.col("v")).alias("score"))
+    got, want = ({(r.qid, r.id): r.score for r in t.collect()} for t in (found, plain))
+    assert len(got) == 1102 * 13 and got.keys() == want.keys()
+    assert all((x is None) == (want[k] is None) and (x is None or abs(x - want[k]) < 1e-12) for k, x in got.items())
+
+
 def test_saturate(spark):
     row = spark.range(1).select(V.saturate(F.lit(10.29), 16).alias("a"), V.saturate(F.lit(-1.0)).alias("b"), V.saturate(F.lit(4.0)).alias("c")).first()
     assert (round(row.a, 3), row.b, row.c) == (0.391, 0.0, 0.5)
