@@ -30,6 +30,15 @@ def test_verbatim_is_supported_and_fabricated_is_not(spark, hits):
     assert bad.score == 0.0 and bad.n_unsupported == 1 and bad.trustworthy
 
 
+def test_a_share_of_exactly_the_threshold_is_supported(spark):
+    words = [a + b + "k" for a in ("ba", "de", "gu", "ko", "mi", "nu", "po", "ra", "si", "tu") for b in ("lor", "zan")]
+    for ranks in (1, 2, 3, 4):  # every term weighs the same, 9 of 20 are covered, and sums of doubles fall on either side of 0.45
+        hits = spark.createDataFrame([(1, r, f"s{r}", " ".join(words[:9]) if r == 1 else "") for r in range(1, ranks + 1)], "qid long, rank int, source string, passage string")
+        for said in (words, words + words):
+            v = G.verdicts(answers(spark, " ".join(said)), hits).first()
+            assert v.supported and v.score == pytest.approx(0.45)
+
+
 def test_best_source_and_edge_cases(spark, hits):
     v = G.verdicts(answers(spark, "Kediler günün büyük bölümünü uyuyarak geçirir."), passages(hits)).first()
     assert v.best_source == "kedi.md" and v.supported
