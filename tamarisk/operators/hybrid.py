@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import saturate
+from .dense import search_with_pairs
+from .lexical import BM25Index
 
 RRF_K = 60
 
@@ -21,6 +23,16 @@ def candidates(scores: DataFrame, pool: int) -> DataFrame:
     return scores.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool)
 
 
+def pooled_scores(index: BM25Index, questions: DataFrame, vectors: DataFrame, pool: int, keep, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(qid, id, score) by meaning and by words, of each question's dense and lexical pool, for questions (qid, question, q).
+
+    No ranking needs more: a candidate of either pool has the score of the other kind too.
+    """
+    lexical = keep(index.top_k(questions, "qid", F.col("question"), pool, digits).drop("rank"))
+    dense = keep(search_with_pairs(questions, vectors, pool, lexical, digits))
+    return dense, keep(index.with_pairs(questions, "qid", F.col("question"), pool, dense, digits))
+
+
 def fuse(dense: DataFrame, lexical: DataFrame, pool: int, k: int = RRF_K) -> DataFrame:
     """(qid, id, fused, dense_rank, lex_rank): sums of 1 / (k + rank) over the two candidate lists."""
     d = candidates(dense, pool).select("qid", "id", F.col("rank").alias("dense_rank"))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.chunking import chunk_documents
 from ..operators import answer as A
 from ..operators.backends import Backend, ChatOptions, create_backend
-from ..operators.dense import search_top_k, search_with_pairs
+from ..operators.dense import search_top_k
 from ..operators.groundedness import report, verdicts
-from ..operators.hybrid import candidates, hybrid_search
+from ..operators.hybrid import hybrid_search, pooled_scores
 from ..operators.lexical import BM25Index
 from ..sources.documents import scan_documents
 from ..sources.store import Store, content_hash
@@ -102,15 +102,14 @@ class RagPipeline:
         return ChatOptions(s.temperature, s.max_tokens, s.answer_language)
 
     def scores(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(qid, id, score) by meaning, of each question's dense and lexical pool, and by words."""
-        asked = questions.select("qid", self.backend.embed(F.col("question")).alias("q"))
+        """(qid, id, score) by meaning and by words, of each question's dense and lexical pool."""
+        asked = questions.select("qid", "question", self.backend.embed(F.col("question")).alias("q"))
         pool = max(self.settings.top_k * MULTIPLIER, self.settings.top_k)
         if not self.bm25:
             lexical = self.spark.createDataFrame([], "qid long, id long, score double")
             return self._hold(search_top_k(asked, self.vectors, pool, -2.0).drop("rank")), lexical
-        lexical = self._hold(self.bm25.scores(questions, "qid", F.col("question")))
-        # a lexical candidate outside the dense pool keeps its cosine: the gate needs it
-        return self._hold(search_with_pairs(asked, self.vectors, pool, candidates(lexical, pool))), lexical
+        # a candidate of one pool has the score of the other kind too: the gate needs it
+        return pooled_scores(self.bm25, self._hold(asked), self.vectors, pool, self._hold)
 
     def retrieve(self, questions: DataFrame) -> DataFrame:
         """Hits of every (qid, question): qid, rank, id, scores, matched_by, source, chunk_index, heading, content."""

@@ -30,6 +30,26 @@ def test_bm25_properties(spark, corpus):
     assert idf["1536"].idf == pytest.approx(math.log(1 + 4.5 / 1.5)) and all(r.idf >= 0 for r in idf.values())
 
 
+def test_bm25_shuffles_nothing_by_text(spark, monkeypatch):
+    """A question's scores are made where the text is; the k best, given pairs and blocks of questions give the rows of the full list."""
+    from tamarisk.operators import lexical as L
+
+    docs = spark.createDataFrame([(i, f"ortak kelime{i % 7} konu{i % 13} ortak" if i % 5 else "baska") for i in range(400)], "id long, text string")
+    index = BM25Index.build(docs, "id", F.col("text"))
+    asked = ask(spark, "ortak konu3", "kelime2 konu5 konu5", "yok", "ortak", "baska")
+    found = index.scores(asked, "qid", F.col("question"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not any(x in plan for x in ("hashpartitioning(id", "hashpartitioning(term", "SortMergeJoin"))
+    every = sorted((r.qid, -round(r.score, 6), r.id) for r in found.collect())
+    monkeypatch.setattr(L, "CELLS", 8)
+    monkeypatch.setattr(L, "QUESTION_BLOCK", 2)
+    best = sorted((r.qid, -r.score, r.id) for r in index.top_k(asked, "qid", F.col("question"), 3, digits=6).collect())
+    assert best == [x for q in range(5) for x in [y for y in every if y[0] == q][:3]]
+    pairs = spark.createDataFrame([(0, 399), (1, 0), (3, 6)], "qid long, id long")
+    both = {(r.qid, r.id) for r in index.with_pairs(asked, "qid", F.col("question"), 3, pairs, digits=6).collect()}
+    assert both == {(q, i) for q, _, i in best} | {(0, 399), (3, 6)}
+
+
 def test_bm25_without_documents(spark):
     empty = BM25Index.build(spark.createDataFrame([], "id long, text string"), "id", F.col("text"))
     assert empty.scores(ask(spark, "kedi"), "qid", F.col("question")).count() == 0
