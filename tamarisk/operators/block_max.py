@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import write_bucketed
-from .lexical import K1, BM25Index, posting_norms, term_frequency, top
+from .lexical import K1, BM25Index, normed_postings, term_frequency, top
 
 #: Ids of a block and of a range, as powers of two; ranges, and blocks, that give the first scores of a question.
 BLOCK, RANGE, SEEDS = 6, 12, 8
@@ -41,7 +41,7 @@ class BlockMaxIndex:
         """Writes the index below ``path``; ``keep`` stores an intermediate table and reads it again. A posting list is cut by id, so no row has more than 4,096 of them."""
         buckets = buckets or int(bm25.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         impact = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))
-        weighed = bm25.postings.join(posting_norms(bm25), "id").join(bm25.idf, "term").select("term", "id", impact.alias("impact"))
+        weighed = normed_postings(bm25).join(bm25.idf, "term").select("term", "id", impact.alias("impact"))
         placed = weighed.select("term", F.shiftright("id", RANGE).alias("range"), F.shiftright("id", BLOCK).alias("block"), "id", "impact").repartition(buckets, "term", "range")
         blocks = placed.groupBy("term", "range", "block").agg(F.max("impact").alias("top"), F.collect_list(F.struct("block", "id", "impact")).alias("postings"))
         rows = blocks.groupBy("term", "range").agg(F.max("top").alias("top"), F.collect_list(F.struct("block", "top")).alias("tops"), F.flatten(F.collect_list("postings")).alias("postings"))

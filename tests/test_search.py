@@ -50,6 +50,19 @@ def test_bm25_shuffles_nothing_by_text(spark, monkeypatch):
     assert both == {(q, i) for q, _, i in best} | {(0, 399), (3, 6)}
 
 
+def test_postings_meet_their_lengths_without_a_join(spark, corpus):
+    from tamarisk.operators.lexical import normed_postings
+
+    found = normed_postings(corpus)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "SortMergeJoin" not in plan
+    lengths = {r.id: r.dl for r in corpus.lengths.collect()}
+    mean = sum(lengths.values()) / len(lengths)
+    got = {(r.term, r.id): (r.tf, r.norm) for r in found.collect()}
+    assert {k: v[0] for k, v in got.items()} == {(r.term, r.id): r.tf for r in corpus.postings.collect()}
+    assert all(n == pytest.approx(1.5 * (0.25 + 0.75 * lengths[i] / mean)) for (_, i), (_, n) in got.items())
+
+
 def test_bm25_without_documents(spark):
     empty = BM25Index.build(spark.createDataFrame([], "id long, text string"), "id", F.col("text"))
     assert empty.scores(ask(spark, "kedi"), "qid", F.col("question")).count() == 0
