@@ -10,9 +10,10 @@ SimHash of the whole line are verified by edit similarity and joined into connec
 stays. Lines of few words but of some length, as in scripts without spaces, are compared by their
 runs of three characters instead of words; still shorter lines are only compared for equality.
 
-A block value that many lines share never gives all its pairs: lines within budget of a leader are
-linked with the leader only; then lines of one value that verification has left in different
-groups are compared with the nearest ones, in a few rounds.
+A block value that many lines share gives its pairs in rounds, so that pairs which groups make needless
+are never verified: lines within budget of a leader are compared with the leader; then each line with
+the nearest one of another group; and last, whatever lines of one value are within budget and still in
+different groups, all of them. The groups are those that all pairs of each value make.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ VALUE_BITS = 26
 #: Lines with fewer words are compared by characters, if they have so many.
 FEW_WORDS, SOME_CHARS = 5, 20
 SALT = np.uint64(0x5851F42D4C957F2D)
-#: How many of the nearest lines a line is compared with, in each round after the first links.
-NEAREST = (1, 4)
+#: How many of the nearest lines a line is compared with, in each round after the first links; None: all of other groups, which ends the search.
+NEAREST = (1, None)
+#: Pairs that a task holds before it hands them on, about.
+PAIRS = 1 << 18
 #: Rows that one task compares, about.
 TASK_ROWS = 1_000_000
 
@@ -152,14 +155,14 @@ def _leader_pairs(s0: np.ndarray, s1: np.ndarray, budget: int):
             left = left[~near]
 
 
-def _apart_pairs(s0: np.ndarray, s1: np.ndarray, root: np.ndarray, budget: int, nearest: int):
-    """Positions (a, b) of each line and the ``nearest`` lines within budget that are in a different component so far."""
+def _apart_pairs(s0: np.ndarray, s1: np.ndarray, root: np.ndarray, budget: int, nearest: int | None):
+    """Positions (a, b) of each line and the ``nearest`` lines within budget that are in a different component so far; if None, of all such pairs."""
     for k in range(len(s0)):
-        other = np.flatnonzero(root != root[k])
+        other = np.flatnonzero(root != root[k]) if nearest else k + 1 + np.flatnonzero(root[k + 1 :] != root[k])
         bits = np.bitwise_count(s0[k] ^ s0[other]) + np.bitwise_count(s1[k] ^ s1[other])
         other, bits = other[bits <= budget], bits[bits <= budget]
         if len(other):
-            near = other[np.argsort(bits, kind="stable")[:nearest]]
+            near = other[np.argsort(bits, kind="stable")[:nearest]] if nearest else other
             yield near, np.full(len(near), k)
 
 
@@ -200,8 +203,8 @@ def candidates(blocks: DataFrame, budget: int, small: int, rows: int) -> DataFra
     return blocks.select("grp", "h", "s0", "s1").repartition(tasks, "grp").mapInArrow(run, "a long, b long, s0 long, s1 long")
 
 
-def still_apart(members: DataFrame, budget: int, nearest: int) -> DataFrame:
-    """Distinct pairs (a, b) of ``members`` (h, value, s0, s1, root): each line and the ``nearest`` of its value within budget and of other components."""
+def still_apart(members: DataFrame, budget: int, nearest: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of ``members`` (h, value, s0, s1, root): each line and the ``nearest`` of its value within budget and of other components, or all of them."""
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -215,9 +218,19 @@ def still_apart(members: DataFrame, budget: int, nearest: int) -> DataFrame:
         for at, to in zip(cuts[:-1], cuts[1:], strict=True):
             if (root[at:to] == root[at]).all():
                 continue
-            if found := list(_apart_pairs(s0[at:to], s1[at:to], root[at:to], budget, nearest)):
-                x, y = (h[at + np.concatenate(z)] for z in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+            found, n = [], 0
+            for pair in _apart_pairs(s0[at:to], s1[at:to], root[at:to], budget, nearest):
+                found.append(pair)
+                n += len(pair[0])
+                if n >= PAIRS:
+                    yield _pairs(h, at, found)
+                    found, n = [], 0
+            if found:
+                yield _pairs(h, at, found)
+
+    def _pairs(h: np.ndarray, at: int, found: list) -> pa.RecordBatch:
+        x, y = (h[at + np.concatenate(z)] for z in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
     return members.select("h", "value", "s0", "s1", "root").repartition("value").mapInArrow(run, "a long, b long").distinct()
 
@@ -333,9 +346,9 @@ def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 def linked(found: DataFrame, source: DataFrame, alike, budget: int) -> DataFrame:
     """(node, root) of the components that the ``candidates`` make whose texts in ``source`` (h, text) are ``alike``.
 
-    Of values with many lines only links with leaders are tried first. Then each line is compared
-    with the nearest lines of its value that are still apart from it, in the rounds ``NEAREST``:
-    pairs grow with the lines, not with their square.
+    Of values with many lines links with leaders are tried first. Then each line is compared with
+    lines of its value that are still apart from it, in the rounds ``NEAREST``: the nearest, and then
+    all. After the last round every pair of a value within budget was tried or is in one component.
     """
     tried = materialise(found.where("s0 IS NULL").select("a", "b").distinct(), "pairs")
     many = found.where("s0 IS NOT NULL").select(F.col("a").alias("h"), F.col("b").alias("value"), "s0", "s1")

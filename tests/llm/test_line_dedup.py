@@ -122,6 +122,16 @@ def test_large_values_lose_no_link(spark):
     assert few == many and len(set(many.values())) == 1 and len(many) > 100
 
 
+def test_all_pairs_of_a_large_value_are_tried(spark):
+    """Lines k and k + 20 of one value are alike, and no line is like its leader but one, or like its nearest ones."""
+    blocks = spark.createDataFrame([(0, k, (1 << k) - 1, 0) for k in range(36)], "grp long, h long, s0 long, s1 long")
+    texts = spark.createDataFrame([(k, str(k).encode()) for k in range(36)], "h long, text binary")
+    found = L.candidates(blocks, 36, 4, 36).cache()
+    got = {r.node: r.root for r in L.linked(found, texts, lambda x, y: abs(int(x) - int(y)) == 20, 36).collect()}
+    assert {(k, got.get(k)) for k in range(16)} == {(k, got.get(k + 20)) for k in range(16)}
+    assert len(got) == 32 and len(set(got.values())) == 16
+
+
 def test_edges(docs):
     rows = [*EDGES, (7, "one two three four five\none two three four five"), (None, "one two three four five")]
     got = L.line_dedup(docs(rows)).collect()
