@@ -2,7 +2,7 @@
 
 Inverse document frequencies are counted over all documents, exactly for the words of the benchmark
 and by hash buckets for the others. A distributed randomised SVD of the TF-IDF rows of benchmark
-passages and of a bounded sample of corpus passages gives a latent space; every window of every
+passages and of all documents gives a latent space; every window of every
 document is folded into it, and the passages whose cosine with it reaches a threshold are
 candidates. A bound on the cosine (the window's weight in benchmark vocabulary over its whole
 weight) spares windows that cannot reach it. Windows are as long as short items, and long items are
@@ -22,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import chunks, materialise, word_hashes
+from .common import chunks, discard, materialise, word_hashes
 
 #: Buckets by which words outside the benchmark are counted. Words that share one seem more frequent than they are,
 #: which shortens windows and raises cosines: no candidate is lost by it.
@@ -40,17 +41,19 @@ PASSAGE = 96
 ANCHOR = 8
 #: Share of a passage's squared length that the latent space keeps at least.
 ENERGY = 0.85
-#: Documents of the corpus from which the latent space learns, one passage each (about; they are drawn one by one), and
-#: what they weigh together against the benchmark's passages.
-FIT_DOCUMENTS, FIT_WEIGHT = 512, 0.25
+#: What all documents weigh together against the benchmark's passages when the latent space is learned; each weighs the same.
+FIT_WEIGHT = 0.25
+#: Rows of a sparse matrix that a task multiplies at a time, tasks that multiply, and cells of a sum that is added up in one place.
+SPARSE_ROWS, SPARSE_TASKS, STRIP = 1024, 128, 1 << 15
 #: Windows whose latent vectors a task holds at a time.
 WINDOWS = 1024
 
 
-def document_frequency(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Documents by hash bucket of the words they have, documents that have each word of the sorted ``vocabulary``, and their number.
+def corpus_words(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> DataFrame:
+    """(place, n, words, counts): each document's words of the sorted ``vocabulary``, as places in it, and how often it has them (words, counts).
 
-    Summed by the engine over the numbers of each task, so no task gathers them.
+    Beside these rows, of each task: how many documents have a word of a hash bucket (place from 0), each word of the
+    vocabulary (place below 0), and how many there are (place ``BUCKETS``). One pass over the texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -67,12 +70,28 @@ def document_frequency(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -
                 buckets += np.bincount(_distinct(owner * BUCKETS + (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)) % BUCKETS, minlength=BUCKETS)
                 if len(known):
                     place, inside = find(known, hashes)
-                    exact += np.bincount(_distinct(owner[inside] * len(known) + place[inside]) % len(known), minlength=len(known))
+                    keys, counts = np.unique(owner[inside] * len(known) + place[inside], return_counts=True)
+                    document, place = np.divmod(keys, len(known))
+                    exact += np.bincount(place, minlength=len(known))
+                    sizes = np.bincount(document, minlength=len(words))
+                    ends = pa.array(np.concatenate(([0], np.cumsum(sizes[sizes > 0]))), pa.int32())
+                    lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (place, counts)]
+                    none = pa.nulls(len(lists[0]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, *lists], names=["place", "n", "words", "counts"])
         if n:
             place = np.concatenate((np.flatnonzero(buckets), -1 - np.flatnonzero(exact), [BUCKETS]))
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.concatenate((buckets[buckets > 0], exact[exact > 0], [n])))], names=["place", "n"])
+            none = pa.nulls(len(place), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.concatenate((buckets[buckets > 0], exact[exact > 0], [n]))), none, none], names=["place", "n", "words", "counts"])
+
+    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "place long, n long, words array<int>, counts array<int>")
+
+
+def document_frequency(found: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Documents by hash bucket of the words they have, documents that have each word of the ``vocabulary``, and their number, from ``corpus_words``.
 
-    rows = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    Summed by the engine over the numbers of each task, so no task gathers them.
+    """
+    rows = found.where("place IS NOT NULL").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     place, n = rows["place"].to_numpy(), rows["n"].to_numpy()
     buckets, exact = np.zeros(BUCKETS, dtype=np.int64), np.zeros(len(vocabulary), dtype=np.int64)
     other = (place >= 0) & (place < BUCKETS)
@@ -92,28 +111,61 @@ def find(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nda
     return place, vocabulary[place] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
 
 
-def randomised_svd(rows: DataFrame, width: int, rank: int, oversample: int = 10, power: int = 2, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def sparse_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (at, value) that are lists: all places, all values, and the end of each row in them."""
+    at, value = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (0, 1))
+    return at, value, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(batch.column(0)), 0).to_numpy(zero_copy_only=False))
+
+
+def _times(q: np.ndarray, at: np.ndarray, value: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    out, begin = np.zeros((len(ends), q.shape[1])), 0
+    for k, end in enumerate(ends.tolist()):
+        if end > begin:
+            out[k] = value[begin:end] @ q[at[begin:end]]
+        begin = end
+    return out
+
+
+def _gram(total: np.ndarray, q: np.ndarray, at: np.ndarray, value: np.ndarray, ends: np.ndarray) -> None:
+    """Adds to ``total`` what rows make of ``q`` when the matrix and then its transpose are multiplied by it."""
+    y = _times(q, at, value, ends)
+    order = np.argsort(at, kind="stable")
+    row, value, at = np.searchsorted(ends, order, side="right"), value[order], at[order]
+    cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        total[at[a]] += value[a:b] @ y[row[a:b]]
+
+
+def _moments(total: np.ndarray, q: np.ndarray, at: np.ndarray, value: np.ndarray, ends: np.ndarray) -> None:
+    """Adds to ``total`` the products of the rows' coordinates in ``q``."""
+    y = _times(q, at, value, ends)
+    total += y.T @ y
+
+
+def randomised_svd(rows: DataFrame, width: int, rank: int, oversample: int = 10, power: int = 1, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Right singular vectors (width by rank) and singular values of a sparse matrix.
 
     ``rows`` has its rows as ``at array<int>, value array<double>``. Each pass multiplies by the
-    matrix and its transpose on the executors; only width-by-rank blocks come to the driver.
+    matrix and its transpose on the executors; only width-by-rank blocks come to the driver, and
+    from the last pass a square of the rank.
     """
     size = min(rank + oversample, width)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, size)))[0]
     context = rows.sparkSession.sparkContext
 
-    def gram(q: np.ndarray) -> np.ndarray:
+    def summed(q: np.ndarray, product, height: int) -> np.ndarray:
         shared = context.broadcast(q)
 
         def run(batches):
-            total, any_row = np.zeros_like(shared.value), False
+            total, any_row = np.zeros((height, shared.value.shape[1])), False
             for batch in batches:
-                for at, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if at:
-                        total[at] += np.outer(value, np.asarray(value) @ shared.value[at])
+                for k in range(0, batch.num_rows, SPARSE_ROWS):
+                    at, value, ends = sparse_rows(batch.slice(k, SPARSE_ROWS))
+                    if len(at):
+                        product(total, shared.value, at, value, ends)
                         any_row = True
             if any_row:
-                step = max(1, 65_536 // total.shape[1])
+                step = max(1, STRIP // total.shape[1])
                 for i in range(0, len(total), step):
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i : i + step].tobytes()], pa.binary())], names=["at", "sums"])
 
@@ -121,16 +173,17 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, oversample: int = 10,
             total = sum(np.frombuffer(c.as_py()) for c in part["sums"])
             return pa.table({"at": part["at"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-        parts = rows.select("at", "value").mapInArrow(run, "at int, sums binary").groupBy("at").applyInArrow(add, "at int, sums binary").collect()
-        out = np.zeros_like(q)
+        # a strip is added up from one piece of each task: their number is bounded, so that no task gathers more as rows grow
+        parts = rows.select("at", "value").coalesce(SPARSE_TASKS).mapInArrow(run, "at int, sums binary").groupBy("at").applyInArrow(add, "at int, sums binary").collect()
+        out = np.zeros((height, q.shape[1]))
         for r in parts:
             block = np.frombuffer(r.sums).reshape(-1, q.shape[1])
             out[r.at : r.at + len(block)] = block
         return out
 
     for _ in range(power):
-        q = np.linalg.qr(gram(q))[0]
-    values, vectors = np.linalg.eigh(q.T @ gram(q))
+        q = np.linalg.qr(summed(q, _gram, width))[0]
+    values, vectors = np.linalg.eigh(summed(q, _moments, size))
     order = np.argsort(-values)[:rank]
     order = order[values[order] > 1e-9 * max(values.max(), 1e-300)]
     return q @ vectors[:, order], np.sqrt(values[order])
@@ -178,7 +231,8 @@ def item_blocks(items: DataFrame, most: int) -> Iterator[list]:
 
 def build_block(docs: DataFrame, text_col: str, items: list, rank: int, answer_words: int) -> Block:
     vocabulary = np.unique(np.concatenate([w for _, w in items]))
-    buckets, exact, n = document_frequency(docs, text_col, vocabulary)
+    found = materialise(corpus_words(docs, text_col, vocabulary), "words")
+    buckets, exact, n = document_frequency(found, vocabulary)
     weight, other = (np.log((1 + n) / (1 + c)) + 0.01 for c in (exact, buckets))
     weigh = lambda w: weight[np.searchsorted(vocabulary, w)]
     answers, passages, runs = [], {}, {}
@@ -195,65 +249,45 @@ def build_block(docs: DataFrame, text_col: str, items: list, rank: int, answer_w
         size = min(ANCHOR, len(w))
         at = int(np.convolve(weigh(w), np.ones(size), "valid").argmax())
         runs.setdefault(size, []).append((int(run_hashes(w[at : at + size], size)[0]), i, at))
-    anchors = {size: tuple(np.array(x, t) for x, t in zip(zip(*sorted(found), strict=True), (np.uint64, np.int64, np.int64), strict=True)) for size, found in runs.items()}
-    sample = corpus_passages(docs, text_col, vocabulary, n)
-    spaces = [build_space(sample, segment, found[k : k + rank], vocabulary, weight) for segment, found in sorted(passages.items()) for k in range(0, len(found), rank)]
+    anchors = {size: tuple(np.array(x, t) for x, t in zip(zip(*sorted(own), strict=True), (np.uint64, np.int64, np.int64), strict=True)) for size, own in runs.items()}
+    corpus = found.where("words IS NOT NULL").select("words", "counts")
+    spaces = [build_space(corpus, segment, some[k : k + rank], vocabulary, weight) for segment, some in sorted(passages.items()) for k in range(0, len(some), rank)]
+    discard(found)
     return Block([r.item_id for r, _ in items], [w for _, w in items], answers, vocabulary, weight, other.astype(np.float32), spaces, anchors)
 
 
-def corpus_passages(docs: DataFrame, text_col: str, vocabulary: np.ndarray, documents: int) -> DataFrame:
-    """(words array<int>): the middle passage of about ``FIT_DOCUMENTS`` documents, as places of the vocabulary's words in it."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches):
-        for batch in batches:
-            found = []
-            for t in batch.column(0):
-                words = word_hashes([t.as_py() or b""])[0]
-                a = max(0, (len(words) - PASSAGE) // 2)
-                place, inside = find(shared.value, words[a : a + PASSAGE])
-                found.append(place[inside].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["words"])
-
-    drawn = docs.select(F.col(text_col).cast("binary").alias("text")).where(F.rand(5) < FIT_DOCUMENTS / max(1, documents))
-    return materialise(drawn.mapInArrow(run, "words array<int>"), "passages")
-
-
-def build_space(sample: DataFrame, segment: int, passages: list, vocabulary: np.ndarray, weight: np.ndarray) -> Space:
-    """Fits passages (item, first word, words) together with the corpus sample."""
-    spark = sample.sparkSession
+def build_space(corpus: DataFrame, segment: int, passages: list, vocabulary: np.ndarray, weight: np.ndarray) -> Space:
+    """Fits passages (item, first word, words) together with all documents, as ``corpus`` (words, counts) has them; a document's row has length one."""
+    spark = corpus.sparkSession
     places = [np.searchsorted(vocabulary, w) for _, _, w in passages]
     used = np.unique(np.concatenate(places))
     rows = np.full(len(vocabulary), -1, dtype=np.int32)
     rows[used] = np.arange(len(used))
-    own = spark.createDataFrame([(p.tolist(),) for p in places], "words array<int>")
-    shared = spark.sparkContext.broadcast((rows, weight[used]))
-
-    def weighted(batches):
-        rows, weight = shared.value
-        for batch in batches:
-            at, value = [], []
-            for words in batch.column(0).to_pylist():
-                found = rows[np.array(words, dtype=np.intp)]
-                found, n = np.unique(found[found >= 0], return_counts=True)
-                at.append(found.tolist())
-                value.append((n * weight[found]).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64()))], names=["at", "value"])
-
-    make = lambda table: table.mapInArrow(weighted, "at array<int>, value array<double>")
-    length = lambda table: table.select(F.sum(F.aggregate("value", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
-    ours, corpus = make(own), make(sample)
-    scale = float(np.sqrt(FIT_WEIGHT * length(ours) / max(length(corpus), 1e-300)))
-    matrix = materialise(ours.unionByName(corpus.select("at", F.transform("value", lambda x: x * scale).alias("value"))), "matrix")
-    v, _ = randomised_svd(matrix, len(used), len(passages))
     dense = np.zeros((len(passages), len(used)))
     for k, p in enumerate(places):
         np.add.at(dense[k], rows[p], weight[p])
+    shared = spark.sparkContext.broadcast((rows, weight))
+
+    def unit(batches):
+        rows, weight = shared.value
+        for batch in batches:
+            words, counts, ends = sparse_rows(batch)
+            owner, inside = np.searchsorted(ends, np.arange(len(words)), side="right"), rows[words] >= 0
+            owner, words, value = owner[inside], words[inside], (counts * weight[words])[inside]
+            length = np.sqrt(np.bincount(owner, value * value, minlength=len(ends)))
+            sizes = np.bincount(owner, minlength=len(ends))
+            ends = pa.array(np.concatenate(([0], np.cumsum(sizes[sizes > 0]))), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x)) for x in (rows[words], value / length[owner])], names=["at", "value"])
+
+    documents = corpus.mapInArrow(unit, "at array<int>, value array<double>")
+    scale = np.sqrt(FIT_WEIGHT * (dense**2).sum() / max(1, corpus.count()))  # passages are divided by what documents would be multiplied by
+    own = [(np.flatnonzero(d).tolist(), (d[d != 0] / scale).tolist()) for d in dense]
+    v, _ = randomised_svd(spark.createDataFrame(own, "at array<int>, value array<double>").unionByName(documents), len(used), len(passages))
     v = keep_directions(v, dense)
     latent = dense @ v
     owners, offsets = (np.array([x[k] for x in passages]) for k in (0, 1))
-    unit = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Space(segment, owners, offsets, rows, (weight[used][:, None] * v).astype(np.float32), unit.astype(np.float32))
+    unit_length = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    return Space(segment, owners, offsets, rows, (weight[used][:, None] * v).astype(np.float32), unit_length.astype(np.float32))
 
 
 def keep_directions(v: np.ndarray, passages: np.ndarray) -> np.ndarray:

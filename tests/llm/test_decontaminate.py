@@ -32,6 +32,18 @@ def test_randomised_svd(spark):
     assert s == pytest.approx(np.linalg.svd(a)[1][:6]) and np.allclose(a @ v @ v.T, a)
 
 
+def test_space_learns_from_every_document(spark, docs):
+    """Each document's whole text is a row of the matrix: counts of all its benchmark words, none left out or drawn by lot."""
+    vocabulary = np.unique(D.word_hashes([b"one two three"])[0])
+    names = {int(h): w for w in ("one", "two", "three") for h in D.word_hashes([w.encode()])[0]}
+    rows = [(i, "one " + "other words " * 100 + "two " * (i % 3) + "rest " * 200 + "one") for i in range(1500)] + [(2000, None), (2001, "nothing")]
+    found = D.corpus_words(docs(rows), "text", vocabulary).cache()
+    got = sorted(tuple(sorted(zip((names[int(vocabulary[w])] for w in r.words), r.counts, strict=True))) for r in found.where("words IS NOT NULL").collect())
+    assert got == sorted([(("one", 2),), (("one", 2), ("two", 1)), (("one", 2), ("two", 2))] * 500)
+    _, exact, n = D.document_frequency(found, vocabulary)
+    assert n == 1502 and {names[int(v)]: c for v, c in zip(vocabulary, exact.tolist(), strict=True)} == {"one": 1500, "two": 1000, "three": 0}
+
+
 def text(rng, n):
     return ["".join(rng.choice(list("abcdefghijklmn"), 6)) for _ in range(n)]
 
