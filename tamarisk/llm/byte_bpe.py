@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import chunks
 
 #: Pieces, and characters of pieces, that a task keeps; matches of a long text that are in memory at a time; longest text that is split at once.
-MEMO, MEMO_CHARS, MATCHES, LONG = 1 << 19, 1 << 24, 1 << 17, 1 << 20
+MEMO, MEMO_CHARS, MATCHES, LONG = 1 << 18, 1 << 24, 1 << 17, 1 << 20
+#: Pieces that go through the library at a time: what it returns for one is far larger than its ids.
+LEARNED = 1 << 13
 #: What an id that is no token stands for.
 REPLACEMENT = "�".encode()
 
@@ -113,6 +115,10 @@ class Encoder:
         if self.known and (len(self.known) + len(fresh) > self.memo or self.chars > MEMO_CHARS):
             self.forget()
             fresh = list(pieces)
+        for k in range(0, len(fresh), LEARNED):
+            self._add(fresh[k : k + LEARNED])
+
+    def _add(self, fresh: list[str]) -> None:
         found = self.batch(fresh, add_special_tokens=False)
         ids = [f.ids for f in found]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -272,10 +278,27 @@ def decode(encoded: DataFrame, spec: ByteBpe, id_col: str = "doc_id", ids_col: s
     return _decoded(encoded, spec, id_col, ids_col, "bytes binary, text string, pieces array<string>", row)
 
 
+def _digest(decoder: Decoder, ids: np.ndarray) -> tuple[int, str, str]:
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoder.bytes(ids)).hexdigest()
+
+
 def digests(encoded: DataFrame, spec: ByteBpe) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): of the ids as little-endian 32-bit integers, and of the bytes that they decode to."""
+    return _decoded(encoded, spec, "doc_id", "ids", "n_tokens long, ids_sha256 string, decoded_sha256 string", _digest)
 
-    def row(decoder, ids):
-        return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoder.bytes(ids)).hexdigest()
 
-    return _decoded(encoded, spec, "doc_id", "ids", "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+def encoded_digests(docs: DataFrame, spec: ByteBpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``digests`` of ``encode``, in one step: ids don't leave the task that made them, and a task has one Python process."""
+    shared = docs.sparkSession.sparkContext.broadcast(spec)
+
+    def run(batches):
+        encoder, decoder = Encoder(shared.value, False), Decoder(shared.value)
+        for batch in batches:
+            for a, b in chunks(batch.column(1), 1_000_000):
+                rows, tokens = encoder.encode(batch.column(1)[a:b].to_pylist())
+                made = [_digest(decoder, ids.astype(np.int64)) for ids in np.split(rows[0], np.cumsum(tokens)[:-1])]
+                columns = [pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

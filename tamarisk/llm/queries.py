@@ -72,7 +72,7 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
     import public_tokenizers
 
     spec = byte_bpe.ByteBpe.load(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), spec, offsets=False), spec)
+    return byte_bpe.encoded_digests(table(spark, sf_dir, "documents"), spec)
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

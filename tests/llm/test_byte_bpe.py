@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tamarisk.llm import queries as llm
-from tamarisk.llm.byte_bpe import ByteBpe, Decoder, Encoder, byte_characters, decode, digests, encode
+from tamarisk.llm.byte_bpe import ByteBpe, Decoder, Encoder, byte_characters, decode, digests, encode, encoded_digests
 
 from .conftest import EDGES
 
@@ -158,3 +158,15 @@ def test_query(spark, sf, corpus, tiktoken):
         assert got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_digests_in_one_step(docs, spec):
+    """As encoding and decoding one after the other; the library never gets more than some thousand pieces at once."""
+    rows = EDGES + [(10 + k, t) for k, t in enumerate(ODD)]
+    both = [sorted(map(tuple, f.collect()), key=repr) for f in (encoded_digests(docs(rows), spec), digests(encode(docs(rows), spec, offsets=False), spec))]
+    assert both[0] == both[1] and encoded_digests(docs([]), spec).count() == 0
+    encoder, most = Encoder(spec, False), []
+    library = encoder.batch
+    encoder.batch = lambda pieces, **options: most.append(len(pieces)) or library(pieces, **options)
+    text = " ".join(f"w{k}" for k in range(50_000))
+    assert (encoder.encode([text])[0][0] == Encoder(spec, False, memo=10).encode([text])[0][0]).all() and max(most) <= 1 << 13
