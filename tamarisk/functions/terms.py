@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -96,6 +97,64 @@ def _counted(content: bool):
     return arrow_udf(run, TERMS).asNondeterministic()
 
 
+class _Sizes(dict):
+    """How many terms each folded word has; ``hits`` has those of the words that have one of the ``asked`` terms."""
+
+    def __init__(self, asked: frozenset[str]):
+        super().__init__()
+        self.asked, self.hits = asked, {}
+
+    def __missing__(self, word: str) -> int:
+        root = stem(word)
+        terms = (word, root) if root not in (word, "") else (word,)
+        if found := tuple(t for t in terms if t in self.asked):
+            self.hits[word] = found
+        self[word] = len(terms)
+        return len(terms)
+
+    def forget(self) -> None:
+        self.clear()
+        self.hits.clear()
+
+
+def asked_counter(asked: frozenset[str]):
+    """A function from a folded text to the counts of its ``asked`` terms and the number of all its terms."""
+    sizes, find = _Sizes(asked), re.compile(WORD).findall
+
+    def count(text: str | None) -> tuple[dict[str, int], int]:
+        words, found = Counter(find(text or "")), {}
+        if len(sizes) + len(words) > MEMO:  # emptied between texts only, as a text needs the hits of all its words
+            sizes.forget()
+        total = sum(map(mul, map(sizes.__getitem__, words), words.values()))
+        hits = sizes.hits
+        for word in words:
+            if word in hits:
+                for t in hits[word]:
+                    found[t] = found.get(t, 0) + words[word]
+        return found, total
+
+    return count
+
+
+def counted_asked(text: Column, asked: frozenset[str]) -> Column:
+    """struct<terms array<struct<term, n>>, dl>: the terms of ``counted_terms`` that are ``asked``, and the number of all, repeated ones included."""
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        count = asked_counter(asked)
+        for batch in texts:
+            terms, numbers, ends, totals = [], [], [0], []
+            for t in batch:
+                found, total = count(t.as_py())
+                terms += found.keys()
+                numbers += found.values()
+                ends.append(len(terms))
+                totals.append(total)
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(numbers, pa.int32())], names=["term", "n"])
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), pa.array(totals, pa.int64())], names=["terms", "dl"])
+
+    return arrow_udf(run, f"struct<terms:{TERMS},dl:long>").asNondeterministic()(fold_case(F.coalesce(text, F.lit(""))))
+
+
 def counted_terms(text: Column) -> Column:
     """array<struct<term, n>>: each distinct expanded token with its number; null text has none."""
     return _counted(False)(fold_case(F.coalesce(text, F.lit(""))))

@@ -128,3 +128,15 @@ def test_gate_comes_before_the_cut(spark):
     got = hybrid_search(dense, lexical, 1, 0.5).collect()
     assert [r.id for r in got] == [50] and got[0].matched_by == "ikisi"
     assert hybrid_search(dense, lexical.limit(0), 4, 0.9).count() == 0
+
+
+def test_index_of_the_asked_terms(spark, sf):
+    """An index for known questions has their terms only, all lengths, and gives the scores of the whole index."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "kitaplar'ın evlerinden")], "doc_id long, text string"))
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("question")).limit(5)
+    asked = asked.unionByName(spark.createDataFrame([(-1, "evler kitap zzzz"), (-2, None)], "qid long, question string"))
+    whole, some = (BM25Index.build(docs, "doc_id", F.col("text"), asked=a) for a in (None, asked))
+    scores = lambda index: {(r.qid, r.id): r.score for r in index.scores(asked, "qid", F.col("question")).collect()}
+    assert scores(some) == scores(whole) and scores(some)
+    assert sorted(some.lengths.collect()) == sorted(whole.lengths.collect())
+    assert some.postings.count() < whole.postings.count() / 2
