@@ -78,3 +78,19 @@ def test_deaccent_of_every_character(spark):
     got = {r.i: r.d for r in rows.collect()}
     bad = [(i, t) for i, t in enumerate(texts) if got[i] != (None if t is None else plain(t))]
     assert not bad, bad[:5]
+
+
+def test_strip_looks_at_the_ends_only(spark):
+    """All white space of the pattern goes from both ends and stays inside; no regular expression runs over the text."""
+    from tamarisk.functions import sentences
+
+    inner = f"a{sentences.SPACES}b"
+    frame = spark.createDataFrame([(f"{sentences.SPACES}{inner}{sentences.SPACES[::-1]}",), (sentences.SPACES,), ("",), (None,)], "t string").select(sentences.strip(F.col("t")).alias("s"))
+    assert [r.s for r in frame.collect()] == [inner, "", "", None] and len(sentences.SPACES) == 29
+    assert "regexp" not in frame._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_ingest_report_cuts_texts_once(spark, sf):
+    from tamarisk.queries import ingest_report
+
+    assert "Generate" not in ingest_report(spark, sf)._jdf.queryExecution().executedPlan().toString()
