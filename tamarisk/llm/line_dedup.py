@@ -10,16 +10,16 @@ SimHash of the whole line are verified by edit similarity and joined into connec
 stays. Lines of few words but of some length, as in scripts without spaces, are compared by their
 runs of three characters instead of words; still shorter lines are only compared for equality.
 
-A block value that many lines share gives its pairs in rounds, so that pairs which groups make needless
-are never verified: lines within budget of a leader are compared with the leader; then each line with
-the nearest one of another group; and last, whatever lines of one value are within budget and still in
-different groups, all of them. The groups are those that all pairs of each value make.
+A block value that many lines share does not hand out its pairs. Lines within budget of a leader are
+compared with the leader; whatever lines of the value are within budget of one that is then still in a
+different group meet in one task with their texts, which compares them all there and returns only the links
+that join groups. The groups are those that all pairs of each value make.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import partial
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +38,12 @@ VALUE_BITS = 26
 #: Lines with fewer words are compared by characters, if they have so many.
 FEW_WORDS, SOME_CHARS = 5, 20
 SALT = np.uint64(0x5851F42D4C957F2D)
-#: How many of the nearest lines a line is compared with, in each round after the first links; None: all of other groups, which ends the search.
-NEAREST = (1, None)
-#: Pairs that a task holds before it hands them on, about.
-PAIRS = 1 << 18
+#: Pairs that a task holds while it compares the lines of one value, about; and how many it compares at a time.
+PAIRS, AT_ONCE = 1 << 18, 512
+#: Lines of a value, and bytes of their text, that one task compares with each other; a value with more is dealt out as pairs of slices.
+SLICE_ROWS, SLICE_BYTES = 1024, 32_000_000
+#: Characters up to which edit distances are found side by side, and how many pairs at a time.
+LANE_CHARS, LANES = 4096, 32
 #: Rows that one task compares, about.
 TASK_ROWS = 1_000_000
 
@@ -155,15 +157,13 @@ def _leader_pairs(s0: np.ndarray, s1: np.ndarray, budget: int):
             left = left[~near]
 
 
-def _apart_pairs(s0: np.ndarray, s1: np.ndarray, root: np.ndarray, budget: int, nearest: int | None):
-    """Positions (a, b) of each line and the ``nearest`` lines within budget that are in a different component so far; if None, of all such pairs."""
-    for k in range(len(s0)):
-        other = np.flatnonzero(root != root[k]) if nearest else k + 1 + np.flatnonzero(root[k + 1 :] != root[k])
+def _apart_pairs(s0: np.ndarray, s1: np.ndarray, root: np.ndarray, budget: int):
+    """For each line: its position, and those of the later lines within budget that are in a different component, with the bits that differ."""
+    for k in range(len(s0) - 1):
+        other = k + 1 + np.flatnonzero(root[k + 1 :] != root[k])
         bits = np.bitwise_count(s0[k] ^ s0[other]) + np.bitwise_count(s1[k] ^ s1[other])
-        other, bits = other[bits <= budget], bits[bits <= budget]
-        if len(other):
-            near = other[np.argsort(bits, kind="stable")[:nearest]] if nearest else other
-            yield near, np.full(len(near), k)
+        if (near := bits <= budget).any():
+            yield k, other[near], bits[near]
 
 
 def candidates(blocks: DataFrame, budget: int, small: int, rows: int) -> DataFrame:
@@ -203,43 +203,92 @@ def candidates(blocks: DataFrame, budget: int, small: int, rows: int) -> DataFra
     return blocks.select("grp", "h", "s0", "s1").repartition(tasks, "grp").mapInArrow(run, "a long, b long, s0 long, s1 long")
 
 
-def still_apart(members: DataFrame, budget: int, nearest: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of ``members`` (h, value, s0, s1, root): each line and the ``nearest`` of its value within budget and of other components, or all of them."""
+def still_apart(members: DataFrame, budget: int) -> DataFrame:
+    """The rows of ``members`` (h, value, s0, s1, root) that have one of their value within budget in another component."""
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        t = pa.Table.from_batches(held)
-        h, value, s0, s1, root = (t.column(c).to_numpy() for c in ("h", "value", "s0", "s1", "root"))
-        order = np.argsort(value, kind="stable")
-        value, h, s0, s1, root = value[order], h[order], s0[order].view(np.uint64), s1[order].view(np.uint64), root[order]
+        t = pa.Table.from_batches(held).sort_by("value").combine_chunks()
+        value, s0, s1, root = (t.column(c).to_numpy() for c in ("value", "s0", "s1", "root"))
+        s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
+        keep = np.zeros(len(value), dtype=bool)
         cuts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1], [True])))
         for at, to in zip(cuts[:-1], cuts[1:], strict=True):
-            if (root[at:to] == root[at]).all():
-                continue
-            found, n = [], 0
-            for pair in _apart_pairs(s0[at:to], s1[at:to], root[at:to], budget, nearest):
-                found.append(pair)
-                n += len(pair[0])
-                if n >= PAIRS:
-                    yield _pairs(h, at, found)
-                    found, n = [], 0
-            if found:
-                yield _pairs(h, at, found)
+            if not (root[at:to] == root[at]).all():
+                for k, other, _ in _apart_pairs(s0[at:to], s1[at:to], root[at:to], budget):
+                    keep[at + k] = True
+                    keep[at + other] = True
+        yield from t.filter(pa.array(keep)).to_batches()
+
+    columns = members.select("h", "value", "s0", "s1", "root")
+    return columns.repartition("value").mapInArrow(run, "h long, value long, s0 long, s1 long, root long")
+
+
+def _sliced(members: DataFrame) -> DataFrame:
+    """``members`` (value, h, size, ...) with the group ``x``, ``y`` to compare a row in; a value with much text or many lines is dealt out as pairs of slices."""
+    wide = members.groupBy("value").agg(F.ceil(F.greatest(F.count("*") / SLICE_ROWS, F.sum("size") / SLICE_BYTES)).cast("int").alias("n")).where("n > 1")
+    wide = materialise(wide, "wide")
+    if wide.isEmpty():
+        return members.withColumns({"x": F.lit(0), "y": F.lit(0)})
+    n = F.coalesce("n", F.lit(1))
+    dealt = members.join(wide, "value", "left").withColumn("own", F.pmod(F.xxhash64("h", F.lit(5)), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("n", "own", "other")
 
-    def _pairs(h: np.ndarray, at: int, found: list) -> pa.RecordBatch:
-        x, y = (h[at + np.concatenate(z)] for z in zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
-    return members.select("h", "value", "s0", "s1", "root").repartition("value").mapInArrow(run, "a long, b long").distinct()
+def joining_links(members: DataFrame, texts: DataFrame, test, budget: int) -> DataFrame:
+    """(a, b): links of alike lines of one value within budget that join what ``members`` (h, value, s0, s1, root) have as different components.
 
+    Every such pair of a value is compared, unless links found before it join the two; no more links
+    are returned than there are lines. ``test`` is as in ``verify``.
+    """
 
-def edit_distance(a, b, most: int) -> int:
-    """Levenshtein distance of two sequences, or more than ``most``: bit-parallel, after trimming what they share at the ends."""
+    def run(t: pa.Table) -> pa.Table:
+        h, s0, s1, root = (t.column(c).to_numpy() for c in ("h", "s0", "s1", "root"))
+        label = np.unique(root, return_inverse=True)[1]
+        found, held, n = [], [], 0
+        compare = None
+
+        def settle():
+            nonlocal label, compare
+            a, b, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(bits, kind="stable")  # the nearest first: what they join need not be compared
+            for at in range(0, len(order), AT_ONCE):
+                x, y = a[order[at : at + AT_ONCE]], b[order[at : at + AT_ONCE]]
+                apart = label[x] != label[y]
+                if apart.any():
+                    compare = compare or test(t.column("text").to_pylist())
+                    x, y = x[apart], y[apart]
+                    ok = compare(x, y)
+                    for u, v in zip(x[ok], y[ok], strict=True):
+                        if label[u] != label[v]:
+                            found.append((h[u], h[v]))
+                            label = np.where(label == label[u], label[v], label)
+
+        for k, other, bits in _apart_pairs(s0.view(np.uint64), s1.view(np.uint64), root, budget):
+            held.append((np.full(len(other), k), other, bits))
+            n += len(other)
+            if n >= PAIRS:
+                settle()
+                held, n = [], 0
+        if held:
+            settle()
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = materialise(members.join(texts, "h").withColumn("size", F.length("text")), "apart")
+    # a number of tasks is given, as the work of a group is not told by its bytes, by which small tasks would be joined
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _sliced(rows).select("value", "x", "y", "h", "s0", "s1", "root", "text").repartition(tasks, "value", "x", "y")
+    return materialise(dealt.groupBy("value", "x", "y").applyInArrow(run, "a long, b long"), "links")
+
+
+def trimmed(a, b) -> tuple:
+    """Two sequences without what they share at the ends, which leaves their Levenshtein distance as it is."""
     at, n = 0, min(len(a), len(b))
     if a[:n] == b[:n]:
-        return abs(len(a) - len(b))
+        return a[n:], b[n:]
     low, high = 0, n  # the longest common prefix by bisection on slices
     while low < high:
         middle = (low + high + 1) // 2
@@ -248,7 +297,12 @@ def edit_distance(a, b, most: int) -> int:
     while low < high:
         middle = (low + high + 1) // 2
         low, high = (middle, high) if a[len(a) - middle :] == b[len(b) - middle :] else (low, middle - 1)
-    a, b = a[at : len(a) - low], b[at : len(b) - low]
+    return a[at : len(a) - low], b[at : len(b) - low]
+
+
+def edit_distance(a, b, most: int) -> int:
+    """Levenshtein distance of two sequences, or more than ``most``: bit-parallel."""
+    a, b = trimmed(a, b)
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > most or not a:
@@ -307,28 +361,105 @@ def alignment_cost(a: list[bytes], b: list[bytes], most: int, look: int = 8) ->
     return cost + max(sum(map(len, a[i:])) + len(a) - i, sum(map(len, b[j:])) + len(b) - j)
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def edit_distances(pairs: list[tuple[str, str]]) -> list[int]:
+    """Levenshtein distances of pairs of strings, side by side in lanes of long integers (bit-parallel, a lane for each pair)."""
+    pairs = [sorted(trimmed(a, b), key=len) for a, b in pairs]
+    out = [0] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][1]))
+    for at in range(0, len(order), LANES):
+        own = order[at : at + LANES]
+        width = max(len(pairs[k][0]) for k in own) // 8 + 1  # bytes: a lane's top bit, at least, is spare and takes its carry
+        none = bytes(width)
+        streams, lanes, low = [], [], []
+        for lane, k in enumerate(own):
+            a, b = map(_codes, pairs[k])
+            known = np.unique(a)
+            bits = np.zeros((len(known), 8 * width), dtype=bool)
+            bits[:, : len(a)] = a == known[:, None]
+            masks = dict(zip(known.tolist(), map(bytes, np.packbits(bits, axis=1, bitorder="little")), strict=True))
+            streams.append([masks.get(c, none) for c in b.tolist()])
+            lanes.append(((1 << len(a)) - 1) << 8 * width * lane)
+            low.append(1 << 8 * width * lane if len(a) else 0)
+        full, ones = sum(lanes), sum(low)
+        ends = [len(x) for x in streams]
+        up, down, step, done = full, 0, 0, 0
+        for parts in zip_longest(*streams, fillvalue=none):
+            while ends[done] == step:
+                out[own[done]] = step + (up & lanes[done]).bit_count() - (down & lanes[done]).bit_count()
+                done += 1
+            match = int.from_bytes(b"".join(parts), "little")
+            x = match | down
+            d = ((((match & up) + up) ^ up) | match) & full
+            plus, minus = down | (full & ~(d | up)), up & d
+            plus, minus = (plus << 1) | ones, (minus << 1) & full
+            up, down = (minus | ~(x | plus)) & full, plus & x & full
+            step += 1
+        for k in range(done, len(own)):
+            out[own[k]] = ends[k] + (up & lanes[k]).bit_count() - (down & lanes[k]).bit_count()
+    return out
+
+
+class SimilarLines:
+    """Tells which pairs of some normalised lines have an edit similarity, in characters, of at least ``least``."""
+
+    def __init__(self, texts: list[bytes], least: float):
+        self.least, self.bytes, self.chars = least, texts, [t.decode("utf-8", "replace") for t in texts]
+        self.size = np.array([len(t) for t in self.chars], dtype=np.int64)
+        bags = [np.empty((0, 128), dtype=np.int32)]
+        for at in range(0, len(texts), 256):
+            part = self.size[at : at + 256]
+            places = np.repeat(128 * np.arange(len(part)), part) + (_codes("".join(self.chars[at : at + 256])) & 127)
+            bags.append(np.bincount(places, minlength=128 * len(part)).astype(np.int32).reshape(-1, 128))
+        self.bags = np.concatenate(bags)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of each pair of positions, whether the lines are similar."""
+        most = ((1 - self.least) * np.maximum(self.size[a], self.size[b]) + 1e-9).astype(np.int64)
+        ok = np.zeros(len(a), dtype=bool)
+        open_ = np.flatnonzero(np.abs(self.size[a] - self.size[b]) <= most)
+        more = self.bags[a[open_]] - self.bags[b[open_]]  # characters that have no counterpart: no edit takes away more than one of each side
+        open_ = open_[np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)) <= most[open_]]
+        rest, cores = [], []
+        for k, x, y, limit in zip(open_.tolist(), a[open_].tolist(), b[open_].tolist(), most[open_].tolist(), strict=True):
+            # most pairs differ in a few words, which a bound shows; bytes are no fewer than characters
+            if alignment_cost(self.bytes[x].split(b" "), self.bytes[y].split(b" "), limit) <= limit:
+                ok[k] = True
+            elif max(self.size[x], self.size[y]) > LANE_CHARS:
+                ok[k] = edit_distance(self.chars[x], self.chars[y], limit) <= limit
+            else:
+                rest.append(k)
+                cores.append((self.chars[x], self.chars[y]))
+        ok[rest] = np.array(edit_distances(cores), dtype=np.int64) <= most[rest]
+        return ok
+
+
 def similar(a: bytes, b: bytes, least: float) -> bool:
     """Whether the edit similarity of two normalised lines, in characters, is at least ``least``."""
-    x, y = a.decode("utf-8", "replace"), b.decode("utf-8", "replace")
-    most = int((1 - least) * max(len(x), len(y)) + 1e-9)
-    if abs(len(x) - len(y)) > most:
-        return False
-    # most pairs differ in a few words, which a bound shows; bytes are no fewer than characters
-    if alignment_cost(a.split(b" "), b.split(b" "), most) <= most:
-        return True
-    p, q = Counter(x), Counter(y)
-    if max((p - q).total(), (q - p).total()) > most:  # characters that have no counterpart
-        return False
-    return edit_distance(x, y, most) <= most
-
-
-def verify(pairs: DataFrame, texts: DataFrame, alike) -> DataFrame:
-    """The pairs whose lines are ``alike``; ``texts`` (h, text) has each candidate line once."""
+    return bool(SimilarLines([a, b], least)(np.array([0]), np.array([1]))[0])
+
+
+def pair_by_pair(alike):
+    """A test, as ``verify`` takes it, of a function of two texts."""
+    return lambda texts: lambda a, b: np.array([alike(texts[x], texts[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
+
+
+def verify(pairs: DataFrame, texts: DataFrame, test) -> DataFrame:
+    """The pairs whose lines are alike; ``texts`` (h, text) has each candidate line once.
+
+    ``test`` takes a list of texts and gives a function of two arrays of positions in it, which says of each pair whether its texts are alike.
+    """
 
     def run(batches):
         for batch in batches:
-            ok = [alike(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for at, to in chunks(batch.column(2), 4_000_000):
+                part = batch.slice(at, to - at)
+                n = part.num_rows
+                ok = test(part.column(2).to_pylist() + part.column(3).to_pylist())(np.arange(n), np.arange(n, 2 * n))
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     a, b = texts.select(F.col("h").alias("a"), F.col("text").alias("x")), texts.select(F.col("h").alias("b"), F.col("text").alias("y"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -343,22 +474,35 @@ def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialise(sifted.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")), "texts")
 
 
-def linked(found: DataFrame, source: DataFrame, alike, budget: int) -> DataFrame:
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) that lie in different components and are not a line with the least that it is paired with."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    rooted = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    return rooted.join(pairs.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"], "left_anti")
+
+
+def linked(found: DataFrame, source: DataFrame, alike, budget: int, test=None) -> DataFrame:
     """(node, root) of the components that the ``candidates`` make whose texts in ``source`` (h, text) are ``alike``.
 
-    Of values with many lines links with leaders are tried first. Then each line is compared with
-    lines of its value that are still apart from it, in the rounds ``NEAREST``: the nearest, and then
-    all. After the last round every pair of a value within budget was tried or is in one component.
+    Of values with many lines links with leaders are tried first. Then the lines of a value that are
+    still apart from one within budget are compared in one place. After that every pair of a value
+    within budget was tried or is in one component. ``test``, as in ``verify``, may stand for ``alike``.
     """
-    tried = materialise(found.where("s0 IS NULL").select("a", "b").distinct(), "pairs")
+    test = test or pair_by_pair(alike)
+    pairs = materialise(found.where("s0 IS NULL").select("a", "b").distinct(), "pairs")
     many = found.where("s0 IS NOT NULL").select(F.col("a").alias("h"), F.col("b").alias("value"), "s0", "s1")
-    texts = _texts(source, found.select(F.col("a").alias("h")).union(tried.select(F.col("b").alias("h"))))
-    roots = connected_components(verify(tried, texts, alike))
-    for nearest in () if many.isEmpty() else NEAREST:
+    texts = _texts(source, found.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))))
+    # each line with the least that it is paired with: in a group of copies that makes all its other pairs needless
+    first = verify(pairs.groupBy("a").agg(F.min("b").alias("b")), texts, test)
+    links = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = connected_components(first)
+    apart = _apart(pairs, roots)
+    roots = connected_components(links(roots).unionByName(verify(apart, texts, test)))
+    if not many.isEmpty():
         members = many.join(roots, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("root", "h"))
-        more = materialise(still_apart(members, budget, nearest).join(tried, ["a", "b"], "left_anti"), "more")
-        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verify(more, texts, alike)))
-        tried = tried.unionByName(more)
+        more = joining_links(still_apart(members, budget), texts, test, budget)
+        if not more.isEmpty():
+            roots = connected_components(links(roots).unionByName(more))
     discard(texts)
     return roots
 
@@ -367,7 +511,7 @@ def line_groups(lines: DataFrame, least: float = 0.8, budget: int = 36, small: i
     """(h, c, g): each distinct line that repeats or has a similar one, and its group. Lines are told apart by h and c, 96 bits."""
     distinct = materialise(lines.groupBy("h").agg(*(F.first(c).alias(c) for c in ("c", "s0", "s1", "keys")), F.count("*").alias("n")), "distinct")
     found = materialise(candidates(deal_out(distinct, F.col("keys"), limit), budget, small, distinct.count() * 8), "candidates")
-    roots = linked(found, lines, partial(similar, least=least), budget)
+    roots = linked(found, lines, partial(similar, least=least), budget, partial(SimilarLines, least=least))
     grouped = distinct.select("h", "c", "n").join(roots, F.col("h") == F.col("node"), "left").where("n > 1 OR root IS NOT NULL")
     groups = materialise(grouped.select("h", "c", F.coalesce("root", "h").alias("g")), "groups")
     discard(distinct)

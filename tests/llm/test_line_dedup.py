@@ -25,6 +25,12 @@ def test_edit_distance(a, b, most):
     assert got == d if d <= most else got > most
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.text("aé漢😀", max_size=70), st.text("aé漢😀", max_size=70)), max_size=9))
+def test_edit_distances_side_by_side(pairs):
+    assert L.edit_distances(pairs) == [levenshtein(a, b) for a, b in pairs]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["aa", "b", "ccc", "d"]), max_size=12), st.lists(st.sampled_from(["aa", "b", "ccc", "d"]), max_size=12))
 def test_alignment_is_a_bound_from_above(a, b):
@@ -132,6 +138,19 @@ def test_all_pairs_of_a_large_value_are_tried(spark):
     assert len(got) == 32 and len(set(got.values())) == 16
 
 
+def test_lines_of_a_value_hand_out_no_row_for_each_pair(spark, monkeypatch):
+    """All lines of a value are within budget and few are alike: as many rows as lines are joined with texts, in one piece or in slices."""
+    blocks = spark.createDataFrame([(0, k, (1 << k % 18) - 1, 0) for k in range(72)], "grp long, h long, s0 long, s1 long")
+    texts = spark.createDataFrame([(k, str(k).encode()) for k in range(72)], "h long, text binary")
+    given, verify = [], L.verify
+    monkeypatch.setattr(L, "verify", lambda pairs, *rest: given.append(pairs.count()) or verify(pairs, *rest))
+    for rows in (L.SLICE_ROWS, 7):
+        monkeypatch.setattr(L, "SLICE_ROWS", rows)
+        got = {r.node: r.root for r in L.linked(L.candidates(blocks, 36, 4, 72), texts, lambda x, y: abs(int(x) - int(y)) == 40, 36).collect()}
+        assert got == {k: k % 40 for k in (*range(32), *range(40, 72))}
+    assert sum(given) <= 2 * 72
+
+
 def test_edges(docs):
     rows = [*EDGES, (7, "one two three four five\none two three four five"), (None, "one two three four five")]
     got = L.line_dedup(docs(rows)).collect()
