@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tamarisk.operators.growing_index import GrowingIndex
 
 log = logging.getLogger("jobs.index_documents")
+#: Terms with the most postings whose weights go to every task; the postings of the others are shuffled to theirs.
+FREQUENT_TERMS = 1 << 16
 
 
 def index_documents(
@@ -53,9 +55,13 @@ def _lexicon(spark: SparkSession, index: str) -> DataFrame:
 
 def read_index(spark: SparkSession, index: str) -> DataFrame:
     """(id, content_hash, term, tf, dl, df, idf): every posting with its passage and its term's weight."""
-    grown = GrowingIndex(spark, index)
-    postings = grown.table("postings").select("term", "id", "tf")
-    return postings.join(grown.table("passages").select("id", "content_hash", "dl"), "id").join(_lexicon(spark, index).select("term", "df", "idf"), "term")
+    postings = GrowingIndex(spark, index).table("postings").select("id", "content_hash", "term", "tf", "dl")
+    weights = _lexicon(spark, index).select("term", "df", "idf")
+    frequent = weights.orderBy(F.desc("df"), "term").limit(FREQUENT_TERMS)
+    found = postings.join(F.broadcast(frequent), "term", "left")  # most postings have their weight here and stay where they are
+    columns = ("id", "content_hash", "term", "tf", "dl", "df", "idf")
+    rare = found.where("df IS NULL").select("id", F.unhex("content_hash").alias("content_hash"), "term", "tf", "dl").join(weights, "term")
+    return found.where("df IS NOT NULL").select(*columns).unionByName(rare.withColumn("content_hash", F.lower(F.hex("content_hash"))).select(*columns))
 
 
 def main(arguments: list[str] | None = None) -> None:
