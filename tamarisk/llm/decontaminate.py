@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import chunks, discard, materialise, word_hashes
+from .common import chunks, discard, local_table, materialise, word_hashes
 
 #: Buckets by which words outside the benchmark are counted. Words that share one seem more frequent than they are,
 #: which shortens windows and raises cosines: no candidate is lost by it.
@@ -279,10 +279,12 @@ def build_space(corpus: DataFrame, segment: int, passages: list, vocabulary: np.
             ends = pa.array(np.concatenate(([0], np.cumsum(sizes[sizes > 0]))), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x)) for x in (rows[words], value / length[owner])], names=["at", "value"])
 
-    documents = corpus.mapInArrow(unit, "at array<int>, value array<double>")
+    # written, so that a task that multiplies needs one Python worker and not another for its rows, and each pass reads them as they are
+    documents = materialise(corpus.mapInArrow(unit, "at array<int>, value array<double>"), "unit")
     scale = np.sqrt(FIT_WEIGHT * (dense**2).sum() / max(1, corpus.count()))  # passages are divided by what documents would be multiplied by
     own = [(np.flatnonzero(d).tolist(), (d[d != 0] / scale).tolist()) for d in dense]
-    v, _ = randomised_svd(spark.createDataFrame(own, "at array<int>, value array<double>").unionByName(documents), len(used), len(passages))
+    v, _ = randomised_svd(local_table(spark, own, "at array<int>, value array<double>").unionByName(documents), len(used), len(passages))
+    discard(documents)
     v = keep_directions(v, dense)
     latent = dense @ v
     owners, offsets = (np.array([x[k] for x in passages]) for k in (0, 1))
@@ -478,7 +480,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(),
 
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    return local_table(spark, [], schema) if out is None else out
 
 
 def holds_item(spark, block: Block, rules: Rules, text: Column) -> Column:

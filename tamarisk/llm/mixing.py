@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, materialise
+from .common import discard, fresh, local_table, materialise
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Up to this many cells raking is done on the driver and cells are broadcast; beyond it both are distributed.
@@ -126,7 +126,7 @@ def cell_probabilities(cells: DataFrame, fraction: float, alpha: float, rounds:
     local = cells.toPandas().sort_values(list(DIMENSIONS), na_position="last", kind="stable")
     done = rake_local(local, fraction, alpha, rounds, targets)
     rows = [tuple(None if v is None or v != v else v for v in r) for r in done[[*DIMENSIONS, "p"]].itertuples(index=False)]
-    out = cells.sparkSession.createDataFrame(rows, "source string, lang string, topic string, p double")
+    out = local_table(cells.sparkSession, rows, "source string, lang string, topic string, p double")
     discard(cells)
     return out, small
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import chunks, materialise, word_hashes
+from .common import chunks, local_table, materialise, word_hashes
 
 # Characters that look like a Latin letter, and digits and symbols used for one.
 HOMOGLYPHS = {
@@ -141,8 +141,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, toxic: int, clean: int, id_c
     ids: dict = {}
     for value, most in ((0, clean), (1, toxic)):
         ids.update((r.id, value) for r in known.where(F.col("label") == value).orderBy(*order).limit(most).collect())
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame(list(ids.items()), "id long, label int")
+    wanted = local_table(docs.sparkSession, list(ids.items()), "id long, label int")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     rows = rows.join(F.broadcast(wanted), "id").select("text", "label")  # toxic + clean rows at most
 

@@ -38,3 +38,34 @@ def test_decisions_take_effect(spark, sf, stages):
 
 def test_run_gives_the_last_stage(spark, sf, stages):
     assert sorted(r.doc_id for r in P.run(spark, sf).collect()) == sorted(r.doc_id for r in stages[-1].collect())
+
+
+def test_a_task_needs_one_python_worker(spark, sf, monkeypatch):
+    """Workers stay on the executors for later stages: none for the rows of the driver, and no two Python operators in one task."""
+    from tamarisk.llm import decontaminate as D
+    from tamarisk.llm import mixing as M
+    from tamarisk.llm import queries as Q
+    from tamarisk.llm import toxicity as T
+
+    plans = {}
+    noted = lambda name, df: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+    for module, name in ((T, "toxicity"), (D, "decontamination")):
+        monkeypatch.setattr(module, "materialise", lambda df, label, name=name: (noted(f"{name} {label}", df), materialise(df, label))[1])
+    svd = D.randomised_svd
+    monkeypatch.setattr(D, "randomised_svd", lambda rows, width, rank: (noted("multiplied", rows), svd(rows, width, rank))[1])
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    Q.toxicity_model(spark, sf)
+    next(D._blocks(documents, spark.read.parquet(f"{sf}/benchmark.parquet"), "text", 256, 8, 2000))
+    noted("mixed", M.sample_mix(documents))
+    assert {"toxicity labelled", "multiplied", "mixed"} <= set(plans)
+    for name, plan in plans.items():
+        assert "LogicalRDD" not in plan and plan.count("InArrow") + plan.count("ArrowEval") == (name not in ("multiplied", "mixed")), name
+
+
+def test_rows_of_the_driver(spark):
+    from tamarisk.llm.common import local_table
+
+    rows = [("a", None, [1, 2], 0.5), (None, 2, [], None)]
+    found = local_table(spark, rows, "s string, n long, at array<int>, x double")
+    assert [tuple(r) for r in found.collect()] == rows and found.dtypes == [("s", "string"), ("n", "bigint"), ("at", "array<int>"), ("x", "double")]
+    assert local_table(spark, [], "s string").collect() == []
