@@ -11,8 +11,9 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b, md5
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .digests import SHORT, md5_heads
 from .turkish import WORD, fold_case
+from .words import Alphabet, Words, alphabet, counted, portions, spread
 
 DIM = 512
 SIGNATURE, SQL_SIGNATURE = f"hashing-offline:{DIM}", f"hashing-md5:{DIM}"
-#: Distinct features whose places a task keeps at a time.
+#: Distinct features, and words, whose places a task keeps at a time.
 MEMO = 1 << 18
+#: Pairs of words that are spelt out together.
+PAIRS = 1 << 16
 ACCENTS_FROM, ACCENTS_TO = "çğöşüáàâäéèêëíìîïóòôúùûñ", "cgosuaaaaeeeeiiiiooouuun"
 
 
@@ -49,11 +54,6 @@ def place(feature: str) -> tuple[int, int]:
     return int.from_bytes(blake2b(data, digest_size=4).digest(), "big") % DIM, sign
 
 
-def md5_place(feature: str) -> tuple[int, int]:
-    digest = md5(feature.encode()).hexdigest()
-    return int(digest[:8], 16) % DIM, 1 if int(digest[8], 16) % 2 else -1
-
-
 def embed(text: str | None, place=place) -> np.ndarray:
     """Unit vector of signed, sublinear feature counts; no word gives the zero vector."""
     v = np.zeros(DIM, dtype=np.float32)
@@ -76,9 +76,9 @@ class _Remembered(dict):
         return found
 
 
-def _vectors(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+def _vectors(rows: list[np.ndarray], n: int, kind: pa.DataType) -> pa.Array:
     flat = np.concatenate(rows) if rows else np.empty(0)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, DIM * len(rows) + 1, DIM, dtype=np.int32)), pa.array(flat, kind))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, DIM * n + 1, DIM, dtype=np.int32)), pa.array(flat, kind))
 
 
 def hash_embed(text: Column) -> Column:
@@ -87,27 +87,98 @@ def hash_embed(text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         find = _Remembered(place).__getitem__
         for batch in batches:
-            yield _vectors([embed(t.as_py(), find) for t in batch], pa.float32())
+            yield _vectors([embed(t.as_py(), find) for t in batch], len(batch), pa.float32())
 
     return arrow_udf(run, "array<float>")(text)
 
 
+class _Md5Places:
+    """Vectors of the words of texts (``hash_features``), many texts at a time; the features of a distinct word are placed once."""
+
+    def __init__(self, letters: Alphabet):
+        self.words, self.grams = Words(letters), {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words.forget()
+        self.grams.clear()
+        self.spelt: list[bytes] = []
+        self.first, self.parts, self.own, self.gram, self.size = np.zeros(1, np.int64), *(np.empty(0, np.int64) for _ in range(4))
+        self.letters = np.empty((0, SHORT - 3), np.uint8)
+
+    def _learn(self) -> None:
+        """Places of the words that are new, and of their 4-grams."""
+        new = self.words.known[len(self.spelt) :]
+        listed, met = [], len(self.grams)
+        for w in new:
+            listed.append([self.grams.setdefault(w[i : i + 4], len(self.grams)) for i in range(len(w) - 3)] if len(w) > 5 else [])
+        spelt = [w.encode() for w in new]
+        self.spelt += spelt
+        self.size = np.concatenate((self.size, np.fromiter(map(len, spelt), np.int64, len(spelt))))
+        padded = b"".join([w[: SHORT - 3].ljust(SHORT - 3, b"\0") for w in spelt])
+        self.letters = np.concatenate((self.letters, np.frombuffer(padded, np.uint8).reshape(-1, SHORT - 3)))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(x) for x in listed], dtype=np.int64)))
+        self.parts = np.concatenate((self.parts, np.fromiter(chain.from_iterable(listed), np.int64)))
+        self.own = np.concatenate((self.own, _codes(b"w:" + w for w in spelt)))
+        self.gram = np.concatenate((self.gram, _codes(f"c:{g}".encode() for g in islice(self.grams, met, None))))
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Codes of pairs of words, by their numbers."""
+        size, code = self.size[a] + self.size[b] + 3, np.empty(len(a), np.int64)
+        for i in np.flatnonzero(size > SHORT):
+            code[i] = _codes([b"b:%b_%b" % (self.spelt[a[i]], self.spelt[b[i]])])[0]
+        rows = np.flatnonzero(size <= SHORT)
+        for some in np.array_split(rows, -(-len(rows) // PAIRS) or 1):
+            x, y = a[some], b[some]
+            text, long = np.zeros((len(some), 64), np.uint8), self.size[x]
+            text[:, 0], text[:, 1], text[:, 2 : SHORT - 1] = *b"b:", self.letters[x]
+            text[np.arange(len(some)), long + 2] = ord("_")
+            order = np.argsort(long.astype(np.uint8), kind="stable")
+            ends = np.cumsum(np.bincount(long, minlength=SHORT))
+            for n in range(SHORT - 2):  # the second word stands where the first one ends
+                at = order[ends[n - 1] if n else 0 : ends[n]]
+                text[at, n + 3 : SHORT] = self.letters[y[at], : SHORT - 3 - n]
+            low, high = md5_heads(text, size[some])
+            code[some] = ((low >> 16 & 1) << 8 | low >> 24) << 1 | high >> 4 & 1
+        return code
+
+    def embed(self, texts: list[str | None]) -> np.ndarray:
+        if len(self.words) > MEMO:
+            self._forget()
+        word, text = self.words.numbers(texts)
+        self._learn()
+        many = max(1, len(self.spelt))
+        follow = np.flatnonzero(text[1:] == text[:-1])
+        t, pair, n = counted(text[follow], word[follow] * many + word[follow + 1], many * many)
+        distinct, which = np.unique(pair, return_inverse=True)
+        found = [(t, self._pairs(*np.divmod(distinct, many))[which], n)]
+        t, w, n = counted(text, word, many)
+        found.append((t, self.own[w], n))
+        at, owner = spread(self.first, w)
+        t, g, n = counted(t[owner], self.parts[at], max(1, len(self.gram)), n[owner])
+        found.append((t, self.gram[g], n))
+        t, code, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        v = np.bincount(t * DIM + (code >> 1), np.where(code & 1, 1.0, -1.0) * (1 + np.log(n)), DIM * len(texts)).reshape(-1, DIM)
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        return v / np.where(norm == 0, 1, norm)
+
+
+def _codes(features: Iterable[bytes]) -> np.ndarray:
+    """Twice the bucket of each feature, and one more where its sign is positive: what ``hash_features`` reads off the digest."""
+    digest = np.frombuffer(b"".join([md5(f, usedforsecurity=False).digest() for f in features]), np.uint8).reshape(-1, 16).astype(np.int64)
+    return ((digest[:, 2] << 8 | digest[:, 3]) % DIM) << 1 | digest[:, 4] >> 4 & 1
+
+
 def md5_embed(text: Column) -> Column:
     """The vectors of ``hash_features``, dense (array<double>): one row a text and no shuffle."""
+    letters = alphabet((ACCENTS_FROM, ACCENTS_TO))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, words = _Remembered(md5_place), re.compile(WORD).findall
+        places = _Md5Places(letters)
         for batch in batches:
-            made = []
-            for t in batch:
-                v = [0.0] * DIM  # single additions are faster in a list
-                for f, n in _counted(words(t.as_py() or "")).items():
-                    bucket, sign = known[f]
-                    v[bucket] += sign * (1 + math.log(n)) if n > 1 else sign
-                made.append(np.array(v) / (np.linalg.norm(v) or 1))
-            yield _vectors(made, pa.float64())
-
-    return arrow_udf(run, "array<double>")(_plain(text))
+            yield _vectors([places.embed(some).ravel() for some in portions(batch)], len(batch), pa.float64())
+
+    return arrow_udf(run, "array<double>")(text)
 
 
 def _plain(text: Column) -> Column:

@@ -9,18 +9,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from operator import mul
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .turkish import FOLD_FROM, FOLD_TO, MIN_STEM, PASSES, SOFTENED, STOPWORDS, SUFFIXES, VOWELS, WORD, fold_case
+from .words import MEMO, Alphabet, Words, alphabet, portions, spread
 
 TERMS = "array<struct<term:string,n:int>>"
-#: Distinct words whose stems a task keeps at a time.
-MEMO = 1 << 18
 
 
 def _by_length(suffixes: list[str]) -> list[tuple[int, frozenset[str]]]:
@@ -97,62 +97,56 @@ def _counted(content: bool):
     return arrow_udf(run, TERMS).asNondeterministic()
 
 
-class _Sizes(dict):
-    """How many terms each folded word has; ``hits`` has those of the words that have one of the ``asked`` terms."""
-
-    def __init__(self, asked: frozenset[str]):
-        super().__init__()
-        self.asked, self.hits = asked, {}
-
-    def __missing__(self, word: str) -> int:
-        root = stem(word)
-        terms = (word, root) if root not in (word, "") else (word,)
-        if found := tuple(t for t in terms if t in self.asked):
-            self.hits[word] = found
-        self[word] = len(terms)
-        return len(terms)
-
-    def forget(self) -> None:
-        self.clear()
-        self.hits.clear()
-
-
-def asked_counter(asked: frozenset[str]):
-    """A function from a folded text to the counts of its ``asked`` terms and the number of all its terms."""
-    sizes, find = _Sizes(asked), re.compile(WORD).findall
-
-    def count(text: str | None) -> tuple[dict[str, int], int]:
-        words, found = Counter(find(text or "")), {}
-        if len(sizes) + len(words) > MEMO:  # emptied between texts only, as a text needs the hits of all its words
-            sizes.forget()
-        total = sum(map(mul, map(sizes.__getitem__, words), words.values()))
-        hits = sizes.hits
-        for word in words:
-            if word in hits:
-                for t in hits[word]:
-                    found[t] = found.get(t, 0) + words[word]
-        return found, total
-
-    return count
+class AskedTerms:
+    """Counts of the ``asked`` terms of texts, many texts at a time, and the number of all their terms; a distinct word is stemmed once."""
+
+    def __init__(self, letters: Alphabet, asked: list[str]):
+        self.words, self.place = Words(letters), {t: i for i, t in enumerate(asked)}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words.forget()
+        self.number, self.first, self.hits = np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.int64)
+
+    def _learn(self) -> None:
+        number, hits = [], []
+        for word in self.words.known[len(self.number) :]:
+            root = stem(word)
+            terms = (word, root) if root not in (word, "") else (word,)
+            number.append(len(terms))
+            hits.append([self.place[t] for t in terms if t in self.place])
+        self.number = np.concatenate((self.number, np.array(number, np.int64)))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(h) for h in hits], dtype=np.int64)))
+        self.hits = np.concatenate((self.hits, np.fromiter(chain.from_iterable(hits), np.int64)))
+
+    def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, asked term, number) of each text's terms in the order in which they are met, and the number of all terms of each text."""
+        if len(self.words) > MEMO:
+            self._forget()
+        word, text = self.words.numbers(texts)
+        self._learn()
+        totals = np.bincount(text, self.number[word], len(texts)).astype(np.int64)
+        at, owner = spread(self.first, word)
+        keys, met, number = np.unique(text[owner] * max(1, len(self.place)) + self.hits[at], return_index=True, return_counts=True)
+        order = np.argsort(met)
+        return *np.divmod(keys[order], max(1, len(self.place))), number[order], totals
 
 
 def counted_asked(text: Column, asked: frozenset[str]) -> Column:
     """struct<terms array<struct<term, n>>, dl>: the terms of ``counted_terms`` that are ``asked``, and the number of all, repeated ones included."""
+    letters, known = alphabet(), sorted(asked)
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        count = asked_counter(asked)
+        counter, names = AskedTerms(letters, known), pa.array(known, pa.string())
         for batch in texts:
-            terms, numbers, ends, totals = [], [], [0], []
-            for t in batch:
-                found, total = count(t.as_py())
-                terms += found.keys()
-                numbers += found.values()
-                ends.append(len(terms))
-                totals.append(total)
-            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(numbers, pa.int32())], names=["term", "n"])
-            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), pa.array(totals, pa.int64())], names=["terms", "dl"])
-
-    return arrow_udf(run, f"struct<terms:{TERMS},dl:long>").asNondeterministic()(fold_case(F.coalesce(text, F.lit(""))))
+            parts = [counter.count(some) for some in portions(batch)]
+            sizes = [np.bincount(t, minlength=len(totals)) for t, _, _, totals in parts]
+            ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if parts else np.zeros(1)
+            term, number, totals = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in (1, 2, 3))
+            pairs = pa.StructArray.from_arrays([names.take(pa.array(term)), pa.array(number.astype(np.int32))], names=["term", "n"])
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs), pa.array(totals)], names=["terms", "dl"])
+
+    return arrow_udf(run, f"struct<terms:{TERMS},dl:long>").asNondeterministic()(text)
 
 
 def counted_terms(text: Column) -> Column:
